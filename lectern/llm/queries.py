@@ -15,6 +15,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=50, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    found = jaccard_components(table(spark, sf_dir, "documents"), n=5, threshold=(80, 100))
+    return found.select(F.col("_d").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -26,5 +33,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_substring_dedup, op6_jaccard_join, op8_decontamination)}
 ORACLES: dict[str, str] = {}
