@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ._run import table
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 2048) -> DataFrame:
+    """path: the tokenizer's file; else word_bpe_49k.json of the installed public ones."""
+    from .token_counts import token_counts
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -22,6 +33,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_d").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -33,5 +50,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op6_jaccard_join, op8_decontamination)}
+def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn_join import knn_join
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn_join(rows, rows.where("vec_id % 20 = 0"), k=20).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_substring_dedup, op6_jaccard_join, op7_html_text, op8_decontamination, op9_knn_join)}
 ORACLES: dict[str, str] = {}
