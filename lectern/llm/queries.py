@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ._run import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out()))
+    scored = toxicity(docs, model, spans=False)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 2048) -> DataFrame:
     """path: the tokenizer's file; else word_bpe_49k.json of the installed public ones."""
     from .token_counts import token_counts
@@ -57,5 +66,5 @@ def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(rows, rows.where("vec_id % 20 = 0"), k=20).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_substring_dedup, op6_jaccard_join, op7_html_text, op8_decontamination, op9_knn_join)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_substring_dedup, op6_jaccard_join, op7_html_text, op8_decontamination, op9_knn_join)}
 ORACLES: dict[str, str] = {}
