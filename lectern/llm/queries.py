@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ._run import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, toxicity, train
 
@@ -66,5 +73,5 @@ def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(rows, rows.where("vec_id % 20 = 0"), k=20).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_substring_dedup, op6_jaccard_join, op7_html_text, op8_decontamination, op9_knn_join)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op4_token_counts, op5_substring_dedup, op6_jaccard_join, op7_html_text, op8_decontamination, op9_knn_join)}
 ORACLES: dict[str, str] = {}
