@@ -10,14 +10,16 @@ are rare. Two sets of similarity t or more share a token among the first size -
 * Light sets enumerate subsets of two tokens instead, from one token more; sets that are linked share a subset. Light
   sets near the boundary also put single tokens into the lists, for heavy partners.
 * The boundary is the size at which the estimated cost (rows enumerated against rows and list entries scanned, from
-  the histogram of small sizes and the measured mean list length) is least.
+  the histogram of small sizes and the mean length of lists) is least.
 
-Each list gives candidates, and equal lists count once. Short lists give all their pairs. Longer lists first give the
-pairs of neighbours in size only; the links found are contracted to components, and then every pair of the list whose
-members are still in different components, so groups of near copies do not become all their pairs and no link between
-components is lost. Every candidate is verified on the whole sets.
+How often each token occurs is counted first, on 40 bits and more of its code. The counts reach the executors in
+tables of fixed size: a bitmap of tokens that occur twice or more (the others need no list), a bitmap of those that
+occur ``often`` times or more and the order of the most frequent ones. Collisions there cost time and never a link.
 
-Frequent tokens are a bounded table (``frequent`` entries at most); it sets the order, not the result.
+The lists are scanned a few times. The first scans give only pairs that are neighbours in a random order of a list and
+not yet in one component; what is verified is contracted. The last scan gives every pair of a list that is still in
+different components and can reach the threshold by size and position, so groups of near copies do not become all
+their pairs, and no link between components is lost. Every candidate is verified on the whole sets.
 
 Cases: null text has no words; a null id is a row of its own, and a component's id is the least id in it, null if
 there is none. Repeated rows are one class. Other columns are not looked at. An empty table gives an empty result.
@@ -37,8 +39,8 @@ from ._run import cut, ship
 from .components import components
 
 U = np.uint64
-SHORT = 8  # lists up to this length give all their pairs
 SMALL = 200  # largest boundary that is considered
+MAP_BITS = 26  # of a code, for the bitmaps: 8 MB each
 
 
 def _sets(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +66,8 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[first[1:]] - run[first[:-1]]
 
 
-def _survey(n: int, locally: int = 4):
-    """Frequent tokens of each batch (kind 0), a sample of tokens by code (kind 1), sizes of small sets (kind 2); with counts."""
+def _count(n: int, bits: int):
+    """Codes of each batch's distinct sets, dealt by their first ``bits`` bits: the next 32 bits, of codes seen once and more often. Bucket -1: the histogram of small sizes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,24 +82,101 @@ def _survey(n: int, locally: int = 4):
                 fresh &= ~np.isin(key, seen)
                 seen = np.concatenate([seen, key[fresh]])
                 sizes += np.bincount(np.minimum(np.diff(first)[fresh], SMALL + 1), minlength=SMALL + 2)
-                tokens.append(g[fresh[doc]])
+                tokens.append(g[fresh[doc]] >> U(32 - bits))
             if not tokens:
                 continue
-            token, times = np.unique(np.concatenate(tokens), return_counts=True)
-            often, sample = times >= locally, token % U(256) == 0
-            small = np.flatnonzero(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.arange(3, dtype=np.int32), [often.sum(), sample.sum(), len(small)])),
-                    pa.array(np.concatenate([W.signed(token[often]), W.signed(token[sample]), small])),
-                    pa.array(np.concatenate([times[often], times[sample], sizes[small]]).astype(np.int64)),
-                ],
-                names=["kind", "value", "times"],
-            )
+            code, times = np.unique(np.concatenate(tokens), return_counts=True)
+            once = times == 1
+            edges = np.arange((1 << bits) + 1, dtype=U) << U(32)
+            low = lambda x: (x & U(0xFFFFFFFF)).astype(np.uint32)
+            parts = []
+            for x, kind in ((low(code[once]), code[once]), (low(code[~once]), code[~once]), (times[~once].astype(np.uint32), code[~once])):
+                at = np.searchsorted(kind, edges)
+                parts.append([x[at[i] : at[i + 1]].tobytes() for i in range(1 << bits)])
+            full = [i for i in range(1 << bits) if parts[0][i] or parts[1][i]]
+            for lo in range(0, len(full), 4096):
+                some = full[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([q[i] for i in some], pa.binary()) for q in parts]], names=["bucket", "once", "more", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x], pa.binary()) for x in (sizes.tobytes(), b"", b"")]], names=["bucket", "once", "more", "times"])
 
     return each
 
 
+def _tables(bits: int, often: int, most: int):
+    """Rows sorted by bucket -> of each bucket: its slices of both bitmaps, sums over rare codes, the most frequent codes."""
+    size = 1 << (MAP_BITS - bits)
+
+    def solve(bucket: int, held: list[tuple[bytes, bytes, bytes]]) -> tuple:
+        if bucket < 0:
+            return bucket, b"", b"", 0.0, 0.0, [], sum(np.frombuffer(h[0], dtype=np.int64) for h in held).tolist()
+        code = np.concatenate([np.frombuffer(x, dtype=np.uint32) for h in held for x in h[:2]])
+        times = np.concatenate([t for a, _, c in held for t in (np.ones(len(a) // 4, dtype=np.int64), np.frombuffer(c, dtype=np.uint32).astype(np.int64))])
+        order = np.argsort(code, kind="stable")
+        code, times = code[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, times = code[first], np.add.reduceat(times, first)
+        maps = []
+        for least in (2, often):
+            flags = np.zeros(size, dtype=np.uint8)
+            flags[code[times >= least] >> np.uint32(32 - (MAP_BITS - bits))] = 1
+            maps.append(np.packbits(flags, bitorder="little").tobytes())
+        rare = times[times < often].astype(np.float64)
+        top = np.flatnonzero(times >= 8 * often)
+        top = top[np.argsort(-times[top], kind="stable")][:most]
+        return bucket, *maps, float(rare.sum()), float((rare * rare).sum()), ((bucket << 32) + code[top].astype(np.int64)).tolist(), times[top].tolist()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "shared", "frequent", "s1", "s2", "top", "times"]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(solve(now, held), kinds, strict=True)], names=names)
+
+        for b in batches:
+            for bucket, *row in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if bucket != now:
+                    if held:
+                        yield out()
+                    now, held = bucket, []
+                held.append(tuple(row))
+        if held:
+            yield out()
+
+    return each
+
+
+class Frequency:
+    """What the executors know of how often tokens occur; its size is fixed."""
+
+    def __init__(self, rows: list, bits: int, top: np.ndarray):
+        size = 1 << (MAP_BITS - bits - 3)
+        self.shift = np.uint64(32 - bits)
+        self.maps = [np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8) for _ in (0, 1)]
+        for r in rows:
+            for m, x in zip(self.maps, (r["shared"], r["frequent"]), strict=True):
+                m[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(x, dtype=np.uint8)
+        by = np.argsort(top)
+        self.top, self.place = top[by].astype(np.uint64), np.arange(len(top), 0, -1)[by]
+
+    def _flag(self, which: int, code: np.ndarray) -> np.ndarray:
+        at = code >> U(64 - MAP_BITS)
+        return (self.maps[which][at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+    def shared(self, code: np.ndarray) -> np.ndarray:
+        return self._flag(0, code)
+
+    def rank(self, code: np.ndarray) -> np.ndarray:
+        """Place in the order besides the code: 0 for rare ones, 1 for frequent ones, more for the most frequent."""
+        out = self._flag(1, code).astype(np.int64)
+        some = np.flatnonzero(out)
+        if len(some) and len(self.top):
+            cut_ = code[some] >> self.shift
+            i = np.minimum(np.searchsorted(self.top, cut_), len(self.top) - 1)
+            out[some] += np.where(self.top[i] == cut_, self.place[i], 0)
+        return out
+
+
 def boundary(sizes: dict[int, int], list_length: float, t: tuple[int, int]) -> int:
     """The size up to which enumerating subsets costs less than scanning lists; 0 if none does."""
     best, best_cost, cost = 0, 0.0, 0.0
@@ -112,38 +191,37 @@ def boundary(sizes: dict[int, int], list_length: float, t: tuple[int, int]) -> i
 
 
 def _signatures(n: int, t: tuple[int, int], light: int, shared):
-    """Of each text: id, hash, two codes of the set, its size, its signatures."""
+    """Of each text: id, hash, two codes of the set, its size, its signatures and the place of each in the set's order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value  # codes sorted, and each one's place in the order from 1
-        known, place = frequent
+        known: Frequency = shared.value
         for b in batches:
             for row, rows, data, offsets in W.chunks(b.column(2)):
                 doc, g = _sets(W.words(data, offsets, W.FOLDED), n)
                 first = np.searchsorted(doc, np.arange(rows + 1))
                 size = np.diff(first)
                 k1, k2 = _sums(W.mix(g), first), _sums(W.mix(g ^ U(0xA5A5A5A5A5A5A5A5)), first)
-                if len(known) and len(g):
-                    i = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    rank = np.where(known[i] == g, place[i], 0)
-                    order = np.argsort(doc * (len(known) + 1) + rank, kind="stable")
-                    g = g[order]
+                g = g[np.argsort(doc * (len(known.top) + 2) + known.rank(g), kind="stable")]
                 need = -(-t[0] * size // t[1])
                 lists = (size > light) | (t[0] * (light + 1) <= t[1] * size) | (need < 2) | (t[0] * size < 2 * t[1])
                 at = np.arange(len(g)) - first[doc]
                 single = lists[doc] & (at < (size - need + 1)[doc])
-                out_doc, out = [doc[single]], [g[single]]
+                single[single] = known.shared(g[single])
+                out_doc, out, place = [doc[single]], [g[single]], [at[single]]
                 for s in range(2, light + 1):
                     own = np.flatnonzero((size == s) & (need >= 2))
                     if len(own):
                         two = s - int(need[own[0]]) + 2
                         i, j = np.triu_indices(two, 1)
                         m = g[first[own][:, None] + np.arange(two)]
-                        out.append(W.mix(m[:, i] * U(0x9E3779B97F4A7C15) + W.mix(m[:, j])).ravel())
-                        out_doc.append(np.repeat(own, len(i)))
-                out_doc, out = np.concatenate(out_doc), np.concatenate(out)
+                        both = known.shared(m)
+                        both = (both[:, i] & both[:, j]).ravel()
+                        out.append(W.mix(m[:, i] * U(0x9E3779B97F4A7C15) + W.mix(m[:, j])).ravel()[both])
+                        out_doc.append(np.repeat(own, len(i))[both])
+                        place.append(np.tile(i, len(own))[both])
+                out_doc, out, place = np.concatenate(out_doc), np.concatenate(out), np.concatenate(place)
                 order = np.argsort(out_doc, kind="stable")
-                to = np.searchsorted(out_doc[order], np.arange(rows + 1))
+                to = pa.array(np.searchsorted(out_doc[order], np.arange(rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(row, rows),
@@ -151,34 +229,17 @@ def _signatures(n: int, t: tuple[int, int], light: int, shared):
                         pa.array(W.signed(k1)),
                         pa.array(W.signed(k2)),
                         pa.array(size),
-                        pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(W.signed(out[order]))),
+                        pa.ListArray.from_arrays(to, pa.array(W.signed(out[order]))),
+                        pa.ListArray.from_arrays(to, pa.array(place[order].astype(np.int32))),
                     ],
-                    names=["_d", "_h", "k1", "k2", "n_shingles", "signatures"],
+                    names=["_d", "_h", "k1", "k2", "n_shingles", "signatures", "places"],
                 )
 
     return each
 
 
-def _lists(rows_at_once: int = 200_000):
-    """Rows sorted by signature -> the members of each signature with two or more, by size; equal lists of a step once."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        s, c, n = (t.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((c, n, s))
-        s, c, n = s[order], c[order], n[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-        s, c, n = s[new], c[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(first, len(s)))
-        first, size = first[size > 1], size[size > 1]
-        to = np.concatenate([[0], np.cumsum(size)])
-        pick = np.repeat(first - to[:-1], size) + np.arange(to[-1])
-        key = _sums(W.mix(c[pick].view(U) * U(0x9E3779B97F4A7C15) + (np.arange(to[-1]) - np.repeat(to[:-1], size)).astype(U)), to) if len(first) else np.empty(0, dtype=U)
-        _, once = np.unique(key, return_index=True)
-        offsets = pa.array(to.astype(np.int32))
-        cids = pa.ListArray.from_arrays(offsets, pa.array(c[pick]))
-        sizes = pa.ListArray.from_arrays(offsets, pa.array(n[pick]))
-        return pa.RecordBatch.from_arrays([cids.take(pa.array(once)), sizes.take(pa.array(once))], names=["members", "sizes"])
+def _by_signature(solve, rows_at_once: int = 200_000):
+    """Runs solve on tables of rows sorted by the first column that hold all rows of a value."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,19 +249,76 @@ def _lists(rows_at_once: int = 200_000):
             rows += b.num_rows
             if rows < rows_at_once:
                 continue
-            t = pa.Table.from_batches(held)
-            s = t.column(0).to_numpy()
+            tab = pa.Table.from_batches(held)
+            s = tab.column(0).to_numpy()
             whole = int(np.searchsorted(s, s[-1]))
             if whole:
-                yield solve(t.slice(0, whole))
-                t = t.slice(whole)
-            held, rows = t.combine_chunks().to_batches(), t.num_rows
+                yield from solve(tab.slice(0, whole))
+                tab = tab.slice(whole)
+            held, rows = tab.combine_chunks().to_batches(), tab.num_rows
         if rows:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     return each
 
 
+def _listed(tab: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (s, cid, ...) of signatures with two members or more."""
+    s, c = tab.column(0).to_numpy(), tab.column(1).to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    yield from tab.filter(pa.array(np.repeat(mixed, np.diff(np.append(first, len(s)))))).combine_chunks().to_batches()
+
+
+def _pairs(t: tuple[int, int], reach: int, block: int = 512):
+    """Rows (s, cid, n, place, root) -> candidates (a, b), a < b, of different roots: within reach in a random order of the list, or all if reach is 0."""
+
+    def fits(n1, i1, n2, i2):
+        by_size = (t[1] * n1 >= t[0] * n2) & (t[1] * n2 >= t[0] * n1)
+        return by_size & (np.minimum(n1 - i1, n2 - i2) * (t[0] + t[1]) >= t[0] * (n1 + n2))
+
+    def solve(tab: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, c, n, i, r = (tab.column(k).to_numpy() for k in range(5))
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        own = np.repeat(np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first), np.diff(np.append(first, len(s))))
+        s, c, n, i, r = s[own], c[own], n[own], i[own], r[own]
+        # neighbours are drawn anew in every list, so near copies that share many lists meet many others
+        order = np.lexsort((W.mix(c.view(U) ^ W.mix(s.view(U) + U(reach))), s)) if reach else np.lexsort((c, n, s))
+        s, c, n, i, r = s[order], c[order], n[order], i[order], r[order]
+        held: list[np.ndarray] = []
+        rows = 0
+        if reach:
+            for k in range(1, min(reach, len(s) - 1) + 1):
+                ok = (s[k:] == s[:-k]) & (r[k:] != r[:-k])
+                if not ok.any():
+                    break
+                ok &= fits(n[k:], i[k:], n[:-k], i[:-k])
+                held.append(np.stack([c[:-k][ok], c[k:][ok]]))
+        else:
+            ends = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, dtype=np.int64)
+            for a, z in zip(ends[:-1], ends[1:], strict=True):
+                for lo in range(a, z, block):  # sizes are sorted: partners of a block end where they are too large
+                    hi = min(lo + block, z)
+                    last = lo + int(np.searchsorted(n[lo:z], t[1] * n[hi - 1] // t[0], side="right"))
+                    x, y = np.arange(lo, hi)[:, None], np.arange(lo, last)[None, :]
+                    p, q = np.nonzero((x < y) & (r[x] != r[y]) & fits(n[x], i[x], n[y], i[y]))
+                    if len(p):
+                        held.append(np.stack([c[lo + p], c[lo + q]]))
+                        rows += len(p)
+                        if rows > 2_000_000:
+                            yield batch(held)
+                            held, rows = [], 0
+        if held:
+            yield batch(held)
+
+    def batch(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(held, axis=1)
+        x = np.unique(np.sort(x, axis=0), axis=1) if x.size else x.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+    return _by_signature(solve)
+
+
 def _verify(n: int, t: tuple[int, int]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,18 +342,33 @@ def _verify(n: int, t: tuple[int, int]):
     return each
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough, judged on whole texts."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    need = wanted.join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
-    texts = keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t")
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("_t").alias("_ta")), "a")
     return left.join(texts.select(F.col("cid").alias("b"), F.col("_t").alias("_tb")), "b").select("a", "b", "_ta", "_tb").mapInArrow(_verify(n, t), "a long, b long")
 
 
+def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequency, float, dict[int, int]]:
+    """The fixed-size tables, the mean length of a rare token's list, and how many sets have each small size."""
+    spark = keyed.sparkSession
+    bits = min(max(int(keyed.count() / 1000).bit_length(), 6), 20)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    counted = (
+        keyed.select("_t").mapInArrow(_count(n, bits), "bucket int, once binary, more binary, times binary")
+        .repartition(parts, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_tables(bits, often, most), "bucket int, shared binary, frequent binary, s1 double, s2 double, top array<long>, times array<long>")
+    )
+    counted = cut(counted)
+    top = counted.where("bucket >= 0").select(F.explode(F.arrays_zip("top", "times")).alias("x")).select("x.top", "x.times").orderBy(F.desc("times"), "top").limit(most)
+    codes = np.array([r["top"] for r in top.collect()], dtype=np.int64)
+    rows = counted.where("bucket >= 0").select("bucket", "shared", "frequent").collect()  # two bitmaps in slices
+    s1, s2 = counted.agg(F.sum("s1"), F.sum("s2")).first()
+    sizes = {i: k for r in counted.where("bucket < 0").select("times").collect() for i, k in enumerate(r["times"])}
+    return Frequency(rows, bits, codes), (s2 / s1 if s1 else 1.0), sizes
+
+
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), frequent: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), often: int = 10, most: int = 50_000, reaches: tuple[int, ...] = (1, 4, 16, 64)
 ) -> DataFrame:
     """One row a row of docs: _d (its id), _h (its text's hash), n_shingles, class_id, component_id (the least id that links reach)."""
     spark = docs.sparkSession
@@ -243,46 +376,36 @@ def jaccard_components(
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
-    survey = cut(keyed.select("_t").mapInArrow(_survey(n), "kind int, value long, times long").groupBy("kind", "value").agg(F.sum("times").alias("times")))
-    known = survey.where("kind = 0").orderBy(F.desc("times"), "value").limit(frequent).select("value", "times").toPandas()
-    codes, place = known["value"].to_numpy(np.int64).view(U), np.arange(len(known), 0, -1)
-    by_code = np.argsort(codes)
-    shared = spark.sparkContext.broadcast((codes[by_code], place[by_code]))
-    mean = survey.where("kind = 1").agg(F.sum(F.col("times") * F.col("times")) / F.sum("times")).first()[0]
-    sizes = {r.value: r.times for r in survey.where(f"kind = 2 and value <= {SMALL}").collect()}
-    light = boundary(sizes, float(mean or 1), threshold)
+    known, mean, sizes = _frequency(keyed, n, often, most)
+    shared = spark.sparkContext.broadcast(known)
+    light = boundary(sizes, mean, threshold)
 
-    signed = cut(keyed.mapInArrow(_signatures(n, threshold, light, shared), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>"))
+    signed = cut(keyed.mapInArrow(_signatures(n, threshold, light, shared), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>, places array<int>"))
     classes = cut(
         signed.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_d", "_h")).alias("rep"))
         .select("k1", "k2", "n_shingles", "rep._d", "rep._h", F.monotonically_increasing_id().alias("cid"))
     )
-    rows = signed.where("n_shingles > 0").join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"]).select(F.explode("signatures").alias("s"), "cid", "n_shingles")
+    sets = cut(signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"]).select("cid", "n_shingles", "signatures", "places"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lists = cut(
-        rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_lists(), "members array<long>, sizes array<long>")
-        .dropDuplicates(["members"]).withColumn("list", F.monotonically_increasing_id())
-    )
-    fits = threshold[1] * F.col("x.n") >= threshold[0] * F.col("y.n")
-    entry = F.arrays_zip(F.col("members").alias("c"), F.col("sizes").alias("n"))
-    near = lists.select(F.posexplode(entry).alias("i", "x"), "members", "sizes")
-    reach = F.when(F.size("members") <= SHORT, F.size("members")).otherwise(F.col("i") + 2)
-    near = near.select("x", F.explode(F.slice(F.arrays_zip(F.col("members").alias("c"), F.col("sizes").alias("n")), F.col("i") + 2, F.greatest(reach - F.col("i") - 1, F.lit(0)))).alias("y"))
-    edges = cut(_verified(near.where(fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), classes, keyed, n, threshold))
-    roots = components(edges)
-
-    longer = lists.where(F.size("members") > SHORT).select("list", F.explode(entry).alias("e")).select("list", "e.c", "e.n")
-    placed = longer.join(roots, longer.c == roots.node, "left").select("list", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-    placed = cut(placed.join(mixed, "list"))
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")))
-    apart = apart.where((threshold[1] * F.col("x.n") >= threshold[0] * F.col("y.n")) & (threshold[1] * F.col("y.n") >= threshold[0] * F.col("x.n"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    if placed.limit(1).count():
-        more = cut(_verified(apart, classes, keyed, n, threshold))
+    rows = sets.select(F.explode(F.arrays_zip("signatures", "places")).alias("x"), "cid", "n_shingles").select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"))
+    rows = cut(rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_by_signature(_listed), rows.schema))
+    need = rows.select("cid").distinct().join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
+    texts = cut(keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t").dropDuplicates(["cid"]))
+    tested = edges = roots = None
+    for reach in (*reaches, 0):
+        placed = rows.withColumn("root", F.col("cid")) if roots is None else rows.join(roots, rows.cid == roots.node, "left").select(*rows.columns, F.coalesce("root", "cid").alias("root"))
+        found = placed.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_pairs(threshold, reach), "a long, b long").distinct()
+        if tested is not None:
+            found = found.join(tested, ["a", "b"], "left_anti")
+        found = cut(found)
+        tested = found if tested is None else tested.unionByName(found)
+        more = cut(_verified(found, texts, n, threshold))
+        edges = more if edges is None else edges.unionByName(more)
         if more.limit(1).count():
-            roots = components(edges.unionByName(more))
+            roots = components(edges)
 
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     named = classes.join(roots, classes.cid == roots.node, "left").select("k1", "k2", "_d", "cid", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("_d").alias("component_id"))
     named = named.join(least, "root").select("k1", "k2", "cid", "component_id")
