@@ -2,7 +2,7 @@
 
 Components become integers floor(scale * x), so scores are exact. Pivots (a bounded, hash-ordered sample of rows)
 divide the rows into cells by the nearest pivot; a cell's summary is its pivot, its largest distance from the pivot
-and its number of rows. Queries are grouped by nearest pivot too, into groups of bounded size.
+and its number of rows. Queries are grouped by nearest pivot too, small groups together and large ones in parts.
 
 For a query group with pivot p and radius r, and a cell with pivot c and radius s, every score lies within
 p.c -+ (r|c| + s|p| + rs). Cells taken in order of their lower bound until they hold k rows besides the query itself
@@ -134,21 +134,23 @@ def knn_join(
     own = placed.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     need = _needed(group_sizes, cell_sizes, points, k, own)
 
-    # (query cell, part of its queries, cell, block of its rows): all numbers are bounded by pivots and sizes
-    need = need.merge(cell_sizes[["cell", "n"]], on="cell").rename(columns={"n": "rows"})
-    need = need.merge(group_sizes.rename(columns={"cell": "group_cell"})[["group_cell", "n"]], on="group_cell").rename(columns={"n": "asked"})
+    # query cells are packed into groups of about group_rows queries, near ones together; a group needs what its cells need
+    near = group_sizes.assign(by=[float(points[c] @ points[0]) for c in group_sizes["cell"]]).sort_values(["by", "cell"])
+    near["group"] = np.maximum(near["n"].cumsum() - 1, 0) // group_rows
+    packed = near.groupby("group")["n"].sum()
+    need = need.merge(near.rename(columns={"cell": "group_cell"})[["group_cell", "group"]], on="group_cell")[["group", "cell"]].drop_duplicates()
+    need = need.merge(cell_sizes[["cell", "n"]], on="cell")
     plan = spark.createDataFrame(
-        [(int(a), int(b), -(-int(c) // group_rows), -(-int(d) // block_rows)) for a, b, d, c in need[["group_cell", "cell", "rows", "asked"]].itertuples(index=False)],
-        "group_cell int, cell int, parts int, blocks int",
-    )
+        [(int(g), int(c), -(-int(packed[g]) // (2 * group_rows)), -(-int(n) // block_rows)) for g, c, n in need.itertuples(index=False)], "group int, to int, parts int, blocks int"
+    )  # one row a pair of pivots at most
+    of_cell = spark.createDataFrame([(int(c), int(g)) for c, g in near[["cell", "group"]].itertuples(index=False)], "cell int, group int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    by_query = plan.select("group_cell", F.col("cell").alias("to"), "parts", "blocks")
-    ask = asked.join(F.broadcast(by_query), F.col("cell") == F.col("group_cell")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    ask = ask.withColumn("block", spread("blocks")).select("group_cell", "part", "to", "block", "id", "v")
-    by_cell = plan.select(F.col("group_cell").alias("for"), F.col("cell").alias("own"), F.col("parts").alias("shares"), F.col("blocks").alias("pieces"))
+    ask = asked.join(F.broadcast(of_cell), "cell").join(F.broadcast(plan), "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    ask = ask.withColumn("block", spread("blocks")).select("group", "part", "to", "block", "id", "v")
+    by_cell = plan.select(F.col("group").alias("for"), F.col("to").alias("own"), F.col("parts").alias("shares"), F.col("blocks").alias("pieces"))
     have = placed.join(F.broadcast(by_cell), F.col("cell") == F.col("own")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     have = have.withColumn("share", spread("shares")).select("for", "share", "own", "piece", "id", "v")
-    found = ask.groupBy("group_cell", "part", "to", "block").cogroup(have.groupBy("for", "share", "own", "piece")).applyInArrow(_solve(k, dim), "query_id long, id long, score long")
+    found = ask.groupBy("group", "part", "to", "block").cogroup(have.groupBy("for", "share", "own", "piece")).applyInArrow(_solve(k, dim), "query_id long, id long, score long")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
