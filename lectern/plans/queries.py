@@ -186,9 +186,9 @@ def cleaned_text(spark, d):
     return literal(spark, MESSY).select("k", T.clean_prose(c).alias("prose"), T.clean_block(c).alias("block"), T.clean_catalog(c).alias("catalog"), T.clean_web(c).alias("web"))
 
 
-@query("SELECT vec, sum(n) AS n FROM (SELECT CAST(length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) >= CAST(0.85 AS DOUBLE) * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AND regexp_matches(text, '\\p{L}') AS BOOLEAN) AS vec, 1 AS n FROM " + LINES + ") GROUP BY vec")
+@query("SELECT vec, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) >= CAST(0.85 AS DOUBLE) * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AND regexp_matches(text, '\\p{L}') AS BOOLEAN) AS vec, 1 AS n FROM " + LINES + ") GROUP BY vec")
 def upper_titles(spark, d):
-    return doc_lines(spark, d).groupBy(T.is_upper_title(F.col("text")).alias("vec")).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    return doc_lines(spark, d).groupBy(T.is_upper_title(F.col("text")).alias("vec")).agg(F.count("*").alias("n"))
 
 
 # ---- paragraphs and sections

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
+from ..shared import ship
 
 WORDS = "doc_id string, page int, word_no int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, upright boolean"
 PAGES = "doc_id string, page int, width double, height double, n_images int, n_rects int, n_lines int, n_curves int, raw_text string"
@@ -53,6 +54,7 @@ class WordSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(WordSource)
 
 
@@ -114,6 +116,7 @@ def fetched(urls: DataFrame, url_col: str = "url", **options) -> DataFrame:
                     rows.append((u, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "final_url", "content_type", "content", "error"])
 
+    ship(urls.sparkSession)
     clean = urls.select(T.clean_url(F.col(url_col)).alias("url")).dropna().distinct()
     return clean.mapInPandas(each, "url string, final_url string, content_type string, content binary, error string")
 

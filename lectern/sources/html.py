@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 SCHEMA = "doc_id long, pos int, kind string, text string"
 # Elements left out, elements taken whole, and what closes an open element.
 JUNK = frozenset(("script", "style", "nav", "header", "footer", "aside"))
@@ -77,6 +79,8 @@ def walk(html: str) -> list[tuple[str, str]]:
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """doc_id, pos, kind, text of each page's blocks. One Arrow pass; no shuffle."""
 
+    ship(pages.sparkSession)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, n, k, t) for i, h in zip(b["doc_id"], b["html"], strict=True) if isinstance(h, str) for n, (k, t) in enumerate(walk(h))]
