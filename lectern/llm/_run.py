@@ -1,47 +1,12 @@
-"""What the operators need from the session: shared storage and the package on the executors."""
+"""What the operators need from the session."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import cut, shared_dir, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lectern_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(prefix="lectern"), "lectern.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(to)
-    sc._lectern_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset (a single machine), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = getattr(sc, "_lectern_dir", None)
-        if not found:
-            found = sc._lectern_dir = tempfile.mkdtemp(prefix="lectern-shared")
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing made before."""
-    spark = df.sparkSession
-    to = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+__all__ = ["cut", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
