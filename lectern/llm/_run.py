@@ -1,13 +1,35 @@
-"""What the operators need from the session."""
+"""What the operators need from the session, and how they carry columns they don't look at."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import cut, shared_dir, ship
 
-__all__ = ["cut", "shared_dir", "ship", "table"]
+__all__ = ["Carried", "cut", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Carried:
+    """The columns of a frame that pass through an operator, packed in one struct: no name of theirs can clash with the operator's.
+
+    Columns named as one that the operator adds are replaced by it.
+    """
+
+    def __init__(self, df: DataFrame, added: tuple[str, ...], without: tuple[str, ...] = ()):
+        gone = {c.lower() for c in (*added, *without)}
+        self.fields = [f for f in df.schema.fields if f.name.lower() not in gone]
+        self.packed: Column = F.struct(*[F.col(f"`{f.name}`") for f in self.fields], F.lit(0).alias("_last")).alias("_row")
+
+    def schema(self, *more: tuple[str, str]) -> T.StructType:
+        """_row and the added fields (name, type)."""
+        own = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.fields] + [T.StructField("_last", T.IntegerType(), True)])
+        return T.StructType([T.StructField("_row", own, True), *[T.StructField(n, T.DataType.fromDDL(k), True) for n, k in more]])
+
+    def unpacked(self, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(f"_row.`{f.name}`").alias(f.name) for f in self.fields], *more)

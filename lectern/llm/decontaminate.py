@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import ship
+from ._run import Carried, cut, ship
 
 CHUNK = 3 << 20
 
@@ -119,13 +119,12 @@ def _scan(shared, mode: str, chunk: int):
                 place = sa[np.repeat(lo[full] - to[:-1], size) + np.arange(to[-1])]
                 place = place - (np.cumsum(text == 0)[place] if len(place) else 0)  # words alone, without the zeros
                 doc, words, item = w.doc[place], np.repeat(t.sizes[full], size), np.repeat(t.item[full], size)
-                rest = [c.slice(row, rows) for c in b.columns[1:]]
-                names = b.schema.names[1:]
+                rest = b.column(1).slice(row, rows)
                 if mode == "places":
                     o = np.lexsort((item, place, doc))
                     picked = pa.array(doc[o])
                     begin = place[o] - w.first[doc[o]]
-                    yield pa.RecordBatch.from_arrays([*[c.take(picked) for c in rest], pa.array(t.names[item[o]].astype(str), pa.string()), pa.array(begin), pa.array(begin + words[o])], names=[*names, "item_id", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([rest.take(picked), pa.array(t.names[item[o]].astype(str), pa.string()), pa.array(begin), pa.array(begin + words[o])], names=["_row", "item_id", "lo", "hi"])
                     continue
                 gone = np.zeros(len(w.code) + 1, dtype=np.int64)
                 np.add.at(gone, place, 1)
@@ -134,7 +133,7 @@ def _scan(shared, mode: str, chunk: int):
                 pairs = np.unique(doc * (len(t.names) + 1) + item)
                 by = np.searchsorted(pairs // (len(t.names) + 1), np.arange(rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), pa.array(t.names[pairs % (len(t.names) + 1)].astype(str), pa.string()))
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(w.first)), pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), lists], names=[*names, "n_words", "n_hit", "items"])
+                yield pa.RecordBatch.from_arrays([rest, pa.array(np.diff(w.first)), pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), lists], names=["_row", "n_words", "n_hit", "items"])
 
     return each
 
@@ -153,22 +152,26 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     yield held
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, mode: str, fields: str, text_col: str, item_col: str, item_text_col: str, window: int, block_words: int, own: list[str]) -> list[DataFrame]:
+def _passes(docs: DataFrame, benchmark: DataFrame, mode: str, fields: tuple, text_col: str, item_col: str, item_text_col: str, window: int, block_words: int, own: Carried) -> list[DataFrame]:
     spark = docs.sparkSession
     ship(spark)
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
     out = []
     for items in _blocks(benchmark, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Targets(items, window))
-        out.append(docs.select(F.col(text_col).alias("_text"), *own).mapInArrow(_scan(shared, mode, CHUNK), f"{kept + ', ' if kept else ''}{fields}"))
+        found = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(_scan(shared, mode, CHUNK), own.schema(*fields))
+        out.append(own.unpacked(found, *[n for n, _ in fields]))
     return out
 
 
+PLACES = ("item_id", "string"), ("lo", "long"), ("hi", "long")
+COUNTS = ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>")
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
     """docs' columns but the text with item_id, lo, hi: each longest stretch of words that windows of one item cover."""
-    own = [c for c in docs.columns if c != text_col]
+    own = Carried(docs, tuple(n for n, _ in PLACES), (text_col,))
     found = None
-    for p in _passes(docs, benchmark, "places", "item_id string, lo long, hi long", text_col, item_col, item_text_col, window, block_words, own):
+    for p in _passes(docs, benchmark, "places", PLACES, text_col, item_col, item_text_col, window, block_words, own):
         found = p if found is None else found.unionByName(p)
     return found
 
@@ -179,25 +182,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     With one block of items, the usual case, this is one pass and no shuffle. With more, the places of all blocks
     are united for each document, which needs an id of the row: monotonically_increasing_id of a stable scan.
     """
-    own = list(docs.columns)
-    blocks = _passes(docs, benchmark, "counts", "n_words long, n_hit long, items array<string>", text_col, item_col, item_text_col, window, block_words, own)
+    own = Carried(docs, tuple(n for n, _ in COUNTS))
+    blocks = _passes(docs, benchmark, "counts", COUNTS, text_col, item_col, item_text_col, window, block_words, own)
     if len(blocks) == 1:
         return blocks[0]
-    from ._run import cut
-
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    counts = _passes(numbered, benchmark.limit(0), "counts", "n_words long, n_hit long, items array<string>", text_col, item_col, item_text_col, window, block_words, [*own, "_row"])[0]
-    places = longest_matches(numbered.select("_row", F.col(text_col)), benchmark, text_col, item_col, item_text_col, window, block_words)
-    runs = places.groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("_items"), F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_places"))
+    numbered = cut(docs.select(own.packed, F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_n")))
+    counts = _passes(numbered, benchmark.limit(0), "counts", COUNTS, "_text", item_col, item_text_col, window, block_words, Carried(numbered, (), ("_text",)))[0]
+    places = longest_matches(numbered.select("_n", "_text"), benchmark, "_text", item_col, item_text_col, window, block_words)
+    runs = places.groupBy("_n").agg(F.array_sort(F.collect_set("item_id")).alias("_items"), F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_places"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     covered = F.aggregate("_places", start, lambda a, p: F.struct((a.n + F.greatest(p.hi - F.greatest(p.lo, a.to), F.lit(0))).alias("n"), F.greatest(a.to, p.hi).alias("to")), lambda a: a.n)
-    return counts.join(runs.select("_row", "_items", covered.alias("_hit")), "_row", "left").select(
-        *own, "n_words", F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items")
+    out = counts.select("_row", "_n", "n_words").join(runs.select("_n", "_items", covered.alias("_hit")), "_n", "left").select(
+        "_row", "n_words", F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items")
     )
+    return own.unpacked(out, "n_words", "n_hit", "items")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark window."""
-    return contamination(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    own = Carried(docs, ())
+    text = options.get("text_col", "text")
+    found = contamination(docs.select(own.packed, F.col(text).alias("_text")), benchmark, **{**options, "text_col": "_text"})
+    return own.unpacked(found.where("n_hit = 0"))
 
 

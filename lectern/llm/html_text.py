@@ -22,8 +22,9 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._run import ship
+from ._run import Carried, ship
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -245,7 +246,7 @@ def _extract(options: dict):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = [main_text(x or "", **options) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*b.schema.names[1:], "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["_row", "text", "n_chars"])
 
     return each
 
@@ -253,6 +254,6 @@ def _extract(options: dict):
 def extract_text(pages: DataFrame, html_col: str = "html", **options) -> DataFrame:
     """pages' columns but the html (and any named text or n_chars), with text and n_chars."""
     ship(pages.sparkSession)
-    own = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    kept = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in own)
-    return pages.select(html_col, *own).mapInArrow(_extract(options), f"{kept}text string, n_chars long")
+    own = Carried(pages, ("text", "n_chars"), (html_col,))
+    found = pages.select(F.col(html_col).alias("_html"), own.packed).mapInArrow(_extract(options), own.schema(("text", "string"), ("n_chars", "long")))
+    return own.unpacked(found, "text", "n_chars")

@@ -155,7 +155,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     trust = {}
     for kind in ("declared", "address"):  # at most languages x languages numbers
         rows = x.where(F.col(kind).isNotNull()).groupBy(kind).agg(_sum_of("p", k).alias("n")).collect()
-        held = np.full((k, k), 0.2)
+        held = np.full((k, k), 0.2) + np.diag(np.full(k, 5.0))  # a code names its own language until counts say otherwise
         for r in rows:
             held[languages.index(r[kind])] += np.array(r["n"])
         trust[kind] = np.log(held / held.sum(axis=0, keepdims=True))

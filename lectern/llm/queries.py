@@ -57,7 +57,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filtered, host
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = filtered(capture_dates(pages), list_events(pages), "page_id")
+    found = filtered(capture_dates(pages), list_events(pages))
     return found.select("page_id", "url", host(F.col("url")).alias("host"), "fetched", F.array_join("lists", ",").alias("lists"), "n_entries", "blocked")
 
 

@@ -14,8 +14,7 @@ prefix of variable length:
 Words are compared by 64-bit codes, nodes by a 64-bit code below a 64-bit prefix code.
 
 Cases: null text has no words. A null id counts as the largest. Rows of one id are one document, so they never
-repeat each other. Fewer than ``window`` words: nothing is removed. Other columns are carried and may have any
-name but the ones added. An empty table gives an empty result.
+repeat each other. Fewer than ``window`` words: nothing is removed. Other columns are carried; one named like an added column gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, ship
+from ._run import Carried, cut, ship
 
 LAST = (1 << 63) - 1
 
@@ -213,10 +212,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(b" ".join([data[s:e].tobytes() for s, e in zip(w.start[a:z][keep], w.end[a:z][keep], strict=True)]) if not keep.all() else b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split()))
                 total.append(int(z - a))
                 removed.append(int((~keep).sum()))
-            rest = [c.slice(row, rows) for c in b.columns[2:]]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-                names=[*b.schema.names[2:], "n_words", "n_removed", "kept_text", "kept_sha256"],
+                [b.column(2).slice(row, rows), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+                names=["_row", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
 
@@ -224,9 +222,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs' columns with n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
     spans = repeated_spans(docs, id_col, text_col, window, **options).groupBy("_d", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [c for c in docs.columns if keep_text or c != text_col]
-    keyed = docs.select(*[F.col(c) for c in own], text.alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_h"))
-    joined = keyed.join(spans, ["_d", "_h"], "left").select("_t", "_spans", *own)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    out = joined.mapInArrow(_kept, f"{fields}, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out if keep_text else out.drop("kept_text")
+    added = ("n_words", "n_removed", "kept_text", "kept_sha256")
+    own = Carried(docs, added, () if keep_text else (text_col,))
+    keyed = docs.select(own.packed, text.alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_h"))
+    joined = keyed.join(spans, ["_d", "_h"], "left").select("_t", "_spans", "_row")
+    out = joined.mapInArrow(_kept, own.schema(("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")))
+    return own.unpacked(out, *[c for c in added if keep_text or c != "kept_text"])

@@ -23,8 +23,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._run import ship
+from ._run import Carried, ship
 
 #: Fixed: the split pattern of the known file, and the same on lower-case text of ASCII and Latin up to U+017E.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -149,7 +150,7 @@ def _count(shared):
                 part = b.slice(lo, 256)
                 texts = [x or "" for x in part.column(0).to_pylist()]
                 n_bytes = pa.array([len(x.encode()) for x in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], n_bytes, pa.array([count(x) for x in texts], pa.int64())], names=[*b.schema.names[1:], "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(1), n_bytes, pa.array([count(x) for x in texts], pa.int64())], names=["_row", "n_bytes", "n_tokens"])
 
     return each
 
@@ -171,6 +172,6 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", pattern: st
     else:
         raise ValueError(f"not a tokenizer file: {path}")
     shared = spark.sparkContext.broadcast((kind, content, extra))
-    own = [c for c in docs.columns if c != text_col]
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
-    return docs.select(text_col, *own).mapInArrow(_count(shared), f"{kept}n_bytes long, n_tokens long")
+    own = Carried(docs, ("n_bytes", "n_tokens"), (text_col,))
+    counted = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(_count(shared), own.schema(("n_bytes", "long"), ("n_tokens", "long")))
+    return own.unpacked(counted, "n_bytes", "n_tokens")

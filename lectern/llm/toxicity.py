@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, ship
+from ._run import Carried, cut, ship
 
 U = np.uint64
 HEADS, TAILS = (3, 4, 5, 6), (4, 5)
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = [known.where(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     total = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = drawn[0].unionByName(drawn[1])
-    texts = cut(docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).select(F.coalesce(text_col, F.lit("")).alias("_t"), "_y"))
+    texts = cut(docs.select(F.col(id_col).alias("_i"), F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id")).select("_t", "_y"))
     found = texts.mapInArrow(_counts(bits), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where("p >= 2")
     sizes = {r["_y"]: r["count"] for r in texts.groupBy("_y").count().collect()}
     if len(sizes) < 2:
@@ -159,8 +159,8 @@ def _score(shared, bits: int, spans: bool):
                 w, sentence, of, buckets = _features(data, offsets, bits)
                 p = _sigmoid(bias + np.bincount(sentence, weights[buckets].sum(axis=1, dtype=np.float64), minlength=len(of)))
                 score = 1 - np.exp(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows))
-                out = [*[c.slice(row, rows) for c in b.columns[1:]], pa.array(np.clip(score, 0.0, 1.0))]
-                names = [*b.schema.names[1:], "score"]
+                out = [b.column(1).slice(row, rows), pa.array(np.clip(score, 0.0, 1.0))]
+                names = ["_row", "score"]
                 if spans:
                     bad = np.flatnonzero(p >= 0.5)
                     first = np.searchsorted(sentence, np.arange(len(of) + 1))
@@ -178,9 +178,10 @@ def toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text_col: str = "
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     bits = len(model[1]).bit_length() - 1
-    own = list(docs.columns)
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
-    return docs.select(F.col(text_col).alias("_text"), *own).mapInArrow(_score(shared, bits, spans), f"{kept}score double{', offending array<string>' if spans else ''}")
+    more = [("score", "double")] + [("offending", "array<string>")] * spans
+    own = Carried(docs, tuple(n for n, _ in more))
+    scored = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(_score(shared, bits, spans), own.schema(*more))
+    return own.unpacked(scored, *[n for n, _ in more])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._run import Carried
+
 
 def host(url: Column) -> Column:
     """Lower-case host without credentials, port, 'www.' and final dot; null if there is none."""
@@ -64,10 +66,13 @@ def matches(captures: DataFrame, events: DataFrame, id_col: str, url_col: str =
     return asked.join(valid, ["kind", "entry"]).where(during).select("id", "list", "kind", "entry", "valid_from")
 
 
-def filtered(captures: DataFrame, events: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
-    """captures with lists (names of the lists that match, sorted), n_entries and blocked."""
-    per = matches(captures.dropDuplicates([id_col, url_col, at_col]), events, id_col, url_col, at_col)
-    per = per.groupBy("id").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.countDistinct("list", "kind", "entry").alias("n_entries"))
-    out = captures.join(per, captures[id_col].eqNullSafe(per["id"]), "left").drop("id")
+def filtered(captures: DataFrame, events: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
+    """captures with lists (names of the lists that match, sorted), n_entries and blocked. Each URL and time is judged once."""
+    own = Carried(captures, ("lists", "n_entries", "blocked"))
+    rows = captures.select(own.packed, F.col(url_col).alias("_url"), F.col(at_col).alias("_at"))
+    asked = rows.select("_url", "_at").where("_url is not null and _at is not null").distinct()
+    per = matches(asked.withColumn("_k", F.struct("_url", "_at")), events, "_k", "_url", "_at")
+    per = per.groupBy(F.col("id._url").alias("_u"), F.col("id._at").alias("_t")).agg(F.array_sort(F.collect_set("list")).alias("lists"), F.countDistinct("list", "kind", "entry").alias("n_entries"))
+    out = rows.join(per, (F.col("_url") == F.col("_u")) & (F.col("_at") == F.col("_t")), "left")
     out = out.withColumn("lists", F.coalesce("lists", F.array().cast("array<string>"))).withColumn("n_entries", F.coalesce("n_entries", F.lit(0)).cast("long"))
-    return out.withColumn("blocked", F.col("n_entries") > 0)
+    return own.unpacked(out.withColumn("blocked", F.col("n_entries") > 0), "lists", "n_entries", "blocked")
