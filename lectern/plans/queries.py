@@ -382,7 +382,7 @@ def profile_vote(spark, d):
 def _words(spark, d):
     """Words of order lines on a page an order: two columns, a line a number."""
     n = F.col("l_linenumber")
-    x = read(spark, d, "lineitem").where(F.col("l_orderkey") < 4000).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    x = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
     x = x.select(F.col("l_orderkey").alias("doc_id"), n, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), F.col("l_quantity").alias("q"))
     left = 50 + 60 * F.col("j") + F.when((F.col("j") >= 4) & (F.col("doc_id") % 2 == 0), 60).otherwise(0)
     return x.select(
@@ -394,7 +394,7 @@ def _words(spark, d):
 
 WORDS = """(SELECT l_orderkey AS doc_id, 1 AS page, CAST(l_linenumber * 8 + j AS INTEGER) AS word_no, 'w' || j AS text, CAST(50 + 60 * j + CASE WHEN j >= 4 AND l_orderkey % 2 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS x0,
 CAST(90 + 60 * j + CASE WHEN j >= 4 AND l_orderkey % 2 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS x1, CAST(60 + 20 * l_linenumber + j % 3 AS DOUBLE) AS top, CAST(70 + 20 * l_linenumber + j % 3 AS DOUBLE) AS bottom, CAST(10 + l_quantity % 3 AS DOUBLE) AS size
-FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, unnest(range(0, 8)) AS j FROM lineitem WHERE l_orderkey < 4000 GROUP BY l_orderkey, l_linenumber))"""
+FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, unnest(range(0, 8)) AS j FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
 
 
 @query(f"SELECT doc_id, page, CAST(round_even(top / 3, 0) * 3 AS DOUBLE) AS bucket, count(*) AS n, string_agg(text, ' ' ORDER BY x0, word_no) AS text FROM {WORDS} GROUP BY doc_id, page, bucket")
@@ -427,12 +427,12 @@ def multi_column_pages(spark, d):
 
 
 def _boxes(spark, d):
-    o = read(spark, d, "orders").where((F.col("o_orderkey") < 4000) & (F.col("o_orderkey") % 3 == 0))
+    o = read(spark, d, "orders")
     box = F.struct(F.lit(100.0).alias("x0"), F.lit(75.0).alias("top"), F.lit(260.0).alias("x1"), (90 + F.col("o_orderkey") % 60).cast("double").alias("bottom"))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_no"), box.alias("bbox"))
 
 
-BOXES = "(SELECT o_orderkey AS doc_id, 100.0 AS bx0, 75.0 AS btop, 260.0 AS bx1, CAST(90 + o_orderkey % 60 AS DOUBLE) AS bbottom FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 3 = 0)"
+BOXES = "(SELECT o_orderkey AS doc_id, 100.0 AS bx0, 75.0 AS btop, 260.0 AS bx1, CAST(90 + o_orderkey % 60 AS DOUBLE) AS bbottom FROM orders)"
 
 
 @query(f"SELECT doc_id, word_no, text FROM {WORDS} w WHERE NOT EXISTS (SELECT 1 FROM {BOXES} b WHERE b.doc_id = w.doc_id AND (x0 + x1) / 2 BETWEEN bx0 - 2 AND bx1 + 2 AND (top + bottom) / 2 BETWEEN btop - 2 AND bbottom + 2)")
@@ -609,11 +609,11 @@ def clause_machine(spark, d):
     return out.select("doc_id", "item_no", "part", "clause_id", "title", "text", "classification", F.array_join("issues", ",").alias("issues"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS n, p_name FROM part WHERE p_partkey <= 200), h AS (SELECT *, (n - 1) // 4 AS g FROM p)
+@query("""WITH p AS (SELECT p_partkey AS n, p_name FROM part), h AS (SELECT *, (n - 1) // 4 AS g FROM p)
 SELECT CAST(0 AS BIGINT) AS doc_id, CAST(row_number() OVER (ORDER BY g, e) AS INTEGER) AS item_no, 'AC-' || (g + 1) || CASE WHEN e = 1 THEN '(1)' ELSE '' END AS clause_id, CASE WHEN e = 1 THEN 'MORE' ELSE 'NAME ' || g END AS title, text FROM (
 SELECT g, 0 AS e, string_agg(p_name, ' ' ORDER BY n) AS text FROM h WHERE (n - 1) % 4 IN (0, 1) GROUP BY g UNION ALL SELECT g, 1, string_agg(p_name, ' ' ORDER BY n) FROM h WHERE (n - 1) % 4 IN (2, 3) GROUP BY g)""")
 def catalog_controls(spark, d):
-    p = read(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") - 1).alias("n"), "p_name")
+    p = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("n"), "p_name")
     g = F.floor(F.col("n") / 4)
     head = F.when(F.col("n") % 4 == 0, F.concat(F.lit("AC-"), (g + 1).cast("string"), F.lit(" NAME "), g.cast("string"))).when(F.col("n") % 4 == 2, F.lit("(1) MORE"))
     lines = p.select(F.lit(0).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.array(head, "p_name")).alias("i", "text"), "n").where("text is not null")
@@ -707,3 +707,155 @@ def vocabulary(spark, d):
 def event_windows(spark, d):
     x = event_counts(read(spark, d, "events"))
     return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- smaller functions on fixtures
+
+NOISE_FIX = ["", "x", "CHAPTER THREE PAGE 9", "Abstract of it", "see doi.org/10.1/2", "TABLE C-2: totals", "Number", "A plain sentence.", "Prefaced words", "This publication is available free of charge"]
+
+
+@query(f"""SELECT k, CASE WHEN s = '' THEN 'empty_text' WHEN contains(lower(s), 'this publication is available free of charge') OR contains(lower(s), 'doi.org/') THEN 'doi_footer' WHEN regexp_matches(s, '(?i)^(CHAPTER|APPENDIX)\\s+([A-Z0-9\\s]+)?\\s*PAGE\\s+\\d+') THEN 'header_footer'
+WHEN regexp_matches(s, '(?i)^(JOINT TASK FORCE|Authority|Abstract|Errata|Foreword|Preface|Acknowledgments?)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'front_matter_skipped' WHEN length(s) = 1 THEN 'one_letter_fragment' WHEN contains(upper(s), 'TABLE C-') OR upper(s) = 'NUMBER' THEN 'appendix_summary_row' END AS code FROM {values(NOISE_FIX)}""")
+def noise_codes(spark, d):
+    return literal(spark, NOISE_FIX).select("k", S.noise_code(F.col("s"), F.lit("paragraph"), F.array().cast("array<string>")).alias("code"))
+
+
+STOP_FIX = ["REFERENCES", "References page 4", "Appendix B", "References: none", "Bibliography", "ANNEX A Forms", "A line that only mentions references", "APPENDIX D"]
+
+
+@query(f"""WITH x AS (SELECT k, s, regexp_matches(s, '(?i)^(REFERENCES|APPENDIX [ABC])(\\s+PAGE\\s+\\d+)?\\s*$') AS back, regexp_matches(s, '(?i)^references\\s*:') AS label FROM {values(STOP_FIX)})
+SELECT k, NOT label AND (back OR regexp_matches(s, '(?i)^Bibliography')) AS iso, NOT label AND (back OR regexp_matches(s, '(?i)^ANNEX\\s+[A-Z]')) AS legal, NOT label AND back AS generic FROM x""")
+def stop_boundaries(spark, d):
+    c = F.col("s")
+    return literal(spark, STOP_FIX).select("k", *[S.is_stop(c, P.PROFILES[p]).alias(p) for p in ("iso", "legal", "generic")])
+
+
+LABEL_FIX = ["Control: must", "Discussion : why", "guidance: how", "Other information: more", "Requirements: none", "Implementation Guidance: do"]
+
+
+@query(f"SELECT k, nullif(regexp_extract(s, '(?i)^(Implementation Guidance|Testing Procedure|Related Controls|Other information|Assessment Procedure|Control|Requirement|Discussion|Guidance|References|Notes|Objective|Purpose|Applicability)\\s*:', 1), '') AS label FROM {values(LABEL_FIX)}")
+def section_labels(spark, d):
+    return literal(spark, LABEL_FIX).select("k", T.section_label(F.col("s")).alias("label"))
+
+
+GRAMMAR_FIX = ["AC-2 ACCOUNT MANAGEMENT", "4.1 Context of use", "7 Support", "Article 3 (Scope)", "Requirement 2.1 Change defaults", "CIS Control 4 Secure configuration", "Annex B Forms", "no heading", "(1) AUTOMATED TOOLS", "(2) Mixed case"]
+
+
+@query(f"""WITH x AS (SELECT k, s, CASE WHEN regexp_matches(s, '^\\d+(\\.\\d+)*\\s+.+$') THEN regexp_extract(s, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 1) WHEN regexp_matches(s, '(?i)^(Annex|Appendix|Schedule)\\s+[A-Z0-9](\\.\\d+)*\\s+.+$') THEN regexp_extract(s, '(?i)^((?:Annex|Appendix|Schedule)\\s+[A-Z0-9](?:\\.\\d+)*)\\s+(.+)$', 1)
+WHEN regexp_matches(s, '(?i)^(Article|Chapter|Section|Part)\\s+\\d+\\s*(:|-)?\\s*.*$') THEN regexp_extract(s, '(?i)^((?:Article|Chapter|Section|Part)\\s+\\d+)', 1) END AS generic, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}-\\d+\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()]+$') THEN regexp_extract(s, '^([A-Z]{{2}}-\\d+)', 1) WHEN regexp_matches(s, '^\\(\\d+\\)\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()|]+$') THEN regexp_extract(s, '^\\((\\d+)\\)', 1) END AS catalog FROM {values(GRAMMAR_FIX)})
+SELECT k, generic, catalog, CASE WHEN contains(generic, '.') THEN CAST(len(string_split(generic, '.')) AS INTEGER) WHEN generic IS NOT NULL THEN 1 END AS level FROM x""")
+def heading_grammars(spark, d):
+    g, c = P.parse_heading(F.col("s"), P.PROFILES["generic"]), P.parse_heading(F.col("s"), P.PROFILES["nist80053"])
+    return literal(spark, GRAMMAR_FIX).select("k", g["clause_id"].alias("generic"), c["clause_id"].alias("catalog"), g["level"].alias("level"))
+
+
+FURNITURE_FIX = ["", "12", "xiv", "civil", "AB", "ab", "References page 3", "CHAPTER THREE PAGE 12", "NIST SP 800-53, REV. 5 and more", "_" * 32, "A real line of text"]
+
+
+@query(f"""SELECT k, s = '' OR contains(s, 'doi.org/10.6028/NIST.SP.800-53r5') OR starts_with(s, 'NIST SP 800-53, REV. 5') OR starts_with(s, repeat('_', 30)) OR regexp_matches(s, '(?i)^(CHAPTER THREE|CHAPTER TWO|CHAPTER ONE|REFERENCES|APPENDIX\\s+[A-C])\\s+PAGE\\s+\\d+$')
+OR regexp_matches(s, '^\\d{{1,3}}$') OR regexp_matches(s, '(?i)^[ivxlc]+$') OR (length(s) <= 2 AND NOT regexp_matches(s, '^[A-Z]{{2}}$')) AS furniture FROM {values(FURNITURE_FIX)}""")
+def catalog_furniture(spark, d):
+    return literal(spark, FURNITURE_FIX).select("k", T.is_catalog_furniture(F.col("s")).alias("furniture"))
+
+
+@query(f"SELECT doc_id, word_no, NOT (x0 < 60 AND (length(text) <= 3)) AND top BETWEEN 75 AND 180 AS kept FROM {WORDS}")
+def margins_and_bands(spark, d):
+    x = _words(spark, d)
+    inside = (F.col("top") >= 75) & (F.col("top") <= 180)
+    return x.select("doc_id", "word_no", (~T.is_side_margin(F.col("text"), F.col("x0"), F.col("upright"), 60.0) & inside).alias("kept"))
+
+
+@query(f"""SELECT k, {sql_strip("regexp_replace(regexp_replace(regexp_replace(s, '(?i)^(CHAPTER|APPENDIX)\\s+([A-Z0-9\\s]+)?\\s*PAGE\\s+\\d+', ''), '(?i)This publication is available free of charge( from:)?', ''), '(?i)https?://(dx\\.)?doi\\.org/[^\\s]+', '')")} AS text FROM {values(NOISE_FIX)}""")
+def noise_cleaned(spark, d):
+    return literal(spark, NOISE_FIX).select("k", T.clean_noise(F.col("s")).alias("text"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 40) || CASE WHEN length(text) > 40 THEN '...' ELSE '' END AS preview, 'REQ-' || CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS req, sha256(source || chr(0) || lang) AS key FROM documents""")
+def previews_and_keys(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 40).alias("preview"), T.req_id(F.col("doc_id")).alias("req"), T.cache_key(F.col("source"), F.col("lang")).alias("key"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '')[1], 'Slide ' || turn) AS title FROM conversations")
+def slide_titles(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.slide_title(F.col("text"), F.col("turn")).alias("title"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS n FROM lineitem) SELECT doc_id, page, CAST(n AS INTEGER) AS table_no, 'slide' || page || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS sheet_name FROM t""")
+def sheet_titles(spark, d):
+    n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    return I.sheet_names(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), n.alias("table_no")))
+
+
+@query("""SELECT source AS doc_id, count(*) >= 30 AND bool_or(page <= 5 AND t) AS is_catalog FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id % 7 = 0 AS t FROM documents) GROUP BY source""")
+def catalog_documents(spark, d):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    x = read(spark, d, "documents").select(F.col("source").alias("doc_id"), n.alias("page"), F.when(F.col("doc_id") % 7 == 0, "SP 800-53 Revision 5").otherwise("other").alias("raw_text"))
+    return R.is_catalog_document(x, least_pages=30)
+
+
+@query(f"""WITH a AS (SELECT doc_id, pos, kind, text FROM {WEB} WHERE pos < 2), b AS (SELECT doc_id, pos, kind, text FROM {WEB}), s AS (SELECT doc_id, count(*) FILTER (pos < 2) AS na, coalesce(sum(length(text)) FILTER (pos < 2), 0) AS ca, sum(length(text)) AS cb FROM {WEB} GROUP BY doc_id),
+u AS (SELECT doc_id, (na < 3 OR ca < 500) AND cb > ca AS other FROM s) SELECT b.doc_id, pos, kind, text FROM b JOIN u ON u.doc_id = b.doc_id WHERE other OR pos < 2""")
+def extractor_choice(spark, d):
+    x = _web(spark, d)
+    return H.arbitrate(x.where("pos < 2"), x).select("doc_id", "pos", "kind", "text")
+
+
+@query(f"WITH {VALID} SELECT doc_id, count(*) AS n_items, CAST(0 AS BIGINT) AS n_requirements, count(*) AS n_information, CAST(0 AS BIGINT) AS n_rejected, count(*) FILTER (len(issues) > 0) AS n_with_issues FROM v GROUP BY doc_id")
+def item_summary(spark, d):
+    return I.summary(V.validate(_line_items(spark, d)))
+
+
+@query(f"""WITH {CLAUSE}, e AS (SELECT *, sum(CAST(must AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY item_no) AS r FROM c WHERE item_no <= 5)
+SELECT c.doc_id, c.item_no, CASE WHEN e.must THEN 'Requirement' ELSE 'Information' END AS classification, CASE WHEN e.must THEN 'REQ-' || lpad(CAST(e.r AS VARCHAR), CAST(greatest(3, length(CAST(e.r AS VARCHAR))) AS INTEGER), '0') ELSE '' END AS req FROM c LEFT JOIN e ON e.doc_id = c.doc_id AND e.item_no = c.item_no""")
+def subset_merged_back(spark, d):
+    x = _clauses(spark, d)
+    some, _ = E.enrich(x.where("item_no <= 5"), E.Config(dry_run=True))
+    return E.merge_back(x, some).select("doc_id", "item_no", "classification", F.regexp_extract("detailed_description", r"^REQ-\d+", 0).alias("req"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, line_no + 1 AS block_no, CASE line_no % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'note' WHEN 2 THEN 'toc' ELSE 'paragraph' END AS t, text FROM {LINES}),
+h AS (SELECT *, last_value(CASE WHEN t = 'heading' THEN {sql_strip('text')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS INTEGER) AS item_no, coalesce(c, '') AS clause_id, text, 'Information' AS classification, CAST(0.95 AS DOUBLE) AS confidence FROM h WHERE t NOT IN ('heading', 'toc')""")
+def block_items(spark, d):
+    n = F.col("line_no") % 4
+    kind = F.when(n == 0, "heading").when(n == 1, "note").when(n == 2, "toc").otherwise("paragraph")
+    x = doc_lines(spark, d).select("doc_id", (F.col("line_no") + 1).alias("block_no"), F.lit(1).alias("page"), kind.alias("block_type"), "text", F.lit(0.95).alias("confidence"), F.array().cast("array<string>").alias("issues"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    return I.block_items(x).select("doc_id", "item_no", "clause_id", "text", "classification", "confidence")
+
+
+@query("""SELECT CAST(k AS BIGINT) AS k, t AS text, CAST(w AS INTEGER) AS width FROM (VALUES (0, 'a | b' || chr(10) || 'c | d', 2), (1, 'x |  | z' || chr(10) || 'y', 3)) AS v(k, t, w)""")
+def table_text(spark, d):
+    t = spark.createDataFrame([(0, [["a (cid:3)", "b"], ["c", " d "]]), (1, [["x", None, "z"], ["y"]])], "k long, rows array<array<string>>").coalesce(1)
+    return t.withColumn("rows", K.clean_cells(F.col("rows"))).select("k", K.as_text(F.col("rows")).alias("text"), K.width(F.col("rows")).alias("width"))
+
+
+CLASS_FIX = ["Requirement", "informative", "", "unsure"]
+
+
+@query(f"SELECT k, CASE WHEN s LIKE 'Require%' THEN 'Requirement' WHEN s LIKE 'inform%' THEN 'Information' ELSE 'Requirement' END AS fallback, CASE WHEN s LIKE 'Require%' THEN 'Requirement' ELSE 'Information' END AS plain FROM {values(CLASS_FIX)}")
+def class_names(spark, d):
+    return literal(spark, CLASS_FIX).select("k", E.norm_class(F.col("s"), F.lit("it shall be")).alias("fallback"), E.norm_class(F.col("s"), F.lit("it was")).alias("plain"))
+
+
+@query(f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM {LINES}), f AS (SELECT doc_id, line_no, CASE WHEN n % 6 = 1 THEN 'Article ' || n || ' (T)' ELSE text END AS text FROM g)
+SELECT doc_id, CASE WHEN count(DISTINCT CASE WHEN regexp_matches(text, '(?i)^(chapter|article|section|part|annex|schedule)\\s+\\d+(\\s*\\(|\\s+[A-Z]|\\s*$)') AND length(text) < 130 THEN text END) >= 3 THEN 'legal' ELSE 'numbered' END AS style FROM f GROUP BY doc_id""")
+def heading_styles(spark, d):
+    x = doc_lines(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
+    return G.heading_style(x.withColumn("text", F.when(F.col("n") % 6 == 1, F.concat(F.lit("Article "), F.col("n").cast("string"), F.lit(" (T)"))).otherwise(F.col("text"))))
+
+
+@query()
+def prose_conversion(spark, d):
+    from .convert import prose
+
+    w = _words(spark, d)
+    return prose(w, w.select("doc_id", "page").distinct(), "numbered").items
+
+
+@query()
+def preflight_pages(spark, d):
+    from .convert import preflight
+
+    w = _words(spark, d)
+    pages = w.groupBy("doc_id", "page").agg(F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("n_images"), F.lit(0).alias("n_rects"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_curves"), F.array_join(F.sort_array(F.collect_list("text")), " ").alias("raw_text"))
+    return preflight(w, pages, _boxes(spark, d))
