@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._run import Carried, cut, ship
 
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 
 
 class Targets:

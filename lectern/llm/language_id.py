@@ -34,6 +34,7 @@ from .html_text import main_text
 
 U = np.uint64
 BITS = 15
+CHUNK = 1 << 18  # bytes of text at once; there is a trigram a byte
 DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
 META = re.compile(r"<meta\b(?=[^>]*content-language)[^>]*?content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
 
@@ -57,7 +58,7 @@ def _tally(languages: list[str]):
         held = np.zeros((len(languages), 1 << BITS), dtype=np.int64)
         for b in batches:
             lang = np.array([place[x] for x in b.column(1).to_pylist()], dtype=np.int64)
-            for row, _, data, offsets in W.chunks(b.column(0)):
+            for row, _, data, offsets in W.chunks(b.column(0), CHUNK):
                 doc, bucket = _trigrams(data, offsets)
                 held += np.bincount(lang[row + doc] * (1 << BITS) + bucket, minlength=held.size).reshape(held.shape)
         at = np.flatnonzero(held.ravel())
@@ -89,8 +90,8 @@ def _scores(shared, evidence: float, html: bool):
         languages, logs = shared.value
         table = np.ascontiguousarray(logs.T)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
                 source = part.column(0)
                 declared = pa.nulls(part.num_rows, pa.string())
                 if html:
@@ -99,7 +100,7 @@ def _scores(shared, evidence: float, html: bool):
                     declared = pa.array([m[1].lower() if m else None for m in found], pa.string())
                     source = pa.array([main_text(x) for x in pages], pa.string())
                 out = np.zeros((part.num_rows, len(languages)))
-                for row, rows, data, offsets in W.chunks(source):
+                for row, rows, data, offsets in W.chunks(source, CHUNK):
                     doc, bucket = _trigrams(data, offsets)
                     n = np.bincount(doc, minlength=rows)
                     sums = np.stack([np.bincount(doc, table[bucket, j], minlength=rows) for j in range(len(languages))], axis=1)
