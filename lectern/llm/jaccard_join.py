@@ -40,6 +40,7 @@ from .components import components
 
 U = np.uint64
 SMALL = 200  # largest boundary that is considered
+MOST_HELD = 400_000  # pairs that a task holds before it hands them on
 MAP_BITS = 26  # of a code, for the bitmaps: 8 MB each
 
 
@@ -238,7 +239,7 @@ def _signatures(n: int, t: tuple[int, int], light: int, shared):
     return each
 
 
-def _by_signature(solve, rows_at_once: int = 200_000):
+def _by_signature(solve, rows_at_once: int = 100_000):
     """Runs solve on tables of rows sorted by the first column that hold all rows of a value."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +295,10 @@ def _pairs(t: tuple[int, int], reach: int, block: int = 512):
                     break
                 ok &= fits(n[k:], i[k:], n[:-k], i[:-k])
                 held.append(np.stack([c[:-k][ok], c[k:][ok]]))
+                rows += int(ok.sum())
+                if rows > MOST_HELD:
+                    yield batch(held)
+                    held, rows = [], 0
         else:
             ends = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, dtype=np.int64)
             for a, z in zip(ends[:-1], ends[1:], strict=True):
@@ -305,15 +310,16 @@ def _pairs(t: tuple[int, int], reach: int, block: int = 512):
                     if len(p):
                         held.append(np.stack([c[lo + p], c[lo + q]]))
                         rows += len(p)
-                        if rows > 2_000_000:
+                        if rows > MOST_HELD:
                             yield batch(held)
                             held, rows = [], 0
         if held:
             yield batch(held)
 
     def batch(held: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.concatenate(held, axis=1)
-        x = np.unique(np.sort(x, axis=0), axis=1) if x.size else x.astype(np.int64)
+        x = np.sort(np.concatenate(held, axis=1), axis=0)
+        x = x[:, np.lexsort(x)]
+        x = x[:, np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(axis=0)])] if x.size else x
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     return _by_signature(solve)
