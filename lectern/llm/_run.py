@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import cut, shared_dir, ship
 
-__all__ = ["Carried", "cut", "shared_dir", "ship", "table"]
+__all__ = ["Carried", "cut", "lean", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches whose worker gives memory back: large arrays when they are freed, the rest when its partition ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays from 4 MB on are mapped, so freed ones leave the process
+        except (OSError, AttributeError):  # not glibc
+            libc = None
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        if libc is not None and hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 class Carried:
     """The columns of a frame that pass through an operator, packed in one struct: no name of theirs can clash with the operator's.
 

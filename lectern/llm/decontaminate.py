@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import Carried, cut, ship
+from ._run import Carried, cut, lean, ship
 
 CHUNK = 3 << 19
 
@@ -158,7 +158,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, mode: str, fields: tuple, tex
     out = []
     for items in _blocks(benchmark, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Targets(items, window))
-        found = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(_scan(shared, mode, CHUNK), own.schema(*fields))
+        found = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(lean(_scan(shared, mode, CHUNK)), own.schema(*fields))
         out.append(own.unpacked(found, *[n for n, _ in fields]))
     return out
 

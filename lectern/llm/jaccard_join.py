@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, ship
+from ._run import cut, lean, ship
 from .components import components
 
 U = np.uint64
@@ -351,7 +351,7 @@ def _verify(n: int, t: tuple[int, int]):
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough, judged on whole texts."""
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("_t").alias("_ta")), "a")
-    return left.join(texts.select(F.col("cid").alias("b"), F.col("_t").alias("_tb")), "b").select("a", "b", "_ta", "_tb").mapInArrow(_verify(n, t), "a long, b long")
+    return left.join(texts.select(F.col("cid").alias("b"), F.col("_t").alias("_tb")), "b").select("a", "b", "_ta", "_tb").mapInArrow(lean(_verify(n, t)), "a long, b long")
 
 
 def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequency, float, dict[int, int]]:
@@ -360,9 +360,9 @@ def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequen
     bits = min(max(int(keyed.count() / 1000).bit_length(), 6), 20)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     counted = (
-        keyed.select("_t").mapInArrow(_count(n, bits), "bucket int, once binary, more binary, times binary")
+        keyed.select("_t").mapInArrow(lean(_count(n, bits)), "bucket int, once binary, more binary, times binary")
         .repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_tables(bits, often, most), "bucket int, shared binary, frequent binary, s1 double, s2 double, top array<long>, times array<long>")
+        .mapInArrow(lean(_tables(bits, often, most)), "bucket int, shared binary, frequent binary, s1 double, s2 double, top array<long>, times array<long>")
     )
     counted = cut(counted)
     top = counted.where("bucket >= 0").select(F.explode(F.arrays_zip("top", "times")).alias("x")).select("x.top", "x.times").orderBy(F.desc("times"), "top").limit(most)
@@ -386,7 +386,7 @@ def jaccard_components(
     shared = spark.sparkContext.broadcast(known)
     light = boundary(sizes, mean, threshold)
 
-    signed = cut(keyed.mapInArrow(_signatures(n, threshold, light, shared), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>, places array<int>"))
+    signed = cut(keyed.mapInArrow(lean(_signatures(n, threshold, light, shared)), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>, places array<int>"))
     classes = cut(
         signed.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_d", "_h")).alias("rep"))
         .select("k1", "k2", "n_shingles", "rep._d", "rep._h", F.monotonically_increasing_id().alias("cid"))
@@ -394,13 +394,13 @@ def jaccard_components(
     sets = cut(signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"]).select("cid", "n_shingles", "signatures", "places"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = sets.select(F.explode(F.arrays_zip("signatures", "places")).alias("x"), "cid", "n_shingles").select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"))
-    rows = cut(rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_by_signature(_listed), rows.schema))
+    rows = cut(rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(lean(_by_signature(_listed)), rows.schema))
     need = rows.select("cid").distinct().join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
     texts = cut(keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t").dropDuplicates(["cid"]))
     tested = edges = roots = None
     for reach in (*reaches, 0):
         placed = rows.withColumn("root", F.col("cid")) if roots is None else rows.join(roots, rows.cid == roots.node, "left").select(*rows.columns, F.coalesce("root", "cid").alias("root"))
-        found = placed.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_pairs(threshold, reach), "a long, b long").distinct()
+        found = placed.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(lean(_pairs(threshold, reach)), "a long, b long").distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = cut(found)

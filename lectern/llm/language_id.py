@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, ship
+from ._run import cut, lean, ship
 from .html_text import main_text
 
 U = np.uint64
@@ -78,7 +78,7 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", per_
     # of a language with n texts, those with the least hash, about per_language of them: no sort, no text is moved
     rate = F.create_map(*[F.lit(y) for x, n in share.items() for y in (x, min(1.0, per_language / n))])
     drawn = known.where(F.pmod(F.xxhash64("_t"), F.lit(1_000_000)) < rate[F.col("_l")] * 1_000_000)
-    counts = drawn.mapInArrow(_tally(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x 2**BITS cells at most
+    counts = drawn.mapInArrow(lean(_tally(languages)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x 2**BITS cells at most
     held = np.full(len(languages) << BITS, 0.5)
     held[counts["cell"].to_numpy(np.int64)] += counts["n"].to_numpy(np.float64)
     held = held.reshape(len(languages), -1)
@@ -118,7 +118,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], column: st
     ship(spark)
     own = [c for c in rows.columns if c != column]
     kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in own)
-    return rows.select(column, *own).mapInArrow(_scores(spark.sparkContext.broadcast(model), evidence, html), f"{kept}declared string, text_log array<double>")
+    return rows.select(column, *own).mapInArrow(lean(_scores(spark.sparkContext.broadcast(model), evidence, html)), f"{kept}declared string, text_log array<double>")
 
 
 def _address(url: Column, languages: list[str]) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import Carried, cut, ship
+from ._run import Carried, cut, lean, ship
 
 LAST = (1 << 63) - 1
 
@@ -176,18 +176,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     keyed = _keyed(docs, id_col, text_col)
-    runs = cut(keyed.mapInArrow(_prefix_runs(window, prefix), "_d long, _h long, prefix long, start int, n int"))
+    runs = cut(keyed.mapInArrow(lean(_prefix_runs(window, prefix)), "_d long, _h long, prefix long, start int, n int"))
     shared = (
         runs.groupBy("prefix").agg(F.min("_d").alias("least"), F.max("_d").alias("most"), F.count("*").alias("runs"))
         .where("least < most").select("prefix", (F.col("runs") > group_limit).alias("hot"))
     )
     wanted = runs.join(shared, "prefix").groupBy("_d", "_h").agg(F.array_distinct(F.collect_list(F.struct("prefix", "start", "n", "hot"))).alias("runs"))
-    below = cut(keyed.join(wanted, ["_d", "_h"]).select("_d", "_h", "_t", "runs").mapInArrow(_suffixes(window), "_d long, _h long, prefix long, hot boolean, start int, codes array<long>"))
+    below = cut(keyed.join(wanted, ["_d", "_h"]).select("_d", "_h", "_t", "runs").mapInArrow(lean(_suffixes(window)), "_d long, _h long, prefix long, hot boolean, start int, codes array<long>"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     usual = (
         below.where("not hot").select("_d", "_h", "prefix", "start", "codes")
         .repartition(parts, "prefix").sortWithinPartitions("prefix")
-        .mapInArrow(_subtrees(window), "_d long, _h long, lo int, hi int")
+        .mapInArrow(lean(_subtrees(window)), "_d long, _h long, lo int, hi int")
     )
     nodes = below.where("hot").select("_d", "_h", "prefix", "start", F.posexplode("codes").alias("at", "code"))
     least = nodes.groupBy("prefix", "code").agg(F.min("_d").alias("least"))
@@ -226,5 +226,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = Carried(docs, added, () if keep_text else (text_col,))
     keyed = docs.select(own.packed, text.alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_h"))
     joined = keyed.join(spans, ["_d", "_h"], "left").select("_t", "_spans", "_row")
-    out = joined.mapInArrow(_kept, own.schema(("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")))
+    out = joined.mapInArrow(lean(_kept), own.schema(("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")))
     return own.unpacked(out, *[c for c in added if keep_text or c != "kept_text"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import Carried, cut, ship
+from ._run import Carried, cut, lean, ship
 
 U = np.uint64
 HEADS, TAILS = (3, 4, 5, 6), (4, 5)
@@ -133,14 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = drawn[0].unionByName(drawn[1])
     texts = cut(docs.select(F.col(id_col).alias("_i"), F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id")).select("_t", "_y"))
-    found = texts.mapInArrow(_counts(bits), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where("p >= 2")
+    found = texts.mapInArrow(lean(_counts(bits)), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where("p >= 2")
     sizes = {r["_y"]: r["count"] for r in texts.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return -30.0, weights
     rate = F.log(((F.col("p") + 0.5) / sizes[1]) / ((F.col("q") + 0.5) / sizes[0]))
     best = found.withColumn("gain", F.col("p") * rate).where(rate > 1.0).orderBy(F.desc("gain"), "bucket").limit(features).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(best)
-    bags = texts.mapInArrow(_bags(bits, shared), "label int, n int, sentence array<int>, feature array<int>").toPandas()
+    bags = texts.mapInArrow(lean(_bags(bits, shared)), "label int, n int, sentence array<int>, feature array<int>").toPandas()
     doc = np.repeat(np.arange(len(bags)), bags["feature"].map(len).to_numpy())
     flat = lambda c: np.concatenate([np.asarray(x, dtype=np.int64) for x in bags[c]]) if len(bags) else np.empty(0, dtype=np.int64)
     label = bags["label"].to_numpy()
@@ -180,7 +180,7 @@ def toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text_col: str = "
     bits = len(model[1]).bit_length() - 1
     more = [("score", "double")] + [("offending", "array<string>")] * spans
     own = Carried(docs, tuple(n for n, _ in more))
-    scored = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(_score(shared, bits, spans), own.schema(*more))
+    scored = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(lean(_score(shared, bits, spans)), own.schema(*more))
     return own.unpacked(scored, *[n for n, _ in more])
 
 
