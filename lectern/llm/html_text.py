@@ -4,8 +4,10 @@ Markup is stripped to lines, one for each block element, in page order. A line w
 in links; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role,
 or a word of class or id) weigh nothing, and neither do lines outside the article if the page marks one. Weights are
 summed over a window of ``window`` lines that slides over the page. A surge is where the sum first rises over a
-threshold, relative to the page's largest sum; the dive that ends it is where the sum is back at nothing. What lies
-between is kept: all stretches of a marked article, else the stretches that hold a fair share of the largest's text.
+threshold, relative to the page's largest sum; the dive that ends it is where the sum is back at nothing. Boxes between
+lines are no dive. What lies between is kept, however short: of marked pages every stretch of every article, but those
+that are mostly links, are named as a box or lie in a box that is closed after them (all articles if there are only such);
+of other pages every stretch that is not mostly links.
 
 Broken markup: p, li, cells, options close their like; an end tag closes what is open inside it; a start of the
 article closes unclosed boxes around it; quotes left open in a tag end with the tag.
@@ -84,23 +86,26 @@ def _box(tag: str, attrs: str, inside: bool) -> str:
     return ""
 
 
-def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
-    """Text, weight and article (0: none) of each line; the lines of boxes are empty. boxes: whether class words and elements make boxes."""
+def lines(html: str, boxes: bool = True) -> tuple[list[tuple[str, int, int]], set[int]]:
+    """Text, weight and article (0: none) of each line outside boxes, and the articles that are named as a box or lie in one.
+
+    boxes: whether class words and elements make boxes.
+    """
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, str, int]] = []  # tag, box, article
     piece: list[str] = []
-    linked = skipped = 0
+    boxed: set[int] = set()
+    left: list[list] = []  # of boxes that an article closed: tag, open elements of that tag, first article
+    linked = 0
     box, article, articles, anchors = "", 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked, skipped
+        nonlocal linked
         text = " ".join(unescape("".join(piece)).split()) if piece else ""
         if text:
             out.append((text, max(len(text) - linked, 0), article))
-        elif skipped:
-            out.append(("", 0, article))
         piece.clear()
-        linked = skipped = 0
+        linked = 0
 
     def pop_to(i: int) -> None:
         nonlocal box, article, anchors
@@ -111,10 +116,8 @@ def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
         box, article = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
 
     def text(s: str) -> None:
-        nonlocal linked, skipped
-        if box:
-            skipped += not s.isspace()
-        elif s:
+        nonlocal linked
+        if s and not box:
             piece.append(s)
             if anchors:
                 linked += len(" ".join(s.split()))
@@ -138,6 +141,11 @@ def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
             if tag == "br":
                 text(" ")
                 continue
+            for x in [x for x in left if x[0] == tag]:
+                x[1] -= 1
+                if not x[1]:  # it was not left open
+                    left.remove(x)
+                    boxed.update(range(x[2], articles + 1))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -152,7 +160,6 @@ def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
             if not attrs.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 at = close.start() if close else len(html) if tag in ("script", "style", "title", "textarea") else at
-                skipped += tag in ("textarea",)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -176,11 +183,16 @@ def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
                     break
         if tag in BLOCK and tag != "head" and any(t == "head" for t, _, _ in stack):
             pop_to(next(i for i, x in enumerate(stack) if x[0] == "head"))
+        for x in left:
+            x[1] += x[0] == tag
         kind = _box(tag, attrs, bool(article)) if boxes or tag == "head" else ""
+        named = kind == "box"
         if tag in ("article", "main") and kind != "remark":
             kind = ""
             if box == "box" and not article:  # boxes left open
-                pop_to(next(i for i, x in enumerate(stack) if x[1]))
+                i = next(i for i, x in enumerate(stack) if x[1])
+                left.append([stack[i][0], sum(x[0] == stack[i][0] for x in stack[i:]), articles + 1])
+                pop_to(i)
         if tag in BLOCK:
             flush()
         if tag == "a":
@@ -189,9 +201,11 @@ def lines(html: str, boxes: bool = True) -> list[tuple[str, int, int]]:
         if tag == "article" and not box and not (stack and any(t == "article" for t, _, _ in stack)) or tag == "main" and not box and not article:
             articles += 1
             article = articles if tag == "article" else -articles
+            if named:
+                boxed.add(articles)
         stack.append((tag, box, article))
     flush()
-    return out
+    return out, boxed
 
 
 def _stretches(weights: list[int], window: int, share: float) -> list[tuple[int, int, int]]:
@@ -216,25 +230,25 @@ def _stretches(weights: list[int], window: int, share: float) -> list[tuple[int,
     return out
 
 
-def main_text(html: str, window: int = 3, share: float = 0.05, fair: float = 0.3) -> str:
+def main_text(html: str, window: int = 3, share: float = 0.05) -> str:
     for boxes in (True, False):
-        found = lines(html, boxes)
+        found, boxed = lines(html, boxes)
         size: dict[int, int] = {}
-        for text, _, article in found:
+        free: dict[int, int] = {}
+        for text, w, article in found:
             size[article] = size.get(article, 0) + len(text)
+            free[article] = free.get(article, 0) + w
         size.pop(0, None)
-        real = {a: n for a, n in size.items() if a > 0 and n} or {a: n for a, n in size.items() if n}
+        real = {a for a, n in size.items() if a > 0 and n} or {a for a, n in size.items() if n}
         if real:
-            largest = max(real.values())
-            chosen = {a for a, n in real.items() if n >= fair * largest}
-            found = [(t, len(t) if a in chosen else 0) for t, _, a in found]
-            kept = _stretches([w for _, w in found], window, 0.0)
+            chosen = {a for a in real if abs(a) not in boxed and 2 * free[a] >= size[a]} or real
+            weighed = [(t, len(t) if a in chosen else 0) for t, _, a in found]
+            kept = _stretches([w for _, w in weighed], window, 0.0)
         else:
-            found = [(t, w if 2 * w >= len(t) else 0) for t, w, _ in found]
-            kept = _stretches([w for _, w in found], window, share)
-            most = max((s for *_, s in kept), default=0)
-            kept = [k for k in kept if k[2] >= fair * most]
-        out = "\n\n".join(t for a, z, _ in kept for t, w in found[a:z] if t and w)
+            weighed = [(t, w if 2 * w >= len(t) else 0) for t, w, _ in found]
+            every = _stretches([w for _, w in weighed], window, share)
+            kept = [(a, z, n) for a, z, n in every if 2 * sum(w for _, w, _ in found[a:z]) >= sum(len(t) for t, _, _ in found[a:z])] or every
+        out = "\n\n".join(t for a, z, _ in kept for t, w in weighed[a:z] if t and w)
         if out:
             return out
     return ""

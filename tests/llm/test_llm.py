@@ -248,6 +248,25 @@ def test_main_text_without_an_article():
     assert got[0] == "Title" and got[-1] == "End." and len(got) == 10
 
 
+def test_a_box_in_mid_article_does_not_cut_it():
+    told = [c * 200 for c in "abc"]
+    page = "<body><p>{}<p>{}<p>{}<div class=ad><p>x</p><p>y</p><p>z</p></div><p>{}</body>".format(*told, "d" * 100)
+    assert H.main_text(page).split("\n\n") == [*told, "d" * 100]
+    page = "<body><p>{}<div class=related><ul><li>x<li>y<li>z</ul></div>{}</body>".format("d" * 100, "".join(f"<p>{t}" for t in told))
+    assert H.main_text(page).split("\n\n") == ["d" * 100, *told]
+    links = "".join(f"<li><a href={i}>{'l' * 40}</a>" for i in range(4))
+    page = f"<body><p>{'a' * 10_000}<ul>{links}</ul><p>{'b' * 2_900}</body>"
+    assert H.main_text(page).split("\n\n") == ["a" * 10_000, "b" * 2_900]
+
+
+def test_short_sibling_articles_stay():
+    page = "".join(f"<article><p>{c * n}</p></article>" for c, n in (("a", 1_000), ("b", 40), ("c", 3)))
+    assert H.main_text(page).split("\n\n") == ["a" * 1_000, "b" * 40, "c" * 3]
+    others = f"<article class=teaser><p>{'t' * 500}</p></article><article><a href=x>{'l' * 500}</a></article><aside><div><article><p>{'s' * 500}</p></article></div></aside><article><p>z</article>"
+    assert H.main_text(f"<body><div>{page}{others}</div>").split("\n\n") == ["a" * 1_000, "b" * 40, "c" * 3, "z"]
+    assert H.main_text(f"<body><aside><p>Open<article><p>{'a' * 100}</article><article><p>b</article>").split("\n\n") == ["a" * 100, "b"]
+
+
 @pytest.mark.parametrize("html,want", [("", ""), ("just text", "just text"), ("<p>a<!-- <p>b -->c</p>", "ac"), ("<p>x &lt;b&gt; &#233;", "x <b> é"), ("<p title='a>b'>y</p>", "y"), ("<script>only", "")])
 def test_small_pages(html, want):
     assert H.main_text(html) == want
