@@ -4,7 +4,8 @@ Every chunk of documents (a shard that bounds memory) is sorted into a word suff
 Each suffix of every benchmark item is binary-searched in it, all at once and one word deeper at a time, which gives
 its longest verbatim match up to that depth and the places where it matches. A benchmark window is ``window``
 consecutive words of an item; an item with fewer words, but not none, is one window. Words of documents inside a
-place of a whole window are hit.
+place of a whole window are hit. Places of windows that follow each other in the document and in the item join to a
+longest match; common stretches shorter than a window are none.
 
 The items go to the executors in blocks of at most ``block_words`` words, each read by its own pass over the
 documents, so what is broadcast is bounded whatever the benchmark's size. Words are compared by 64-bit codes.
@@ -36,7 +37,7 @@ class Targets:
         self.window = window
         rank = {n: k for k, n in enumerate(self.names)}
         text = pa.array([t or "" for _, t in items], pa.large_string())
-        codes, sizes, whole, item = [], [], [], []
+        codes, sizes, whole, item, at, n = [], [], [], [], [], 0
         for row, rows, data, offsets in W.chunks(text):
             w = W.words(data, offsets, W.ALNUM)
             padded = np.concatenate([w.code, np.zeros(window, dtype=np.uint64)])
@@ -47,8 +48,10 @@ class Targets:
             sizes.append(size)
             whole.append((size == window) | ((left == all_) & (all_ < window)))
             item.append(np.array([rank[str(items[row + r][0])] for r in range(rows)], dtype=np.int64)[w.doc])
+            at.append(n + np.arange(len(w.code)) + w.doc)  # consecutive in an item, with a gap after it
+            n += len(w.code) + rows
         self.codes = np.concatenate(codes) if codes else np.empty((0, window), dtype=np.uint64)
-        self.sizes, self.whole, self.item = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (sizes, whole, item))
+        self.sizes, self.whole, self.item, self.at = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (sizes, whole, item, at))
         self.whole = self.whole.astype(bool)
 
 
@@ -105,6 +108,23 @@ def search(known: np.ndarray, text: np.ndarray, sa: np.ndarray, t: Targets) -> t
     return length, lo, hi
 
 
+def joined(place: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and item of the longest matches, by begin; place and at: where a window is in the documents and the items."""
+    o = np.lexsort((place, place - at))
+    place, at, doc, item, words = place[o], at[o], doc[o], item[o], words[o]
+    new = np.ones(len(o), dtype=bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(at) != 1) | (np.diff(doc) != 0)
+    lo, item = place[new], item[new]
+    hi = (place + words)[np.append(new[1:], True)] if len(o) else lo
+    o = np.lexsort((-hi, lo, item))
+    lo, hi, item = lo[o], hi[o], item[o]
+    reach = np.maximum.accumulate(item * (int(hi.max(initial=0)) + 1) + hi)  # a match inside another one of its item is not a longest
+    keep = np.append(True, reach[1:] > reach[:-1])[: len(o)]
+    lo, hi, item = lo[keep], hi[keep], item[keep]
+    o = np.lexsort((item, lo))
+    return lo[o], hi[o], item[o]
+
+
 def _scan(shared, mode: str, chunk: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Targets = shared.value
@@ -121,10 +141,10 @@ def _scan(shared, mode: str, chunk: int):
                 doc, words, item = w.doc[place], np.repeat(t.sizes[full], size), np.repeat(t.item[full], size)
                 rest = b.column(1).slice(row, rows)
                 if mode == "places":
-                    o = np.lexsort((item, place, doc))
-                    picked = pa.array(doc[o])
-                    begin = place[o] - w.first[doc[o]]
-                    yield pa.RecordBatch.from_arrays([rest.take(picked), pa.array(t.names[item[o]].astype(str), pa.string()), pa.array(begin), pa.array(begin + words[o])], names=["_row", "item_id", "lo", "hi"])
+                    lo, hi, item = joined(place, np.repeat(t.at[full], size), doc, item, words)
+                    doc = w.doc[lo]
+                    begin = w.first[doc]
+                    yield pa.RecordBatch.from_arrays([rest.take(pa.array(doc)), pa.array(t.names[item].astype(str), pa.string()), pa.array(lo - begin), pa.array(hi - begin)], names=["_row", "item_id", "lo", "hi"])
                     continue
                 gone = np.zeros(len(w.code) + 1, dtype=np.int64)
                 np.add.at(gone, place, 1)
@@ -168,7 +188,11 @@ COUNTS = ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
-    """docs' columns but the text with item_id, lo, hi: each longest stretch of words that windows of one item cover."""
+    """docs' columns but the text with item_id, lo, hi: each longest stretch of words that is verbatim in one item.
+
+    It has a window at least, or the whole of a shorter item. A stretch inside a longer one of the same item is left
+    out, and one that an item has more than once is one row.
+    """
     own = Carried(docs, tuple(n for n, _ in PLACES), (text_col,))
     found = None
     for p in _passes(docs, benchmark, "places", PLACES, text_col, item_col, item_text_col, window, block_words, own):

@@ -138,6 +138,44 @@ def test_longest_matches_and_removal(spark):
     assert D.remove_contaminated(docs, bench.limit(0)).count() == 2 and D.contamination(docs.limit(0), bench).count() == 0
 
 
+def longest(docs, items, n):
+    """Longest common stretches of n words or more, or of whole shorter items, by the table of common suffixes."""
+    out = set()
+    for i, t in docs:
+        w, found = brute.alnum(t), set()
+        for name, u in items:
+            v = brute.alnum(u)
+            least = min(n, len(v))
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    if a and b and w[a - 1] == v[b - 1]:
+                        continue
+                    k = 0
+                    while a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]:
+                        k += 1
+                    if k >= least:
+                        found.add((name, a, a + k))
+        out |= {(i, *x) for x in found if not any(x != y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)}
+    return out
+
+
+@pytest.mark.parametrize("block_words", [500_000, 40])
+def test_longest_matches_equal_brute_force(spark, block_words):
+    rows = texts(7, 40) + [(9000, None), (9001, "x k l m n o p k l m n o p k"), (9002, "k l m"), (9003, "r"), (9004, "r")]
+    items = [(str(i), t) for i, t in texts(8, 12)] + [("500", "k l m"), ("501", None), ("503", "k l m n o p k l m n o p"), ("504", "r"), ("505", "k")]
+    got = D.longest_matches(spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame(items, "item_id string, text string"), window=6, block_words=block_words)
+    got = [(r["doc_id"], r["item_id"], r["lo"], r["hi"]) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == longest(rows, items, 6)
+
+
+def test_a_long_passage_is_one_match(spark):
+    passage = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, passage), (3, f"{passage} {passage}")], DOCS)
+    bench = spark.createDataFrame([("q", f"t {passage} u"), ("r", f"{passage} {passage}")], "item_id string, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["lo"], r["hi"]) for r in D.longest_matches(docs, bench).collect())
+    assert got == [(1, "q", 2, 302), (1, "r", 2, 302), (2, "q", 0, 300), (2, "r", 0, 300), (3, "q", 0, 300), (3, "q", 300, 600), (3, "r", 0, 600)]
+
+
 # ---- mixing
 
 
