@@ -253,6 +253,31 @@ def assessment_sheet(spark, d):
     return I.assessment_rows(I.paragraph_items(_spoken(spark, d)), "STD").drop(*I.ENRICHED)
 
 
+# The three above see the first 60 characters of a turn, as their SQL has it; the next three see whole turns.
+TURNS = SPOKEN.replace("substr(text, 1, 60) AS text", "text")
+TURN_ITEMS = ITEMS.replace(SPOKEN, TURNS)
+
+
+def _turns(spark, d):
+    c = read(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_id"), F.when(F.col("role") == "user", "heading").otherwise("body").alias("kind"), "text")
+
+
+@query(f"SELECT doc_id, para_id, kind, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM {TURNS}")
+def section_carry_whole(spark, d):
+    return G.carry_section(_turns(spark, d), "para_id").select("doc_id", "para_id", "kind", "section")
+
+
+@query(f"WITH {TURN_ITEMS} SELECT * FROM i")
+def prose_items_whole(spark, d):
+    return I.paragraph_items(_turns(spark, d))
+
+
+@query(f"""WITH {TURN_ITEMS} SELECT doc_id, CAST(item_no + 9 AS INTEGER) AS sheet_row, 'STD_' || item_no AS row_id, CASE WHEN clause_id IS NOT DISTINCT FROM lag(clause_id) OVER (PARTITION BY doc_id ORDER BY item_no) THEN NULL ELSE clause_id END AS clause, title, text, classification FROM i""")
+def assessment_sheet_whole(spark, d):
+    return I.assessment_rows(I.paragraph_items(_turns(spark, d)), "STD").drop(*I.ENRICHED)
+
+
 # ---- web blocks
 
 WEB_FIX = [(1, 0, "body", "1."), (1, 1, "body", "(a)"), (1, 2, "body", "First text"), (1, 3, "body", "First  text"), (1, 4, "heading", "Title"), (1, 5, "heading", "Title"), (1, 6, "body", "ii)"), (2, 0, "body", "①"), (2, 1, "heading", "Article 1"), (2, 2, "body", "Article 1")]
