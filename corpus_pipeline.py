@@ -1,7 +1,8 @@
 """Five stages over the documents: each gets what its predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
-the columns of documents. Rows without an id are kept by the filtering stages as they are judged.
+the columns of documents. Rows without an id are kept by the filtering stages as they are judged. Of rows that repeat,
+with or without an id, the stage of near copies keeps one.
 """
 
 from __future__ import annotations
@@ -24,13 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of documents linked by a shingle similarity of 0.8 or more the one with the least id stays."""
-    found = jaccard_components(docs, n=5, threshold=(80, 100))
-    gone = found.where("n_shingles > 0 and component_id is not null and (_d is null or _d > component_id)").select("_d", "_h").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    gone = gone.select(F.col("_d").alias("_gone"), F.col("_h").alias("_with"))
-    kept = docs.withColumn("_h", F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_with")), "left_anti")
-    return kept.select(*docs.columns)
+    """Operator 6: of each group of documents linked by a shingle similarity of 0.8 or more the one with the least id stays.
+
+    Rows without an id come after all others; of rows with the least id, or of rows without one, the least hash of a text
+    stays, and of rows alike in both the least by all columns. Documents without words are no copies of each other.
+    """
+    found = cut(jaccard_components(docs, n=5, threshold=(80, 100)).where("n_shingles > 0").groupBy("_d", "_h", "group_id").agg(F.count("*").alias("_n")))
+    place = F.struct(F.col("_d").isNull().alias("late"), F.col("_d").alias("id"), F.col("_h").alias("hash"))
+    best = found.groupBy("group_id").agg(F.min(place).alias("best"))
+    judged = found.join(best, "group_id").select(F.col("_d").alias("_id"), F.col("_h").alias("_with"), "_n", (place == F.col("best")).alias("_stays"))
+    gone, repeated = judged.where("not _stays").drop("_n", "_stays"), judged.where("_stays and _n > 1").drop("_n", "_stays")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_with"))
+    kept = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(gone, same, "left_anti")
+    single = kept.join(repeated, same, "left_anti").select(*docs.columns)
+    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.unionByName(once.select("_row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

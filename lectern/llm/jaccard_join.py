@@ -376,7 +376,7 @@ def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequen
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), often: int = 10, most: int = 50_000, reaches: tuple[int, ...] = (1, 4, 16, 64)
 ) -> DataFrame:
-    """One row a row of docs: _d (its id), _h (its text's hash), n_shingles, class_id, component_id (the least id that links reach)."""
+    """One row a row of docs: _d (its id), _h (its text's hash), n_shingles, class_id, component_id (the least id that links reach), group_id (a class that names the component, also without ids)."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -414,11 +414,11 @@ def jaccard_components(
         roots = spark.createDataFrame([], "node long, root long")
     named = classes.join(roots, classes.cid == roots.node, "left").select("k1", "k2", "_d", "cid", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("_d").alias("component_id"))
-    named = named.join(least, "root").select("k1", "k2", "cid", "component_id")
+    named = named.join(least, "root").select("k1", "k2", "cid", "root", "component_id")
     alone = F.col("n_shingles") == 0
     out = signed.select("_d", "_h", "k1", "k2", "n_shingles").join(named, ["k1", "k2"])
     null_id = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
     return out.select(
         null_id("_d").alias("_d"), "_h", "n_shingles", F.col("cid").alias("class_id"),
-        F.when(alone, null_id("_d")).otherwise(null_id("component_id")).alias("component_id"),
+        F.when(alone, null_id("_d")).otherwise(null_id("component_id")).alias("component_id"), F.col("root").alias("group_id"),
     )

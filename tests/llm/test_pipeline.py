@@ -44,6 +44,20 @@ def test_one_of_each_group_stays(kept):
     assert links and {r["doc_id"] for r in after} == {i for i, (n, top) in want.items() if top == i or not n}
 
 
+def test_one_of_each_group_stays_without_ids_and_with_repeated_ones(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "z"])
+    same, other, alone = " ".join(words), " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(None, same), (None, same), (None, near), (1, other), (1, other), (2, other), (None, other), (3, alone), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, DATA).collect()]
+    assert sorted(map(repr, got[:])) == sorted(map(repr, [x for x in got if x[0] is None and x[1] in (same, near)][:1] + [(1, other), (3, alone), (4, ""), (4, ""), (None, None)]))
+    assert sum(t in (same, near) for _, t in got) == 1
+    two = [(5, same), (5, near), (6, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in two], docs.schema)
+    assert [r["doc_id"] for r in P.drop_near_copies(spark, docs, DATA).collect()] == [5]
+
+
 def test_repeats_are_cut(kept):
     before, after, _ = kept[2]
     want = brute.removed([(r["doc_id"], r["text"]) for r in before], 50)
