@@ -17,9 +17,11 @@ tables of fixed size: a bitmap of tokens that occur twice or more (the others ne
 occur ``often`` times or more and the order of the most frequent ones. Collisions there cost time and never a link.
 
 The lists are scanned a few times. The first scans give only pairs that are neighbours in a random order of a list and
-not yet in one component; what is verified is contracted. The last scan gives every pair of a list that is still in
-different components and can reach the threshold by size and position, so groups of near copies do not become all
-their pairs, and no link between components is lost. Every candidate is verified on the whole sets.
+not yet in one component; what is verified is contracted, and only links between components found before go into the
+next contraction. The last scan gives every pair of a list that is still in different components and can reach the
+threshold by size and position, so groups of near copies do not become all their pairs, and no link between components
+is lost. Every candidate is verified on the whole sets. A list of more than ``list_rows`` members is cut into parts of
+about that size; in the last scan every two parts meet in a task of their own.
 
 Cases: null text has no words; a null id is a row of its own, and a component's id is the least id in it, null if
 there is none. Repeated rows are one class. Other columns are not looked at. An empty table gives an empty result.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._run import cut, lean, ship
-from .components import components
+from .components import followed, settled
 
 U = np.uint64
 SMALL = 200  # largest boundary that is considered
@@ -239,7 +241,7 @@ def _signatures(n: int, t: tuple[int, int], light: int, shared):
     return each
 
 
-def _by_signature(solve, rows_at_once: int = 100_000):
+def _by_list(solve, rows_at_once: int = 100_000):
     """Runs solve on tables of rows sorted by the first column that hold all rows of a value."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,41 +265,48 @@ def _by_signature(solve, rows_at_once: int = 100_000):
     return each
 
 
-def _listed(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Rows (s, cid, ...) of signatures with two members or more."""
-    s, c = tab.column(0).to_numpy(), tab.column(1).to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-    yield from tab.filter(pa.array(np.repeat(mixed, np.diff(np.append(first, len(s)))))).combine_chunks().to_batches()
-
-
 def _pairs(t: tuple[int, int], reach: int, block: int = 512):
-    """Rows (s, cid, n, place, root) -> candidates (a, b), a < b, of different roots: within reach in a random order of the list, or all if reach is 0."""
+    """Rows (list, cid, n, place, root, side) -> candidates (a, b, ra, rb), a < b, of different roots ra, rb.
+
+    They are within reach in a random order of the list; or all if reach is 0, but then rows of sides 1 and 2 only pair
+    with the other side.
+    """
 
     def fits(n1, i1, n2, i2):
         by_size = (t[1] * n1 >= t[0] * n2) & (t[1] * n2 >= t[0] * n1)
         return by_size & (np.minimum(n1 - i1, n2 - i2) * (t[0] + t[1]) >= t[0] * (n1 + n2))
 
     def solve(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-        s, c, n, i, r = (tab.column(k).to_numpy() for k in range(5))
+        s, c, n, i, r, side = (tab.column(k).to_numpy() for k in range(6))
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         own = np.repeat(np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first), np.diff(np.append(first, len(s))))
-        s, c, n, i, r = s[own], c[own], n[own], i[own], r[own]
+        s, c, n, i, r, side = s[own], c[own], n[own], i[own], r[own], side[own]
         # neighbours are drawn anew in every list, so near copies that share many lists meet many others
         order = np.lexsort((W.mix(c.view(U) ^ W.mix(s.view(U) + U(reach))), s)) if reach else np.lexsort((c, n, s))
-        s, c, n, i, r = s[order], c[order], n[order], i[order], r[order]
+        s, c, n, i, r, side = s[order], c[order], n[order], i[order], r[order], side[order]
         held: list[np.ndarray] = []
         rows = 0
+
+        def batch() -> pa.RecordBatch:
+            p, q = np.concatenate(held, axis=1)
+            p, q = np.where(c[p] < c[q], p, q), np.where(c[p] < c[q], q, p)
+            o = np.lexsort((c[q], c[p]))
+            p, q = p[o], q[o]
+            new = np.append(True, (c[p][1:] != c[p][:-1]) | (c[q][1:] != c[q][:-1]))[: len(p)]
+            p, q = p[new], q[new]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (c[p], c[q], r[p], r[q])], names=["a", "b", "ra", "rb"])
+
         if reach:
             for k in range(1, min(reach, len(s) - 1) + 1):
                 ok = (s[k:] == s[:-k]) & (r[k:] != r[:-k])
                 if not ok.any():
                     break
                 ok &= fits(n[k:], i[k:], n[:-k], i[:-k])
-                held.append(np.stack([c[:-k][ok], c[k:][ok]]))
-                rows += int(ok.sum())
+                at = np.flatnonzero(ok)
+                held.append(np.stack([at, at + k]))
+                rows += len(at)
                 if rows > MOST_HELD:
-                    yield batch(held)
+                    yield batch()
                     held, rows = [], 0
         else:
             ends = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, dtype=np.int64)
@@ -306,23 +315,34 @@ def _pairs(t: tuple[int, int], reach: int, block: int = 512):
                     hi = min(lo + block, z)
                     last = lo + int(np.searchsorted(n[lo:z], t[1] * n[hi - 1] // t[0], side="right"))
                     x, y = np.arange(lo, hi)[:, None], np.arange(lo, last)[None, :]
-                    p, q = np.nonzero((x < y) & (r[x] != r[y]) & fits(n[x], i[x], n[y], i[y]))
+                    p, q = np.nonzero((x < y) & (r[x] != r[y]) & ((side[x] != side[y]) | (side[x] == 0)) & fits(n[x], i[x], n[y], i[y]))
                     if len(p):
-                        held.append(np.stack([c[lo + p], c[lo + q]]))
+                        held.append(np.stack([lo + p, lo + q]))
                         rows += len(p)
                         if rows > MOST_HELD:
-                            yield batch(held)
+                            yield batch()
                             held, rows = [], 0
         if held:
-            yield batch(held)
+            yield batch()
+
+    return _by_list(solve)
 
-    def batch(held: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.sort(np.concatenate(held, axis=1), axis=0)
-        x = x[:, np.lexsort(x)]
-        x = x[:, np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(axis=0)])] if x.size else x
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
-    return _by_signature(solve)
+def _mixed(rows: DataFrame, list_rows: int) -> DataFrame:
+    """The rows of lists whose members differ in root, with the number of parts that a long list is cut into."""
+    lists = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    return rows.drop("parts").join(lists.select("s", F.ceil(F.col("members") / list_rows).cast("int").alias("parts")), "s")
+
+
+def _dealt(rows: DataFrame, reach: int) -> DataFrame:
+    """Rows with the list that a task gets whole: a part of a long one if reach; else two parts of it or one, so every two parts meet once."""
+    part = F.pmod(F.xxhash64("s", "cid"), F.col("parts")).cast("int")
+    if reach:
+        return rows.select(F.when(F.col("parts") > 1, F.xxhash64("s", part)).otherwise(F.col("s")).alias("list"), "cid", "n_shingles", "place", "root", F.lit(0).alias("side"))
+    one = rows.where("parts = 1").select(F.col("s").alias("list"), "cid", "n_shingles", "place", "root", F.lit(0).alias("side"))
+    long = rows.where("parts > 1").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return one.unionByName(long.select(F.xxhash64("s", F.least("part", "other"), F.greatest("part", "other")).alias("list"), "cid", "n_shingles", "place", "root", side.alias("side")))
 
 
 def _verify(n: int, t: tuple[int, int]):
@@ -343,15 +363,16 @@ def _verify(n: int, t: tuple[int, int]):
                     d, x = d[o], x[o]
                     both += np.bincount(d[1:][(d[1:] == d[:-1]) & (x[1:] == x[:-1])], minlength=rows)
                 ok = pa.array(np.flatnonzero((both > 0) & (t[1] * both >= t[0] * (size - both))))
-                yield pa.RecordBatch.from_arrays([b.column(i).slice(row, rows).take(ok) for i in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(i).slice(row, rows).take(ok) for i in (0, 1)], names=["a", "b"])  # roots
 
     return each
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, judged on whole texts."""
+    """Roots (a, b) of the pairs of classes that are similar enough, judged on whole texts."""
     left = pairs.join(texts.select(F.col("cid").alias("a"), F.col("_t").alias("_ta")), "a")
-    return left.join(texts.select(F.col("cid").alias("b"), F.col("_t").alias("_tb")), "b").select("a", "b", "_ta", "_tb").mapInArrow(lean(_verify(n, t)), "a long, b long")
+    both = left.join(texts.select(F.col("cid").alias("b"), F.col("_t").alias("_tb")), "b")
+    return both.select("ra", "rb", "_ta", "_tb").mapInArrow(lean(_verify(n, t)), "a long, b long")
 
 
 def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequency, float, dict[int, int]]:
@@ -374,7 +395,7 @@ def _frequency(keyed: DataFrame, n: int, often: int, most: int) -> tuple[Frequen
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), often: int = 10, most: int = 50_000, reaches: tuple[int, ...] = (1, 4, 16, 64)
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), often: int = 10, most: int = 50_000, reaches: tuple[int, ...] = (2, 16), list_rows: int = 4096
 ) -> DataFrame:
     """One row a row of docs: _d (its id), _h (its text's hash), n_shingles, class_id, component_id (the least id that links reach), group_id (a class that names the component, also without ids)."""
     spark = docs.sparkSession
@@ -391,28 +412,25 @@ def jaccard_components(
         signed.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_d", "_h")).alias("rep"))
         .select("k1", "k2", "n_shingles", "rep._d", "rep._h", F.monotonically_increasing_id().alias("cid"))
     )
-    sets = cut(signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"]).select("cid", "n_shingles", "signatures", "places"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = sets.select(F.explode(F.arrays_zip("signatures", "places")).alias("x"), "cid", "n_shingles").select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"))
-    rows = cut(rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(lean(_by_signature(_listed)), rows.schema))
+    sets = signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"])
+    rows = sets.select("cid", "n_shingles", F.explode(F.arrays_zip("signatures", "places")).alias("x"))
+    rows = cut(_mixed(rows.select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"), F.col("cid").alias("root")), list_rows))
     need = rows.select("cid").distinct().join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
     texts = cut(keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t").dropDuplicates(["cid"]))
-    tested = edges = roots = None
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    named = classes.select("k1", "k2", "_d", "cid", F.col("cid").alias("root"))
+    tested = None
     for reach in (*reaches, 0):
-        placed = rows.withColumn("root", F.col("cid")) if roots is None else rows.join(roots, rows.cid == roots.node, "left").select(*rows.columns, F.coalesce("root", "cid").alias("root"))
-        found = placed.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(lean(_pairs(threshold, reach)), "a long, b long").distinct()
+        dealt = _dealt(rows if reach else _mixed(rows, list_rows), reach)
+        found = dealt.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(lean(_pairs(threshold, reach)), "a long, b long, ra long, rb long").distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = cut(found)
-        tested = found if tested is None else tested.unionByName(found)
-        more = cut(_verified(found, texts, n, threshold))
-        edges = more if edges is None else edges.unionByName(more)
-        if more.limit(1).count():
-            roots = components(edges)
-
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    named = classes.join(roots, classes.cid == roots.node, "left").select("k1", "k2", "_d", "cid", F.coalesce("root", "cid").alias("root"))
+        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
+        labels = settled(cut(_verified(found, texts, n, threshold).distinct()))
+        if labels is not None:
+            rows, named = followed(rows, "root", labels), followed(named, "root", labels)
+
     least = named.groupBy("root").agg(F.min("_d").alias("component_id"))
     named = named.join(least, "root").select("k1", "k2", "cid", "root", "component_id")
     alone = F.col("n_shingles") == 0

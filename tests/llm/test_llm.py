@@ -97,6 +97,14 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert {r["_d"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_long_lists_in_parts_lose_no_link(spark):
+    rows = texts(11, n=200, words="abcd", longest=14)
+    want, _ = brute.linked(rows, 2, 60, 100)
+    for reaches in ((), (2,)):
+        got = J.jaccard_components(spark.createDataFrame(rows, DOCS), n=2, threshold=(60, 100), often=3, reaches=reaches, list_rows=3)
+        assert {r["_d"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
 def test_links_of_odd_rows(spark):
     long = " ".join(f"W{i}" for i in range(9000))
     rows = [(None, "a b c"), (5, "A  b C"), (5, "A  b C"), (6, None), (7, ""), (8, " \n"), (None, None), (10, long), (11, long.lower())]
@@ -115,6 +123,15 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in CC.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 100: 99}
     assert CC.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert CC.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    up = list(range(400))
+    for _ in range(400):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["node"]: r["root"] for r in CC.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: r for i, r in enumerate(up) if r != i}
 
 
 # ---- decontamination
