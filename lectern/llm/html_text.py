@@ -1,13 +1,17 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element, in page order. A line weighs as much as its text that is not
-in links; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role,
-or a word of class or id) weigh nothing, and neither do lines outside the article if the page marks one. Weights are
-summed over a window of ``window`` lines that slides over the page. A surge is where the sum first rises over a
-threshold, relative to the page's largest sum; the dive that ends it is where the sum is back at nothing. Boxes between
-lines are no dive. What lies between is kept, however short: of marked pages every stretch of every article, but those
-that are mostly links, are named as a box or lie in a box that is closed after them (all articles if there are only such);
-of other pages every stretch that is not mostly links.
+in links, and ``mark`` times that where the page marks it as article or main; menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments (by element, role, or a class or id all of whose words name a box or a
+place) are no lines. Weights are summed over a window of ``window`` lines that slides over each container (an article,
+or what lies between them). The largest sum tells whether the marks or the text around them hold the page's main text.
+
+* In marked articles: a surge is a window in which text outweighs links. An article with a surge is main text from its
+  first line to its last, as it says itself, however short; one without, or named as a box or inside one that is closed
+  after it, is not (all of them if no other has a surge).
+* In unmarked text, or where it outweighs the marked one by more than ``mark``: a surge is where the sum first rises over
+  ``share`` of the largest sum, the dive that ends it is where the sum is back at nothing. Every line between is kept,
+  lines of links too, but a stretch that is mostly links is not (all stretches if there are only such).
 
 Broken markup: p, li, cells, options close their like; an end tag closes what is open inside it; a start of the
 article closes unclosed boxes around it; quotes left open in a tag end with the tag.
@@ -49,13 +53,17 @@ BOXES = frozenset("nav footer aside form menu dialog select button fieldset head
 CLOSES_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr option optgroup legend summary".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist note".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 WORDS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer "
     "discussion disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall "
     "popup promo promoted promotion promotions recommendation recommendations recommended related replies reply respond responses share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription teaser toc toolbar topbar tracking widget widgets".split()
 )
+PLACES = frozenset(
+    "site page main top bottom left right inner outer box block container wrapper wrap holder area list item items section panel bar group content module "
+    "row col column unit slot primary secondary global local text title link links button buttons icon icons body nav menu header footer form count thread".split()
+)
 REMARKS = frozenset("comment comments discussion disqus replies reply respond responses".split())
 STATES = frozenset("no not has with without is show hide js enable disable".split())
 
@@ -79,9 +87,10 @@ def _box(tag: str, attrs: str, inside: bool) -> str:
                 words = WORD.findall(CAMEL.sub("-", one).lower())
                 if not words or words[0] in STATES:
                     continue
-                if {words[0], words[-1]} & REMARKS:
+                known = set(words) <= WORDS | PLACES | REMARKS  # related-work or share-price is no box
+                if known and set(words) & REMARKS:
                     return "remark"
-                if {words[0], words[-1]} & WORDS or (words[-1] == "header" or words[0] == "header") and not inside and not {"article", "entry", "post", "story"} & set(words):
+                if known and set(words) & WORDS or (words[-1] == "header" or words[0] == "header") and not inside and not {"article", "entry", "post", "story"} & set(words):
                     return "box"
     return ""
 
@@ -208,14 +217,17 @@ def lines(html: str, boxes: bool = True) -> tuple[list[tuple[str, int, int]], se
     return out, boxed
 
 
-def _stretches(weights: list[int], window: int, share: float) -> list[tuple[int, int, int]]:
-    """First line, end and sum of each stretch from a surge to its dive."""
-    n = len(weights)
+def _sums(weights: list[float], window: int) -> list[float]:
+    """Of each line the weights of it and the lines after it, ``window`` in all."""
     run = [0]
     for w in weights:
         run.append(run[-1] + w)
-    sums = [run[min(i + window, n)] - run[i] for i in range(n)]
-    least = share * max(sums, default=0)
+    return [run[min(i + window, len(weights))] - run[i] for i in range(len(weights))]
+
+
+def _stretches(weights: list[float], window: int, least: float) -> list[tuple[int, int]]:
+    """First line and end of each stretch from a surge, a window's sum over ``least``, to its dive."""
+    n, sums = len(weights), _sums(weights, window)
     out, i = [], 0
     while i < n:
         if sums[i] <= least or not weights[i]:
@@ -226,31 +238,38 @@ def _stretches(weights: list[int], window: int, share: float) -> list[tuple[int,
             a -= 1
         while i < n and sums[i]:
             i += 1
-        out.append((a, i, run[i] - run[a]))
+        out.append((a, i))
     return out
 
 
-def main_text(html: str, window: int = 3, share: float = 0.05) -> str:
+def main_text(html: str, window: int = 3, share: float = 0.05, mark: float = 20.0) -> str:
     for boxes in (True, False):
         found, boxed = lines(html, boxes)
-        size: dict[int, int] = {}
-        free: dict[int, int] = {}
-        for text, w, article in found:
-            size[article] = size.get(article, 0) + len(text)
-            free[article] = free.get(article, 0) + w
-        size.pop(0, None)
-        real = {a for a, n in size.items() if a > 0 and n} or {a for a, n in size.items() if n}
-        if real:
-            chosen = {a for a in real if abs(a) not in boxed and 2 * free[a] >= size[a]} or real
-            weighed = [(t, len(t) if a in chosen else 0) for t, _, a in found]
-            kept = _stretches([w for _, w in weighed], window, 0.0)
-        else:
-            weighed = [(t, w if 2 * w >= len(t) else 0) for t, w, _ in found]
-            every = _stretches([w for _, w in weighed], window, share)
-            kept = [(a, z, n) for a, z, n in every if 2 * sum(w for _, w, _ in found[a:z]) >= sum(len(t) for t, _, _ in found[a:z])] or every
-        out = "\n\n".join(t for a, z, _ in kept for t, w in weighed[a:z] if t and w)
-        if out:
-            return out
+        marked = {a for _, _, a in found if a > 0} or {a for _, _, a in found if a < 0}
+        runs: list[list[int]] = []  # container (0: none), first line, end
+        for i, (_, _, a) in enumerate(found):
+            a = a if a in marked else 0
+            if runs and runs[-1][0] == a:
+                runs[-1][2] = i + 1
+            else:
+                runs.append([a, i, i + 1])
+        most = {True: 0.0, False: 0.0}  # the largest sum in and out of marked containers
+        for a, i, z in runs:
+            if abs(a) not in boxed:
+                most[bool(a)] = max(most[bool(a)], *_sums([w * (mark if a else 1) for _, w, _ in found[i:z]], window))
+        kept = []
+        for a, i, z in runs:
+            free, whole = [w for _, w, _ in found[i:z]], [len(t) for t, _, _ in found[i:z]]
+            if a and abs(a) not in boxed and most[True] >= most[False]:
+                kept += [(i, z)] * any(2 * f >= n for f, n in zip(_sums(free, window), _sums(whole, window), strict=True))
+            elif a and abs(a) not in boxed:
+                kept += [(i, z)] * (mark * max(_sums(free, window)) > share * most[False])
+            elif not a and most[False] > most[True]:
+                every = _stretches(free, window, share * most[False])
+                kept += [(i + x, i + y) for x, y in every if 2 * sum(free[x:y]) >= sum(whole[x:y])] or [(i + x, i + y) for x, y in every] * (len(runs) == 1)
+        kept = kept or [(i, z) for a, i, z in runs if a]
+        if kept:
+            return "\n\n".join(found[k][0] for i, z in kept for k in range(i, z))
     return ""
 
 

@@ -98,3 +98,15 @@ def levels(sizes, weights=(3, 1, 2), share=1.5, most=2):
         if not more:
             return {s: most * sizes[s] if s in full else weight[s] * level for s in names}
         full |= more
+
+
+def stretches(weights, window, least):
+    """Lines up to the next dive after each surge, from the touching lines before it on."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    out, done = [], 0
+    for i in range(len(weights)):
+        if i >= done and weights[i] and sums[i] > least:
+            a = max([k + 1 for k in range(i) if not weights[k]], default=0)
+            done = min([k for k in range(i, len(weights)) if not sums[k]], default=len(weights))
+            out.append((a, done))
+    return out

@@ -322,6 +322,41 @@ def test_short_sibling_articles_stay():
     assert H.main_text(f"<body><aside><p>Open<article><p>{'a' * 100}</article><article><p>b</article>").split("\n\n") == ["a" * 100, "b"]
 
 
+def test_surge_and_dive_decide_without_marks():
+    links = "<div><a href=1>{}</a></div>".format("l" * 30)
+    page = f"<body>{links * 4}<p>{'a' * 900}<p>{'b' * 500}{links}<p>end{links * 4}<div>{'c' * 20}</div>{links * 3}"
+    assert H.main_text(page).split("\n\n") == ["a" * 900, "b" * 500, "l" * 30, "end"]
+    assert H.main_text(page, window=1).split("\n\n") == ["a" * 900, "b" * 500]  # a line of links is a dive
+    assert H.main_text(page, window=9).split("\n\n")[-1] == "c" * 20  # and four are none
+    assert H.main_text(page, share=0.0).split("\n\n") == ["a" * 900, "b" * 500, "l" * 30, "end", "c" * 20]
+
+
+def test_marks_are_weights():
+    teaser = f"<article><p>{'t' * 30}</p></article>"
+    assert H.main_text(f"<body>{teaser}<div><p>{'a' * 500}</div>") == "t" * 30
+    assert H.main_text(f"<body>{teaser}<div><p>{'a' * 50_000}</div>") == "a" * 50_000
+    assert H.main_text(f"<body>{teaser}<div><p>{'a' * 500}</div>", mark=1.0).split("\n\n") == ["t" * 30, "a" * 500]
+
+
+def test_names_that_only_begin_like_boxes_are_none():
+    inside = "".join(f"<div {n}><p>{c * 60}</p></div>" for c, n in zip("abcd", ("class='related-work'", "id=share-price", "class='ad-hoc'", "role=note"), strict=True))
+    gone = "".join(f"<div {n}><p>{'x' * 60}</p></div>" for n in ("class='related-items'", "id=share-buttons", "class='ad-top'", "class='reader comments'", "class=notice"))
+    assert H.main_text(f"<article><p>{'t' * 100}</p>{inside}{gone}</article>").split("\n\n") == ["t" * 100, *[c * 60 for c in "abcd"]]
+
+
+def test_a_line_of_links_in_mid_text_stays():
+    page = "<body>" + "".join(f"<p>{c * 200}" for c in "ab") + f"<p>See <a href=x>{'l' * 80}</a><p>{'c' * 200}"
+    assert H.main_text(page).split("\n\n") == ["a" * 200, "b" * 200, "See " + "l" * 80, "c" * 200]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_equal_brute_force(seed):
+    rng = random.Random(seed)
+    weights = [rng.choice([0, 0, 1, 5, 300]) for _ in range(rng.randint(0, 40))]
+    window, least = rng.randint(1, 5), rng.choice([0, 4, 200])
+    assert H._stretches(weights, window, least) == brute.stretches(weights, window, least)
+
+
 @pytest.mark.parametrize("html,want", [("", ""), ("just text", "just text"), ("<p>a<!-- <p>b -->c</p>", "ac"), ("<p>x &lt;b&gt; &#233;", "x <b> é"), ("<p title='a>b'>y</p>", "y"), ("<script>only", "")])
 def test_small_pages(html, want):
     assert H.main_text(html) == want
