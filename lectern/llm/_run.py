@@ -12,13 +12,21 @@ from pyspark.sql import types as T
 
 from ..shared import cut, shared_dir, ship
 
-__all__ = ["Carried", "cut", "lean", "shared_dir", "ship", "table"]
+__all__ = ["Carried", "cut", "lean", "shared_dir", "ship", "table", "whole_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """The id column as long; ids of other types have no order that a least id could be taken by."""
+    kind = df.select(F.col(name)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{name} must be of an integer type, not {kind.simpleString()}")
+    return F.col(name).cast("long")
+
+
 def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches whose worker gives memory back: large arrays when they are freed, the rest when its partition ends."""
 

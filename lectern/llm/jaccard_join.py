@@ -24,7 +24,7 @@ is lost. Every candidate is verified on the whole sets. A list of more than ``li
 about that size; in the last scan every two parts meet in a task of their own.
 
 Cases: null text has no words; a null id is a row of its own, and a component's id is the least id in it, null if
-there is none. Repeated rows are one class. Other columns are not looked at. An empty table gives an empty result.
+there is none; ids that are no integers raise TypeError. Texts of any length. Repeated rows are one class. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, lean, ship
+from ._run import cut, lean, ship, whole_id
 from .components import followed, settled
 
 U = np.uint64
@@ -401,7 +401,7 @@ def jaccard_components(
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
+    keyed = docs.select(F.coalesce(whole_id(docs, id_col), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
     known, mean, sizes = _frequency(keyed, n, often, most)
     shared = spark.sparkContext.broadcast(known)

@@ -110,3 +110,37 @@ def stretches(weights, window, least):
             done = min([k for k in range(i, len(weights)) if not sums[k]], default=len(weights))
             out.append((a, done))
     return out
+
+
+def _common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def earlier(strings):
+    """(string, place) -> how much of the suffix there a smaller document of the group has; strings are (group, document, symbols)."""
+    out = {}
+    for g, d, x in strings:
+        for p in range(len(x)):
+            n = max((_common(x[p:], y[q:]) for g2, d2, y in strings if g2 == g and d2 < d for q in range(len(y))), default=0)
+            if n:
+                out[g * 100 + d, p] = n
+    return out
+
+
+def repeats(strings):
+    """Length, places, first string and first place of each substring that can't be extended to either side at all its places."""
+    out = []
+    for g in {g for g, _, _ in strings}:
+        places = defaultdict(list)
+        for g2, d, x in strings:
+            for p in range(len(x) if g2 == g else 0):
+                for q in range(p + 1, len(x) + 1):
+                    places[tuple(x[p:q])].append((d, p, x[p - 1] if p else ("start", d), x[q] if q < len(x) else ("end", d, p)))
+        for sub, at in places.items():
+            if len(at) > 1 and len({a[2] for a in at}) > 1 and len({a[3] for a in at}) > 1:
+                d, p = min(a[:2] for a in at)
+                out.append((len(sub), len(at), g * 100 + d, p))
+    return sorted(out)

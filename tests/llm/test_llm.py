@@ -49,10 +49,10 @@ def texts(seed, n=120, words="abcdefgh", longest=40):
 # ---- substring dedup
 
 
-@pytest.mark.parametrize("seed,window,prefix,limit", [(1, 6, 3, 20_000), (2, 6, 3, 2), (3, 10, 10, 5), (4, 4, 1, 3)])
-def test_repeats_equal_brute_force(spark, seed, window, prefix, limit):
+@pytest.mark.parametrize("seed,window,prefixes,limit", [(1, 6, (3,), 20_000), (2, 6, (3,), 2), (3, 10, (10,), 5), (4, 4, (1,), 3), (5, 6, (2, 4, 5), 40), (6, 5, (1, 2, 5), 12)])
+def test_repeats_equal_brute_force(spark, seed, window, prefixes, limit):
     rows = texts(seed)
-    got = S.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(5), window=window, prefix=prefix, group_limit=limit)
+    got = S.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(5), window=window, prefixes=prefixes, group_windows=limit)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute.removed(rows, window)
 
 
@@ -66,6 +66,45 @@ def test_repeats_of_odd_rows(spark):
     assert S.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_subtrees_equal_brute_force(seed):
+    """Strings of window codes: what earlier documents share, and the maximal repeats."""
+    rng = random.Random(seed)
+    strings = [(g, d, [rng.choice("ab" if seed % 2 else "abcdef") for _ in range(rng.randint(1, 12))]) for g in (3, 5) for d in range(6)]
+    flat = [(g, d, p, ord(c)) for g, d, x in strings for p, c in enumerate(x)]
+    rng.shuffle(flat)
+    g, d, p, c = (np.array(x, dtype=np.int64) for x in zip(*flat, strict=True))
+    tree = S.Subtrees(g, d, g * 100 + d, p, c)
+    deep = dict(zip(zip(tree.text[tree.sa].tolist(), tree.place[tree.sa].tolist(), strict=True), tree.earlier().tolist(), strict=True))
+    assert {k: v for k, v in deep.items() if v} == brute.earlier(strings)
+    size, places, first = tree.repeats()
+    got = sorted(zip(size.tolist(), places.tolist(), tree.text[first].tolist(), tree.place[first].tolist(), strict=True))
+    assert got == brute.repeats(strings)
+
+
+def test_a_long_shared_passage_is_one_maximal_repeat(spark):
+    passage = " ".join(f"w{i}" for i in range(80))
+    rows = [(4, "a b " + passage + " c"), (2, "d " + passage), (9, passage + " e f"), (7, "g " + " ".join(passage.split()[:60]) + " h")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = S.maximal_repeats(df, window=50, prefixes=(16,)).collect()
+    # a run of windows with one least prefix follows another: together they cover the passage from its first word to its last
+    assert {r["_d"] for r in got} == {2} and min(r["lo"] for r in got) == 1 and max(r["lo"] + r["words"] for r in got) == 81
+    assert {r["places"] for r in got} <= {3, 4} and any(r["words"] > 50 for r in got)
+    single = S.maximal_repeats(df, window=50, prefixes=(16, 32), group_windows=2).collect()
+    assert {(r["words"], r["lo"], r["places"]) for r in single} == {(50, 1 + i, 4 if i <= 10 else 3) for i in range(31)}
+    long = S.maximal_repeats(spark.createDataFrame([(1, "x " * 300), (2, "x " * 200)], DOCS), window=50).collect()
+    assert max(r["words"] for r in long) == 299
+    assert S.maximal_repeats(df.limit(0)).count() == 0
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "b c")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        S.remove_repeats(df)
+    with pytest.raises(TypeError):
+        J.jaccard_components(df)
+
+
 def test_kept_text_has_what_is_left(spark):
     a = " ".join(f"w{i}" for i in range(60))
     got = S.remove_repeats(spark.createDataFrame([(1, a), (2, "start " + a + " end")], DOCS)).orderBy("doc_id").collect()
