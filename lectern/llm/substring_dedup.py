@@ -6,10 +6,10 @@ which a prefix of variable length deals out:
 * The first of ``prefixes`` words first. Of the places in a window where such a prefix could be taken the one with the
   least code is used, so equal windows always meet, and neighbouring windows mostly share it: they travel as one run.
   A prefix that only one document has can hold no node with two documents and is dropped before any text moves.
-* A subtree of more than ``group_windows`` windows, 8 bytes each, doesn't fit: its windows are dealt again by their
-  least prefix of the next length, and so on, at last by all their words. One that is too large even then is a single
-  node; only its smallest document is wanted, which is a minimum that combines before the shuffle, so a passage in a
-  third of all documents meets in no task.
+* A subtree of more than ``group_windows`` windows, 8 bytes each, doesn't fit. Runs that are alike in it have the same
+  nodes all the way down, so those of all but the least document are settled by a minimum, which combines before the
+  shuffle; a passage in a third of all documents meets in no task. What is left is dealt again by the least prefix of
+  the next length, and so on, and at last by all words of a window: such a node only wants its least document.
 
 A suffix is written as the codes of its windows: two suffixes share the first window + k - 1 words if and only if their
 first k codes agree. In a subtree the suffixes are sorted by doubling, neighbours give common prefixes, and intervals
@@ -83,7 +83,7 @@ def _prefix_runs(window: int, prefix: int):
 
 
 def _suffixes(window: int, longer: tuple[int, ...]):
-    """For texts with the runs to look at: each run with the codes of its windows; large ones also with each window's least longer prefixes."""
+    """For texts with the runs to look at: each run with the codes of its windows; large ones in pieces with one least prefix of each longer length."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,21 +99,30 @@ def _suffixes(window: int, longer: tuple[int, ...]):
                 doc = np.repeat(np.arange(rows), np.diff(ends[row : row + rows + 1]))
                 begin = np.searchsorted(at, w.first[doc] + start[lo:hi])
                 size = n[lo:hi].astype(np.int64)
-                to = np.concatenate([[0], np.cumsum(size)])
-                pick = np.repeat(begin - to[:-1], size) + np.arange(to[-1])
-                lists = [pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(W.signed(g[pick])))]
-                size[~large[lo:hi].astype(bool)] = 0
-                to = np.concatenate([[0], np.cumsum(size)])
-                pick = np.repeat(begin - to[:-1], size) + np.arange(to[-1])
-                for p in longer:
-                    found = np.empty(0, dtype=np.uint64)
-                    if len(pick):
-                        some = w.grams(p)
-                        least = _least(some[1], window - p + 1)  # from each gram on; a window's grams are neighbours
-                        found = least[np.searchsorted(some[0], at[pick])]
-                    lists.append(pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(W.signed(found))))
+                to = np.cumsum(size) - size
+                run = np.repeat(np.arange(len(size)), size)
+                inside = np.arange(len(run)) - to[run]
+                pick = begin[run] + inside
+                new, some = inside == 0, np.flatnonzero(large[lo:hi].astype(bool)[run])
+                keys = np.zeros((len(longer), len(run)), dtype=np.uint64)
+                for k, p in enumerate(longer if len(some) else ()):
+                    where, grams = w.grams(p)
+                    least = _least(grams, window - p + 1)  # from each gram on; a window's grams are neighbours
+                    keys[k, some] = least[np.searchsorted(where, at[pick[some]])]
+                    new[1:] |= keys[k, 1:] != keys[k, :-1]
+                first = np.flatnonzero(new)
+                run = run[first]
+                codes = pa.ListArray.from_arrays(pa.array(np.append(first, len(pick)).astype(np.int32)), pa.array(W.signed(g[pick])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row + doc]), pa.array(hashes[row + doc]), pa.array(prefix[lo:hi]), pa.array(large[lo:hi]), pa.array(start[lo:hi]), *lists],
+                    [
+                        pa.array(ids[row + doc[run]]),
+                        pa.array(hashes[row + doc[run]]),
+                        pa.array(prefix[lo:hi][run]),
+                        pa.array(large[lo:hi][run]),
+                        pa.array((start[lo:hi][run] + inside[first]).astype(np.int32)),
+                        codes,
+                        *[pa.array(W.signed(x[first])) for x in keys],
+                    ],
                     names=["_d", "_h", "prefix", "large", "start", "codes", *[f"longer{p}" for p in longer]],
                 )
 
@@ -281,8 +290,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(whole_id(docs, id_col), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str, window: int, prefixes: tuple[int, ...], group_windows: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of windows by prefix, so that a prefix's subtree fits; and single windows of which even one is too many for that."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str, window: int, prefixes: tuple[int, ...], group_windows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of windows by prefix, so that a prefix's subtree fits; runs of which even all words are too many for that; and runs of large subtrees that a smaller document has alike, with it as least."""
     if not prefixes or not all(0 < p <= window for p in prefixes) or list(prefixes) != sorted(set(prefixes)):
         raise ValueError("prefixes must rise from 1 to window at most")
     spark = docs.sparkSession
@@ -293,18 +302,22 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, window: int, prefixes: t
     shared = runs.groupBy("prefix").agg(two.alias("two"), (F.sum("n") > group_windows).alias("large")).where("two").drop("two")
     wanted = runs.join(shared, "prefix").groupBy("_d", "_h").agg(F.collect_set(F.struct("prefix", "start", "n", "large")).alias("runs"))
     longer = [f"longer{p}" for p in prefixes[1:]]
-    fields = "_d long, _h long, prefix long, large boolean, start int, codes array<long>" + "".join(f", {c} array<long>" for c in longer)
+    fields = "_d long, _h long, prefix long, large boolean, start int, codes array<long>" + "".join(f", {c} long" for c in longer)
     below = cut(keyed.join(wanted, ["_d", "_h"]).select("_d", "_h", "_t", "runs").mapInArrow(lean(_suffixes(window, prefixes[1:])), fields))
     fits = below.where("not large").select("_d", "_h", "prefix", "start", "codes")
-    large = below.where("large").select("_d", "_h", "prefix", "start", F.posexplode(F.arrays_zip("codes", *longer)).alias("at", "w"))
-    large = large.select("_d", "_h", "prefix", (F.col("start") + F.col("at")).alias("start"), F.col("w.codes").alias("code"), *[F.col(f"w.{c}").alias(c) for c in longer])
+    # alike runs are one below all their nodes, so only those of the least document have to be sorted
+    large = below.where("large").drop("large").withColumn("alike", F.xxhash64("codes"))
+    least = large.groupBy("prefix", "alike").agg(F.min("_d").alias("least"))
+    large = large.join(least, ["prefix", "alike"])
+    copies = large.where("_d > least").select("_d", "_h", "start", F.size("codes").alias("n"))
+    large = large.where("_d = least").drop("least", "alike")
     for c in longer:
-        again = large.withColumn("prefix", F.xxhash64("prefix", c)).drop(c)
-        sizes = again.groupBy("prefix").agg(two.alias("two"), (F.count("*") > group_windows).alias("large")).where("two").drop("two")
-        again = again.join(sizes, "prefix")
-        fits = fits.unionByName(again.where("not large").select("_d", "_h", "prefix", "start", F.array("code").alias("codes")))
-        large = again.where("large").drop("large")
-    return fits, large.select("_d", "_h", "prefix", "code", "start")
+        large = large.withColumn("prefix", F.xxhash64("prefix", c)).drop(c)
+        sizes = large.groupBy("prefix").agg((F.sum(F.size("codes")) > group_windows).alias("large"))
+        large = large.join(sizes, "prefix")
+        fits = fits.unionByName(large.where("not large").select("_d", "_h", "prefix", "start", "codes"))
+        large = large.where("large").drop("large")
+    return fits, large.select("_d", "_h", "prefix", "codes", "start"), copies
 
 
 def _trees(spark: SparkSession, fits: DataFrame, window: int, mode: str, schema: str) -> DataFrame:
@@ -314,23 +327,28 @@ def _trees(spark: SparkSession, fits: DataFrame, window: int, mode: str, schema:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefixes: tuple[int, ...] = (16, 32), group_windows: int = 1 << 16) -> DataFrame:
     """Spans [lo, hi) of words, of the document _d whose text has the hash _h, that only consist of windows which a smaller document has too. Spans may overlap."""
-    fits, large = _dealt(docs, id_col, text_col, window, prefixes, group_windows)
+    fits, large, copies = _dealt(docs, id_col, text_col, window, prefixes, group_windows)
     usual = _trees(docs.sparkSession, fits, window, "spans", "_d long, _h long, lo int, hi int")
-    least = large.groupBy("prefix", "code").agg(F.min("_d").alias("least"))
-    split = large.join(least, ["prefix", "code"]).where("_d > least").select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    return usual.unionByName(split)
+    alike = copies.select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + window).alias("hi"))
+    nodes = large.select("_d", "_h", "prefix", "start", F.posexplode("codes").alias("at", "code"))
+    least = nodes.groupBy("prefix", "code").agg(F.min("_d").alias("least"))
+    lo = F.col("start") + F.col("at")
+    split = nodes.join(least, ["prefix", "code"]).where("_d > least").select("_d", "_h", lo.alias("lo"), (lo + window).alias("hi"))
+    return usual.unionByName(alike).unionByName(split)
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefixes: tuple[int, ...] = (16, 32), group_windows: int = 1 << 16) -> DataFrame:
     """words, places, _d, _h, lo: passages of ``window`` words or more with several places, as long as all these agree; and the first place (words from lo of the text with hash _h of document _d).
 
     Passages that two documents share at least in a part. A passage is followed as far as its windows have one least
-    prefix, a node that is too large for a subtree as single windows.
+    prefix; in subtrees too large for that runs that are alike count as one place, that of the least document, and
+    what is too large for any subtree is told as single windows.
     """
-    fits, large = _dealt(docs, id_col, text_col, window, prefixes, group_windows)
+    fits, large, _ = _dealt(docs, id_col, text_col, window, prefixes, group_windows)
     usual = _trees(docs.sparkSession, fits, window, "repeats", "words long, places long, _d long, _h long, lo int")
-    single = large.groupBy("prefix", "code").agg(F.count("*").alias("places"), F.min(F.struct("_d", "_h", "start")).alias("at")).where("places > 1")
-    return usual.unionByName(single.select(F.lit(window).cast("long").alias("words"), "places", "at._d", "at._h", F.col("at.start").alias("lo")))
+    nodes = large.select("_d", "_h", "prefix", "start", F.posexplode("codes").alias("at", "code"))
+    single = nodes.groupBy("prefix", "code").agg(F.count("*").alias("places"), F.min(F.struct("_d", "_h", (F.col("start") + F.col("at")).alias("lo"))).alias("first")).where("places > 1")
+    return usual.unionByName(single.select(F.lit(window).cast("long").alias("words"), "places", "first._d", "first._h", "first.lo"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
