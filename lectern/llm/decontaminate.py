@@ -7,15 +7,18 @@ consecutive words of an item; an item with fewer words, but not none, is one win
 place of a whole window are hit. Places of windows that follow each other in the document and in the item join to a
 longest match; common stretches shorter than a window are none.
 
-The items go to the executors in blocks of at most ``block_words`` words, each read by its own pass over the
-documents, so what is broadcast is bounded whatever the benchmark's size. Words are compared by 64-bit codes.
+The items go to the executors in blocks of at most ``block_words`` words (a longer item in overlapping pieces, whose
+matches come in parts), each read by its own pass over the documents, so what is broadcast is bounded whatever the
+benchmark's size. Words are compared by 64-bit codes.
 
-Cases: null texts have no words. Items and documents without words match nothing. Rows are judged by themselves, so
+Cases: null texts have no words. An item without an id hits words and is in no list of items; its matches have a null
+item_id. Texts of any length. Items and documents without words match nothing. Rows are judged by themselves, so
 repeated rows or ids and null ids need no care. Other columns are carried. Empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,33 +30,36 @@ from . import _words as W
 from ._run import Carried, cut, lean, ship
 
 CHUNK = 3 << 19
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Targets:
-    """The suffixes of a block of items: codes of up to ``window`` words from each, and how many they are."""
+    """The words of a block of items, one after another with a gap after each item; a suffix begins at each word."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.names = np.array(sorted({str(i) for i, _ in items}))
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.names = sorted({i for i, _ in items if i is not None})
         self.window = window
         rank = {n: k for k, n in enumerate(self.names)}
         text = pa.array([t or "" for _, t in items], pa.large_string())
         codes, sizes, whole, item, at, n = [], [], [], [], [], 0
         for row, rows, data, offsets in W.chunks(text):
             w = W.words(data, offsets, W.ALNUM)
-            padded = np.concatenate([w.code, np.zeros(window, dtype=np.uint64)])
             left = w.first[w.doc + 1] - np.arange(len(w.code))
             size = np.minimum(left, window)
             all_ = w.first[w.doc + 1] - w.first[w.doc]
-            codes.append(padded[np.arange(len(w.code))[:, None] + np.arange(window)])
+            codes.append(w.code)
             sizes.append(size)
             whole.append((size == window) | ((left == all_) & (all_ < window)))
-            item.append(np.array([rank[str(items[row + r][0])] for r in range(rows)], dtype=np.int64)[w.doc])
+            item.append(np.array([rank.get(items[row + r][0], -1) for r in range(rows)], dtype=np.int64)[w.doc])
             at.append(n + np.arange(len(w.code)) + w.doc)  # consecutive in an item, with a gap after it
             n += len(w.code) + rows
-        self.codes = np.concatenate(codes) if codes else np.empty((0, window), dtype=np.uint64)
+        self.codes = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
         self.sizes, self.whole, self.item, self.at = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (sizes, whole, item, at))
         self.whole = self.whole.astype(bool)
 
+    def named(self, item: np.ndarray) -> pa.Array:
+        return pa.array(self.names, pa.string()).take(pa.array(item, pa.int64(), mask=item < 0))
+
 
 def suffix_array(code: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes; ranks of the words from 1, with 0 after each document; suffixes sorted by their first ``depth`` words."""
@@ -83,15 +89,16 @@ def search(known: np.ndarray, text: np.ndarray, sa: np.ndarray, t: Targets) -> t
     """Of each suffix of the items: the words that match, and the range of sa where so many match."""
     n = len(t.sizes)
     at = np.searchsorted(known, t.codes)
-    rank = np.where(known[np.minimum(at, len(known) - 1)] == t.codes, at + 1, -1) if len(known) else np.full(t.codes.shape, -1)
+    rank = np.where(known[np.minimum(at, len(known) - 1)] == t.codes, at + 1, -1) if len(known) else np.full(n, -1)
     lo, hi, length = np.zeros(n, dtype=np.int64), np.full(n, len(sa), dtype=np.int64), np.zeros(n, dtype=np.int64)
     live = np.arange(n)
     padded = np.concatenate([text, np.zeros(t.window, dtype=text.dtype)])
     for j in range(t.window):
-        live = live[(t.sizes[live] > j) & (rank[live, j] > 0)]
+        live = live[t.sizes[live] > j]
+        live = live[rank[live + j] > 0]  # most suffixes end at a word that the shard doesn't have
         if not len(live):
             break
-        want, ends = rank[live, j], []
+        want, ends = rank[live + j], []
         for side in (0, 1):  # the first suffix whose word j is not less, or is more, than the wanted one
             a, z = lo[live].copy(), hi[live].copy()
             while (open_ := a < z).any():
@@ -144,31 +151,40 @@ def _scan(shared, mode: str, chunk: int):
                     lo, hi, item = joined(place, np.repeat(t.at[full], size), doc, item, words)
                     doc = w.doc[lo]
                     begin = w.first[doc]
-                    yield pa.RecordBatch.from_arrays([rest.take(pa.array(doc)), pa.array(t.names[item].astype(str), pa.string()), pa.array(lo - begin), pa.array(hi - begin)], names=["_row", "item_id", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([rest.take(pa.array(doc)), t.named(item), pa.array(lo - begin), pa.array(hi - begin)], names=["_row", "item_id", "lo", "hi"])
                     continue
                 gone = np.zeros(len(w.code) + 1, dtype=np.int64)
                 np.add.at(gone, place, 1)
                 np.add.at(gone, place + words, -1)
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) > 0)])
-                pairs = np.unique(doc * (len(t.names) + 1) + item)
+                pairs = np.unique((doc * (len(t.names) + 1) + item)[item >= 0])
                 by = np.searchsorted(pairs // (len(t.names) + 1), np.arange(rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), pa.array(t.names[pairs % (len(t.names) + 1)].astype(str), pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), t.named(pairs % (len(t.names) + 1)))
                 yield pa.RecordBatch.from_arrays([rest, pa.array(np.diff(w.first)), pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), lists], names=["_row", "n_words", "n_hit", "items"])
 
     return each
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items with a text, in blocks of about block_words words at most; they are read one by one, not all held."""
-    held: list[tuple[str, str]] = []
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items with a text, in blocks of about block_words words at most; they are read one by one, not all held.
+
+    An item of more words comes in pieces that overlap by a window less a word, so each of its windows is in one.
+    """
+    held: list[tuple[str | None, str]] = []
     size = 0
     for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.length(text_col) > 0).toLocalIterator():
-        n = len(r[1]) // 2 + 1  # a word and what separates it take two characters at least
-        if held and size + n > block_words:
-            yield held
-            held, size = [], 0
-        held.append((r[0], r[1]))
-        size += n
+        pieces = [r[1]]
+        if len(r[1]) > 2 * block_words:  # a word and what separates it take two characters at least
+            spans = [m.span() for m in WORD.finditer(r[1])]
+            step = max(block_words - window + 1, 1)
+            pieces = [r[1][spans[i][0] : spans[min(i + step + window - 1, len(spans)) - 1][1]] for i in range(0, max(len(spans) - window + 1, 1), step)] if spans else []
+        for piece in pieces:
+            n = len(piece) // 2 + 1
+            if held and size + n > block_words:
+                yield held
+                held, size = [], 0
+            held.append((r[0], piece))
+            size += n
     yield held
 
 
@@ -176,7 +192,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, mode: str, fields: tuple, tex
     spark = docs.sparkSession
     ship(spark)
     out = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
+    for items in _blocks(benchmark, item_col, item_text_col, window, block_words):
         shared = spark.sparkContext.broadcast(Targets(items, window))
         found = docs.select(F.col(text_col).alias("_text"), own.packed).mapInArrow(lean(_scan(shared, mode, CHUNK)), own.schema(*fields))
         out.append(own.unpacked(found, *[n for n, _ in fields]))

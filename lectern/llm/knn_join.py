@@ -11,8 +11,11 @@ are replicated to a group, in blocks of bounded size, and each block is solved b
 rounded outwards. Index and result cover every row; only the pivots come from a sample, and they don't affect
 the result.
 
-Cases: vectors that are null, hold null or non-finite components, or have another length than the
-most common one take no part. Equal scores go by the smaller id. A row is not its own candidate; rows with a query's id are
+Scores are exact: products run in float64 where no sum can reach 2**53, else in 64-bit integers; where even these
+could overflow, a score would be no long, and OverflowError is raised before any work.
+
+Cases: vectors that are null or hold null or non-finite components take no part. A query's candidates are the
+vectors of its own length; each length among the queries is a join of its own. Equal scores go by the smaller id. A row is not its own candidate; rows with a query's id are
 the query's own; a query id on several rows is asked with the least of its vectors. Repeated ids as candidates count as often as they occur. Null ids take no part. Fewer than k other
 rows: all of them. Other columns are not looked at.
 """
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._run import cut, ship
@@ -72,16 +75,18 @@ def _needed(groups: pd.DataFrame, cells: pd.DataFrame, pivots: np.ndarray, k: in
     return pd.concat(out).astype("int32") if out else pd.DataFrame({"group_cell": pd.Series(dtype="int32"), "cell": pd.Series(dtype="int32")})
 
 
-def _solve(k: int, dim: int):
+def _solve(k: int, dim: int, small: bool):
+    kind, none = (np.float64, -np.inf) if small else (np.int64, np.iinfo(np.int64).min)
+
     def each(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        qid, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim).astype(np.float64)
-        rid, x = rows.column("id").to_numpy(), _matrix(rows.column("v"), dim).astype(np.float64)
+        qid, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim).astype(kind)
+        rid, x = rows.column("id").to_numpy(), _matrix(rows.column("v"), dim).astype(kind)
         who, what, score = [], [], []
         order = np.argsort(rid, kind="stable")
         rid, x = rid[order], x[order]
         for lo in range(0, len(qid) if len(rid) else 0, 256):
-            s = np.rint(q[lo : lo + 256] @ x.T)  # integers below 2**53: exact
-            s[rid[None, :] == qid[lo : lo + 256, None]] = -np.inf
+            s = q[lo : lo + 256] @ x.T  # integers, exact
+            s[rid[None, :] == qid[lo : lo + 256, None]] = none
             for i in range(len(s)):
                 row = s[i]
                 if len(row) > k:
@@ -89,7 +94,7 @@ def _solve(k: int, dim: int):
                     best = np.flatnonzero(row >= least)
                 else:
                     best = np.arange(len(row))
-                best = best[np.isfinite(row[best])]
+                best = best[row[best] > none]
                 best = best[np.lexsort((rid[best], -row[best]))][:k]
                 who.append(np.full(len(best), qid[lo + i]))
                 what.append(rid[best])
@@ -112,15 +117,28 @@ def knn_join(
         x = F.col(vector_col)
         finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))
         fine = df.where(F.col(id_col).isNotNull() & x.isNotNull()).where(F.forall(x, lambda e: finite(e.cast("double"))))
-        return fine.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
-
-    rows = whole(vectors)
-    common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 1
-    rows = rows.where(F.size("v") == max(dim, 1))
-    asked = whole(queries).where(F.size("v") == max(dim, 1)).groupBy("id").agg(F.min("v").alias("v"))
+        return fine.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"), F.transform(x, lambda e: F.abs(e.cast("double"))).alias("far"))
+
+    rows, asked = whole(vectors), whole(queries)
+    sizes = asked.groupBy(F.size("v").alias("dim")).count().select("dim").collect()  # one, as a rule
+    found = None
+    for dim in sorted(r["dim"] for r in sizes) or [1]:
+        one = _joined(rows.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, k, scale, pivots, sample, group_rows, block_rows)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, pivots: int, sample: int, group_rows: int, block_rows: int) -> DataFrame:
+    """The join of vectors of one length."""
+    spark = rows.sparkSession
+    if not dim:  # empty vectors: all scores are 0
+        rows, asked, dim = *(d.select("id", F.array(F.lit(0).cast("long")).alias("v"), F.array(F.lit(0.0)).alias("far")) for d in (rows, asked)), 1
+    far = (rows.unionByName(asked).agg(F.max(F.array_max("far"))).first()[0] or 0.0) * scale + 1
+    if dim * far * far >= 2.0**63:
+        raise OverflowError(f"scores of {dim} components up to {far:.3g} do not fit a long")
+    rows, asked = rows.select("id", "v"), asked.groupBy("id").agg(F.min("v").alias("v"))
     drawn = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    points = np.unique(np.array([list(v) for v in drawn], dtype=np.int64), axis=0) if len(drawn) else np.zeros((1, max(dim, 1)), dtype=np.int64)
+    points = np.unique(np.array([list(v) for v in drawn], dtype=np.int64), axis=0) if len(drawn) else np.zeros((1, dim), dtype=np.int64)
     rng = np.random.default_rng(7)
     points = points[np.sort(rng.choice(len(points), min(pivots, len(points)), replace=False))]
     shared = spark.sparkContext.broadcast(points)
@@ -150,8 +168,6 @@ def knn_join(
     by_cell = plan.select(F.col("group").alias("for"), F.col("to").alias("own"), F.col("parts").alias("shares"), F.col("blocks").alias("pieces"))
     have = placed.join(F.broadcast(by_cell), F.col("cell") == F.col("own")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     have = have.withColumn("share", spread("shares")).select("for", "share", "own", "piece", "id", "v")
-    found = ask.groupBy("group", "part", "to", "block").cogroup(have.groupBy("for", "share", "own", "piece")).applyInArrow(_solve(k, dim), "query_id long, id long, score long")
-    from pyspark.sql import Window
-
+    found = ask.groupBy("group", "part", "to", "block").cogroup(have.groupBy("for", "share", "own", "piece")).applyInArrow(_solve(k, dim, dim * far * far < 2.0**53), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

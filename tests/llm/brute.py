@@ -144,3 +144,22 @@ def repeats(strings):
                 d, p = min(a[:2] for a in at)
                 out.append((len(sub), len(at), g * 100 + d, p))
     return sorted(out)
+
+
+def longest(docs, items, n):
+    """(document, item, begin, end) of each common stretch of n words or more, or of a whole shorter item, that lies in no longer one of the item."""
+    out = set()
+    for d, t in docs:
+        a = alnum(t)
+        for i, u in items:
+            b = alnum(u)
+            found = set()
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    if p and q and a[p - 1] == b[q - 1]:
+                        continue
+                    k = _common(a[p:], b[q:])
+                    if k and (k >= n or k == len(b)):
+                        found.add((p, p + k))
+            out |= {(d, i, x, y) for x, y in found if not any((x2 <= x and y <= y2) and (x2, y2) != (x, y) for x2, y2 in found)}
+    return sorted(out)

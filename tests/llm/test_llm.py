@@ -185,6 +185,23 @@ def test_hits_equal_brute_force(spark, block_words):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute.hits(rows, items, 6)
 
 
+def test_items_without_an_id_and_long_items(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "a " + item + " b"), (2, "n o p"), (2, "n o p"), (3, None)], DOCS)
+    bench = spark.createDataFrame([(None, "N o P"), ("None", "w38 w39 zz"), ("x", item), ("x", item)], "item_id string, text string")
+    for block_words in (500_000, 12):
+        got = D.contamination(docs, bench, window=3, block_words=block_words)
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()) == [(1, 42, 40, ("x",)), (2, 3, 3, ()), (2, 3, 3, ()), (3, 0, 0, ())]
+    assert {(r["doc_id"], r["item_id"], r["lo"], r["hi"]) for r in D.longest_matches(docs, bench, window=3).collect()} == {(1, "x", 1, 41), (2, None, 0, 3)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_matches_equal_brute_force(spark, seed):
+    rows, items = texts(20 + seed, 40), [(str(i), t) for i, t in texts(40 + seed, 10)]
+    got = D.longest_matches(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id string, text string"), window=4)
+    assert sorted((r["doc_id"], r["item_id"], r["lo"], r["hi"]) for r in got.collect()) == brute.longest(rows, items, 4)
+
+
 def test_longest_matches_and_removal(spark):
     docs = spark.createDataFrame([(1, "x a b c d y", "z"), (2, "none of it", None)], "doc_id long, text string, n_hit string")
     bench = spark.createDataFrame([("q", "A b, c")], "item_id string, text string")
@@ -434,6 +451,20 @@ def test_few_rows(spark):
     assert K.knn_join(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_large_components_repeated_ids_and_other_lengths(spark):
+    rows = [(0, [3e6, 1.0]), (1, [123456789.0 / 64, 1.0]), (1, [123456789.0 / 64, 2.0]), (2, [-5e6, 3.0]), (20, [7.0]), (21, [2.0]), (40, []), (41, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in K.knn_join(df, df.where("vec_id % 20 = 0"), k=20).collect())
+    whole = lambda v: [int(np.floor(64 * x)) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True))
+    want = [(0, 1, 1, dot(rows[0][1], rows[2][1])), (0, 2, 1, dot(rows[0][1], rows[1][1])), (0, 3, 2, dot(rows[0][1], rows[3][1])), (20, 1, 21, 448 * 128), (40, 1, 41, 0)]
+    assert got == sorted(want) and max(abs(r[3]) for r in want) > 2**53
+    twice = spark.createDataFrame([(0, [2.0]), (0, [1.0]), (5, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in K.knn_join(twice, twice.where("vec_id = 0"), k=20).collect()] == [(0, 1, 5, 64 * 64)]
+    with pytest.raises(OverflowError):
+        K.knn_join(spark.createDataFrame([(0, [1e300, 1.0])], "vec_id long, embedding array<double>"), df, k=3)
+
+
 # ---- URL filters
 
 
