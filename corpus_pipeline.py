@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm._run import cut, table
+from lectern.llm._run import Carried, cut, scratch, table
 from lectern.llm.decontaminate import remove_contaminated
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.mixing import mix
@@ -21,7 +21,8 @@ from lectern.llm.toxicity import toxicity, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that score 0.5 or more go; labels train the model."""
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity(docs, model, spans=False).where("score < 0.5").select(*docs.columns)
+    own = Carried(docs, ())
+    return own.unpacked(toxicity(docs.select(own.packed, "text"), model, spans=False).where("score < 0.5"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = found.join(best, "group_id").select(F.col("_d").alias("_id"), F.col("_h").alias("_with"), "_n", (place == F.col("best")).alias("_stays"))
     gone, repeated = judged.where("not _stays").drop("_n", "_stays"), judged.where("_stays and _n > 1").drop("_n", "_stays")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_with"))
-    kept = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(gone, same, "left_anti")
-    single = kept.join(repeated, same, "left_anti").select(*docs.columns)
-    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return single.unionByName(once.select("_row.*"))
+    own = Carried(docs, ())
+    keyed = docs.select(own.packed, "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
+    kept = keyed.join(gone, same, "left_anti")
+    single = kept.join(repeated, same, "left_anti").select("_row")
+    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_h").agg(F.min("_row").alias("_row")).select("_row")
+    return own.unpacked(single.unionByName(once))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: words of 50-word windows that a document with a smaller id also has are cut out; a text without any stays as it is."""
-    found = remove_repeats(docs, window=50)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = Carried(docs, ())
+    found = remove_repeats(docs.select(own.packed, "doc_id", "text"), window=50)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"_row.`{c}`")).alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    with scratch(spark):  # each stage's own intermediate tables go when its result is written; so do the results
+        for _, stage in STAGES:
+            with scratch(spark):
+                docs = cut(stage(spark, docs, sf_dir), keep=True)
+        return cut(docs, keep=True)

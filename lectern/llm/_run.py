@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import cut, shared_dir, ship
+from ..shared import cut, scratch, shared_dir, ship
 
-__all__ = ["Carried", "cut", "lean", "shared_dir", "ship", "table", "whole_id"]
+__all__ = ["Carried", "cut", "lean", "scratch", "shared_dir", "ship", "table", "whole_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, lean, ship, whole_id
+from ._run import cut, lean, scratch, ship, whole_id
 from .components import followed, settled
 
 U = np.uint64
@@ -403,38 +403,41 @@ def jaccard_components(
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(whole_id(docs, id_col), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
-    known, mean, sizes = _frequency(keyed, n, often, most)
-    shared = spark.sparkContext.broadcast(known)
-    light = boundary(sizes, mean, threshold)
-
-    signed = cut(keyed.mapInArrow(lean(_signatures(n, threshold, light, shared)), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>, places array<int>"))
-    classes = cut(
-        signed.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_d", "_h")).alias("rep"))
-        .select("k1", "k2", "n_shingles", "rep._d", "rep._h", F.monotonically_increasing_id().alias("cid"))
-    )
-    sets = signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"])
-    rows = sets.select("cid", "n_shingles", F.explode(F.arrays_zip("signatures", "places")).alias("x"))
-    rows = cut(_mixed(rows.select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"), F.col("cid").alias("root")), list_rows))
-    need = rows.select("cid").distinct().join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
-    texts = cut(keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t").dropDuplicates(["cid"]))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    named = classes.select("k1", "k2", "_d", "cid", F.col("cid").alias("root"))
-    tested = None
-    for reach in (*reaches, 0):
-        dealt = _dealt(rows if reach else _mixed(rows, list_rows), reach)
-        found = dealt.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(lean(_pairs(threshold, reach)), "a long, b long, ra long, rb long").distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = cut(found)
-        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
-        labels = settled(cut(_verified(found, texts, n, threshold).distinct()))
-        if labels is not None:
-            rows, named = followed(rows, "root", labels), followed(named, "root", labels)
+    with scratch(spark):
+        known, mean, sizes = _frequency(keyed, n, often, most)
+        shared = spark.sparkContext.broadcast(known)
+        light = boundary(sizes, mean, threshold)
+
+        signed = cut(keyed.mapInArrow(lean(_signatures(n, threshold, light, shared)), "_d long, _h long, k1 long, k2 long, n_shingles long, signatures array<long>, places array<int>"))
+        classes = cut(
+            signed.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_d", "_h")).alias("rep"))
+            .select("k1", "k2", "n_shingles", "rep._d", "rep._h", F.monotonically_increasing_id().alias("cid"))
+        )
+        sets = signed.where(F.size("signatures") > 0).join(classes.select("k1", "k2", "_d", "_h", "cid"), ["k1", "k2", "_d", "_h"])
+        rows = sets.select("cid", "n_shingles", F.explode(F.arrays_zip("signatures", "places")).alias("x"))
+        rows = cut(_mixed(rows.select(F.col("x.signatures").alias("s"), "cid", "n_shingles", F.col("x.places").alias("place"), F.col("cid").alias("root")), list_rows))
+        need = rows.select("cid").distinct().join(classes, "cid").select("cid", F.col("_d").alias("_rd"), F.col("_h").alias("_rh"))
+        texts = cut(keyed.join(need, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh"))).select("cid", "_t").dropDuplicates(["cid"]))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        named = classes.select("k1", "k2", "_d", "cid", F.col("cid").alias("root"))
+        tested = None
+        for reach in (*reaches, 0):
+            dealt = _dealt(rows if reach else _mixed(rows, list_rows), reach)
+            found = dealt.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(lean(_pairs(threshold, reach)), "a long, b long, ra long, rb long").distinct()
+            if tested is not None:
+                found = found.join(tested, ["a", "b"], "left_anti")
+            found = cut(found)
+            tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
+            labels = settled(cut(_verified(found, texts, n, threshold).distinct()))
+            if labels is not None:
+                rows, named = followed(rows, "root", labels), followed(named, "root", labels)
+        named = cut(named, keep=True)
+        own = cut(signed.select("_d", "_h", "k1", "k2", "n_shingles"), keep=True)
 
     least = named.groupBy("root").agg(F.min("_d").alias("component_id"))
     named = named.join(least, "root").select("k1", "k2", "cid", "root", "component_id")
     alone = F.col("n_shingles") == 0
-    out = signed.select("_d", "_h", "k1", "k2", "n_shingles").join(named, ["k1", "k2"])
+    out = own.join(named, ["k1", "k2"])
     null_id = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
     return out.select(
         null_id("_d").alias("_d"), "_h", "n_shingles", F.col("cid").alias("class_id"),

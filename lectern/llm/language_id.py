@@ -12,8 +12,8 @@ Four kinds of evidence give each language a likelihood or prior:
 How far markup and address are to be believed is estimated from all pages: grouped sums of the text's posterior by
 declared code. All sums are grouped aggregations; hosts and domains only ever are keys of such tables.
 
-Cases: null html, URL or text give no evidence of that kind (an unknown declared code counts as none); without any, the
-prior of all pages decides. Equal posteriors go to the code that sorts first. Rows are judged each; an empty table gives
+Cases: pages of any length; null html, URL or text give no evidence of that kind (an unknown declared code counts as none); without any, the
+prior of all pages decides. Equal posteriors go to the code that sorts first. Rows are judged each, other columns of pages aren't looked at; an empty table gives
 an empty result. Without labelled texts it raises ValueError.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._run import cut, lean, ship
+from ._run import Carried, cut, lean, ship
 from .html_text import main_text
 
 U = np.uint64
@@ -113,12 +113,12 @@ def _scores(shared, evidence: float, html: bool):
 
 
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], column: str, html: bool, evidence: float = 40.0) -> DataFrame:
-    """rows' columns but the one read, with declared and text_log (of each language, its largest 0)."""
+    """rows' columns but the one read (and any named declared or text_log), with declared and text_log (of each language, its largest 0)."""
     spark = rows.sparkSession
     ship(spark)
-    own = [c for c in rows.columns if c != column]
-    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in own)
-    return rows.select(column, *own).mapInArrow(lean(_scores(spark.sparkContext.broadcast(model), evidence, html)), f"{kept}declared string, text_log array<double>")
+    own = Carried(rows, ("declared", "text_log"), (column,))
+    found = rows.select(F.col(column), own.packed).mapInArrow(lean(_scores(spark.sparkContext.broadcast(model), evidence, html)), own.schema(("declared", "string"), ("text_log", "array<double>")))
+    return own.unpacked(found, "declared", "text_log")
 
 
 def _address(url: Column, languages: list[str]) -> Column:

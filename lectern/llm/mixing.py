@@ -5,14 +5,14 @@ weight until no target is above. Among all document rates between 0 and ``most``
 balancing takes those nearest to even odds in relative entropy. Its convex dual has one multiplier a source; the rates
 are exponentially tilted: most / (1 + exp(-multiplier * size / mean size)). Newton iterations solve the dual. Each is
 one grouped aggregation over all sources, on (source, size, number of documents) instead of documents, and keeps to a
-bracket, so it converges from any start.
+bracket, so it converges from any start; targets that are still missed after ``most_rounds`` raise RuntimeError.
 
 Rates become whole copies by rounding running sums over documents sorted by size, so a source's error stays below one
 long document; then, a few times, the one copy more or less that brings the source nearest to its target is made. All
 of this happens on cells of equal size, split so that none has more than ``cell_rows`` documents; documents only join
-their cell at the end and the first of it by a hash of the id take the odd copies.
+their cell at the end and the first of it by a hash of the id (of the text where that is null) take the odd copies.
 
-Cases: null or empty text has size 0 and is never taken. Null sources are one source, the last. A source without
+Cases: texts of any length; null or empty text has size 0 and is never taken. Null sources are one source, the last. A source without
 words has target 0. Null ids and repeated rows are documents like others. Other columns are not looked at. An empty
 table gives an empty result. The same rows give the same result.
 """
@@ -37,10 +37,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     nth = (F.row_number().over(code_point) - 1) % len(weights) + 1
     weight = F.element_at(F.array(*map(F.lit, weights)), nth).cast("double")
     fills = Window.orderBy("ratio", F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
-    before, rest, all_ = fills.rowsBetween(Window.unboundedPreceding, -1), fills.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
+    before, all_ = fills.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    rest = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))  # of this source and all after it
     x = sources.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("limit") / F.col("weight"))
     x = x.withColumn("total", F.sum("source_size").over(all_) * F.lit(float(share)))
-    x = x.withColumn("level", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+    x = x.withColumn("level", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / rest)
     x = x.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(all_)["level"])
     return x.select("source", "source_size", F.least("limit", F.coalesce(F.col("weight") * F.col("level"), F.col("limit"))).alias("target"))
 
@@ -69,8 +70,8 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = 2.0, tolerance: floa
         state = cut(x.select("source", "target", "mean", F.when(settled, F.col("tilt")).when(inside, F.col("step")).otherwise(other).alias("tilt"), "lo", "hi", off.alias("off")))
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
-            break
-    return state.select("source", "tilt")
+            return state.select("source", "tilt")
+    raise RuntimeError(f"Newton iterations left a target missed by a share of {worst:.2g} after {most_rounds} rounds")
 
 
 def _nudged(cells: DataFrame, most: int) -> DataFrame:
@@ -92,7 +93,8 @@ def mix(
     share: float = 1.5, most: int = 2, cell_rows: int = 4096, nudges: int = 3,
 ) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (copies * size) of every document."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    draw = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")))
     plain = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = plain.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     goals = cut(targets(sources.select("source", "source_size"), weights, share, float(most)))
@@ -103,7 +105,7 @@ def mix(
     parts = F.ceil(F.col("n") / cell_rows)
     spread = F.col("parts") > 1
     keyed = sized.join(plain.select(F.col("source").alias("s"), F.col("size").alias("z"), parts.alias("parts")), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    keyed = keyed.select("doc_id", "source", "size", F.when(spread, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0).cast("long")).alias("part"))
+    keyed = keyed.select("doc_id", "source", "size", "draw", F.when(spread, F.pmod("draw", F.col("parts"))).otherwise(F.lit(0).cast("long")).alias("part"))
     cells = keyed.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     g = goals.select(F.col("source").alias("g"), "source_size", "target")
     t = tilts.select(F.col("source").alias("t"), "tilt")
@@ -121,7 +123,7 @@ def mix(
 
     c = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "n", "m", "target", "source_size")
     found = keyed.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id"))
     copies = (F.floor(F.col("m") / F.col("n")) + F.when(rank <= F.col("m") % F.col("n"), 1).otherwise(0)).cast("int")
     return found.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"

@@ -7,11 +7,12 @@ document labels by the gradient of that likelihood, so the model learns which se
 Features are words with A-Z as a-z, and their first and last few bytes (inflected and compound words share them),
 hashed into ``2**bits`` buckets. Counting and selecting them and all scoring run on the executors; the driver gets the
 selected buckets (``features`` at most) of the training documents and fits. Training rows are a bounded sample of the
-labelled ones: ``per_class`` of each label at most, by the order of a hash of the id; the loss weighs them back to the
-labels' shares. Everything else covers all rows.
+labelled ones: ``per_class`` of each label at most, by the order of a hash of the id, as long as they have no more than
+``pairs`` occurrences of features in all (a text that would exceed that is left out whole); the loss weighs them back to
+the labels' shares. Everything else covers all rows.
 
-Cases: null text is empty; an empty text has the score of a bag without sentences, 0. Labels that are null or of
-null ids are left out; the larger of several labels of an id holds. Without labels of both kinds all scores are 0.
+Cases: texts of any length; null text is empty; an empty text has the score of a bag without sentences, 0. Labels that are null or of
+null ids are left out; the larger of several labels of an id holds, and of several texts of an id the least trains. Without labels of both kinds all scores are 0.
 Repeated rows are scored each; other columns are carried.
 """
 
@@ -80,7 +81,7 @@ def _counts(bits: int):
 
 
 def _bags(bits: int, shared):
-    """Of each training text: label, number of sentences, and (sentence, feature) pairs of the selected buckets."""
+    """Of each training text: its order, label, number of sentences, and (sentence, feature) pairs of the selected buckets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full((1 << bits) + 1, -1, dtype=np.int64)
@@ -94,7 +95,7 @@ def _bags(bits: int, shared):
                 doc = w.doc[at[0]]
                 to = np.searchsorted(doc, np.arange(rows + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (sentence[at[0]] - first[doc], f[at])]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(row, rows), pa.array(np.diff(first).astype(np.int32)), *lists], names=["label", "n", "sentence", "feature"])
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(row, rows), b.column(1).slice(row, rows), pa.array(np.diff(first).astype(np.int32)), *lists], names=["order", "label", "n", "sentence", "feature"])
 
     return each
 
@@ -122,7 +123,7 @@ def fit(label: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.ndarray,
     return float(theta[0]), theta[1:]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, features: int = 3000, bits: int = 18) -> tuple[float, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, features: int = 3000, bits: int = 18, pairs: int = 20_000_000) -> tuple[float, np.ndarray]:
     """Bias and the weight of every bucket."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
@@ -132,19 +133,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = [known.where(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     total = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     sample = drawn[0].unionByName(drawn[1])
-    texts = cut(docs.select(F.col(id_col).alias("_i"), F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id")).select("_t", "_y"))
-    found = texts.mapInArrow(lean(_counts(bits)), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where("p >= 2")
+    texts = cut(docs.select(F.col(id_col).alias("_i"), F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id")).groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")))
+    found = texts.select("_t", "_y").mapInArrow(lean(_counts(bits)), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where("p >= 2")
     sizes = {r["_y"]: r["count"] for r in texts.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return -30.0, weights
     rate = F.log(((F.col("p") + 0.5) / sizes[1]) / ((F.col("q") + 0.5) / sizes[0]))
     best = found.withColumn("gain", F.col("p") * rate).where(rate > 1.0).orderBy(F.desc("gain"), "bucket").limit(features).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(best)
-    bags = texts.mapInArrow(lean(_bags(bits, shared)), "label int, n int, sentence array<int>, feature array<int>").toPandas()
+    drawn_by = F.xxhash64("_id")
+    bags = cut(texts.select("_t", "_y", drawn_by.alias("_o")).mapInArrow(lean(_bags(bits, shared)), "order long, label int, n int, sentence array<int>, feature array<int>"))
+    held, taken = 0, []
+    for r in bags.select("order", F.size("feature").alias("m")).orderBy("order").collect():  # 2 * per_class rows at most
+        if held + r["m"] <= pairs:
+            held += r["m"]
+            taken.append(r["order"])
+    if len(taken) < sum(sizes.values()):
+        bags = bags.join(spark.createDataFrame([(x,) for x in taken], "order long"), "order", "left_semi")
+    bags = bags.toPandas().sort_values("order", ignore_index=True)
     doc = np.repeat(np.arange(len(bags)), bags["feature"].map(len).to_numpy())
     flat = lambda c: np.concatenate([np.asarray(x, dtype=np.int64) for x in bags[c]]) if len(bags) else np.empty(0, dtype=np.int64)
     label = bags["label"].to_numpy()
-    weight = np.where(label == 1, total[1] / sizes[1], total[0] / sizes[0])
+    weight = np.where(label == 1, total[1] / max((label == 1).sum(), 1), total[0] / max((label == 0).sum(), 1))
     bias, w = fit(label, bags["n"].to_numpy().astype(np.int64), doc, flat("sentence"), flat("feature"), len(best), weight)
     weights[best] = w
     return bias, weights

@@ -5,8 +5,10 @@ Entries of lists are added and dropped on dates; the events of one entry become
 an entry of that key that is valid when the page was fetched: an equality join with the time inside the interval, so
 each capture is judged by the lists as they were.
 
-List events of an entry are its own small group. Captures join by key; a hot host's captures can be split over tasks
-(skew join), since the other side has few rows a key. Only id, time and key of a capture are shuffled.
+List events of an entry are its own small group. A capture only brings the keys of a kind and depth (labels or path
+segments) that some entry has, so bare suffixes don't gather all captures unless a list names one. Captures join by key
+and one of ``spread`` salts, for each of which the intervals are repeated: a hot host's captures meet in many tasks. Only
+id, time and key of a capture are shuffled.
 
 Events: list, kind ('domain': the host and all below it; 'host': it alone; 'prefix': host and leading path segments),
 entry, action ('add' or 'drop'), at. Of an entry's events at one time a drop holds; events that repeat the state change
@@ -14,7 +16,8 @@ nothing. Intervals are closed at the start and open at the end.
 
 Cases: null or malformed URLs have no host and match nothing; null times match nothing. Null lists, kinds, entries,
 actions or times of events are left out. Hosts are compared without case, credentials, port, leading 'www.' or a final
-dot; paths with case, without query, fragment and final slash. Repeated rows are judged each. Empty lists block nothing.
+dot; paths with case, without query, fragment and final slash. URLs of any length. Repeated rows are judged each; columns
+named like an added one give way to it. Empty lists block nothing.
 """
 
 from __future__ import annotations
@@ -58,12 +61,21 @@ def intervals(events: DataFrame) -> DataFrame:
     return changes.withColumn("valid_to", F.lead("at").over(own)).where("not drop").select("list", "kind", "entry", F.col("at").alias("valid_from"), "valid_to")
 
 
-def matches(captures: DataFrame, events: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
+def depth(kind: Column, entry: Column) -> Column:
+    """Labels of a domain, slashes of a prefix; 255 stands for more. So there are at most 3 x 256 kinds and depths."""
+    return F.least(F.when(kind == "domain", F.size(F.split(entry, r"\."))).when(kind == "prefix", F.size(F.split(entry, "/"))).otherwise(0), F.lit(255))
+
+
+def matches(captures: DataFrame, events: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched", spread: int = 8) -> DataFrame:
     """id, list, kind, entry, valid_from of each entry active when the capture was fetched."""
     asked = captures.select(F.col(id_col).alias("id"), F.col(at_col).alias("fetched"), F.explode(keys(F.col(url_col))).alias("k")).select("id", "fetched", "k.kind", "k.entry")
-    valid = intervals(events)
+    valid = intervals(events.where(F.col("kind").isin("host", "domain", "prefix")))
+    listed = events.where(F.col("kind").isin("host", "domain", "prefix")).select("kind", depth(F.col("kind"), F.col("entry")).alias("depth")).distinct()
+    asked = asked.withColumn("depth", depth(F.col("kind"), F.col("entry"))).join(F.broadcast(listed), ["kind", "depth"], "left_semi")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
+    valid = valid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     during = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    return asked.join(valid, ["kind", "entry"]).where(during).select("id", "list", "kind", "entry", "valid_from")
+    return asked.join(valid, ["kind", "entry", "salt"]).where(during).select("id", "list", "kind", "entry", "valid_from")
 
 
 def filtered(captures: DataFrame, events: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:

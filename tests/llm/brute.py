@@ -1,6 +1,7 @@
 """Plain versions of what the operators compute."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -163,3 +164,83 @@ def longest(docs, items, n):
                         found.add((p, p + k))
             out |= {(d, i, x, y) for x, y in found if not any((x2 <= x and y <= y2) and (x2, y2) != (x, y) for x2, y2 in found)}
     return sorted(out)
+
+
+M64 = (1 << 64) - 1
+
+
+def _mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def _polynomial(part):
+    """Of bytes, A-Z counting as a-z."""
+    byte = lambda b: _mix((b + 32 * (65 <= b <= 90) + 1) * 0x9E3779B97F4A7C15 & M64)
+    return sum(byte(b) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(part)) & M64
+
+
+def noisy_or(text, model):
+    """1 - prod(1 - score) over the sentences, from the weights of words, their heads and tails."""
+    bias, weights = model
+    shift = 65 - len(weights).bit_length()
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", sentence)]
+        if words:
+            z = bias
+            for w in words:
+                z += weights[_mix((_polynomial(w) + len(w)) & M64) >> shift]
+                for k, n, part in [(1, n, w[:n]) for n in (3, 4, 5, 6)] + [(2, n, w[-n:]) for n in (4, 5)]:
+                    if len(w) > n:
+                        z += weights[_mix((_polynomial(part) + 1000 * k + n) & M64) >> shift]
+            none *= 1 - 1 / (1 + math.exp(-max(min(z, 30), -30)))
+    return 1 - none
+
+
+def rates(cells, target, most):
+    """(size, n) cells -> size -> rate: the tilt found by halving."""
+    mean = sum(s * n for s, n in cells) / sum(n for _, n in cells)
+    rate = lambda t, s: most / (1 + math.exp(-max(min(t * s / mean, 60), -60)))
+    lo, hi = -1e3, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * s * rate(mid, s) for s, n in cells) < target else (lo, mid)
+    return {s: rate(lo, s) for s, _ in cells}
+
+
+def languages(pages, model, pseudo=(4.0, 16.0)):
+    """id -> language of (id, URL, text likelihoods, declared code) rows, by the fusion's formulas one page at a time."""
+    names = model[0]
+    k = len(names)
+
+    def normal(logs):
+        odds = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(odds) for x in odds]
+
+    rows = []
+    for i, url, logs, declared in pages:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::\d+)?([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        codes = [c.lower().split("-")[0].split("_")[0] for c in path.split("/")]
+        named = [c for c in codes if c in names][-1:] or [c for c in host.split(".")[:1] if c in names and "." in host] or [c for c in host.split(".")[1:][-1:] if c in names]
+        rows.append((i, host, ".".join(host.split(".")[-2:]), declared if declared in names else None, named[0] if named else None, logs, normal(logs)))
+    base = [1.0 + sum(r[6][j] for r in rows) for j in range(k)]
+    base = [x / sum(base) for x in base]
+    trust = {}
+    for kind in (3, 4):
+        held = [[0.2 + 5.0 * (a == b) + sum(r[6][b] for r in rows if r[kind] == names[a]) for b in range(k)] for a in range(k)]
+        trust[kind] = [[math.log(held[a][b] / sum(held[c][b] for c in range(k))) for b in range(k)] for a in range(k)]
+    out = {}
+    for r in rows:
+        prior = base
+        for column, weight in ((2, pseudo[1]), (1, pseudo[0])):
+            own = [max(sum(x[6][j] for x in rows if x[column] == r[column]) - r[6][j], 0.0) for j in range(k)]
+            prior = [(own[j] + weight * prior[j]) / (sum(own) + weight) for j in range(k)]
+        logs = [r[5][j] + math.log(prior[j]) + sum(trust[kind][names.index(r[kind])][j] for kind in (3, 4) if r[kind]) for j in range(k)]
+        post = normal(logs)
+        out[r[0]] = (names[post.index(max(post))], max(post))
+    return out

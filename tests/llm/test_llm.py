@@ -281,6 +281,26 @@ def test_mix_runs_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rates_equal_brute_force(spark):
+    rng = random.Random(2)
+    cells = [(src, size, rng.randint(1, 30)) for src in ("a", "b", None) for size in sorted(rng.sample(range(1, 400), 12))]
+    size = lambda x: sum(s * n for y, s, n in cells if y == x)
+    goals = [("a", size("a") * 1.7), ("b", size("b") * 0.3), (None, size(None) * 1.0)]
+    mean = lambda x: size(x) / sum(n for y, _, n in cells if y == x)
+    tilt = {r["source"]: r["tilt"] for r in M.solve(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame([(x, t, mean(x)) for x, t in goals], "source string, target double, mean double")).collect()}
+    for x, t in goals:
+        for s, want in brute.rates([(s, n) for y, s, n in cells if y == x], t, 2.0).items():
+            assert 2 / (1 + np.exp(-tilt[x] * s / mean(x))) == pytest.approx(want, abs=1e-4)
+
+
+def test_mixing_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a", f"w{i % 50} x y") for i in range(300)] + [(7, "a", "p q")] * 5 + [(8, "b", "r")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("old"))
+    got = sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in M.mix(df, cell_rows=16).collect())
+    assert len(got) == len(rows) and got == sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in M.mix(df.repartition(5), cell_rows=16).collect())
+    assert sum(t for i, _, t in got if i != 8) == pytest.approx(M.mix(df).where("source = 'a'").first()["target"], abs=3)
+
+
 # ---- toxicity
 
 
@@ -306,6 +326,27 @@ def test_toxicity_learns_sentences(spark):
     assert all(len(r["offending"]) == r["toxic"] and all("vile" in s or "nasti" in s for s in r["offending"]) for r in got)
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    rows = toxic_rows()
+    df = spark.createDataFrame([*rows, (5000, "VileStuff, no. Ärger\nund so!", 0), (5001, None, 0)], "doc_id long, text string, toxic int")
+    model = X.train(df, df.where(~X.held_out()).select("doc_id", "toxic"))
+    for r in X.toxicity(df, model).collect():
+        assert r["score"] == pytest.approx(brute.noisy_or(r["text"], model), abs=1e-5)
+    again = X.train(df.repartition(3), df.select("doc_id", "toxic").where(~X.held_out()).repartition(2))
+    assert again[0] == model[0] and (again[1] == model[1]).all()
+
+
+def test_toxicity_training_is_bounded_and_takes_one_text_an_id(spark):
+    rows = toxic_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    model = X.train(df, labels)
+    twice = X.train(df.unionByName(df).unionByName(df.where("doc_id < 20")), labels.unionByName(labels))
+    assert twice[0] == model[0] and (twice[1] == model[1]).all()
+    less = X.train(df, labels, pairs=40)
+    assert np.isfinite(less[1]).all() and not (less[1] == model[1]).all()
+
+
 def test_toxicity_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 100_000), (3, "...\n!?")], DOCS)
     model = X.train(df, spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, toxic int"))
@@ -485,6 +526,33 @@ def test_keys_and_intervals(spark):
 # ---- language ID
 
 
+def test_fusion_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = G.train(docs, per_language=50)
+    rng = random.Random(6)
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()]
+    hosts = ["a.example.com", "b.example.com", "de.other.org", "x.site.fr", "es"]
+    pages = []
+    for i in range(60):
+        lang, path = rng.choice(["", " lang=fr", " lang='de-AT'", " lang=xx"]), rng.choice(["/x", "/en/y", "/a/es-mx?q=/de/", ""])
+        cut_ = some[i][: rng.choice([0, 20, 200, 5000])]
+        pages.append((i, rng.choice([None, "nonsense", *[f"https://{h}{path}" for h in hosts]]), f"<html{lang}><body><p>{cut_}"))
+    pages += [(100, "https://q.net/1", None), (101, "https://q.net/2", ""), (102, None, "<p>" + "und die der das " * 40_000), (0, pages[0][1], pages[0][2])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("declared", F.lit("old")).withColumn("text_log", F.lit(1))
+    scored = G.text_scores(df, model, "html", True)
+    assert scored.columns == ["page_id", "url", "declared", "text_log"]
+    want = brute.languages([(r["page_id"], r["url"], r["text_log"], r["declared"]) for r in scored.collect()], model)
+    got = {r["id"]: (r["lang"], r["posterior"]) for r in G.identify(df, model).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(v[1] == pytest.approx(want[k][1], abs=1e-9) for k, v in got.items())
+
+
+def test_equal_posteriors_go_to_the_first_code(spark):
+    model = (["aa", "bb"], np.log(np.full((2, 1 << G.BITS), 1.0 / (1 << G.BITS))))
+    df = spark.createDataFrame([(1, None, "<p>any text"), (1, None, "<p>any text"), (None, None, None)], "page_id long, url string, html string")
+    assert [r["lang"] for r in G.identify(df, model).collect()] == ["aa"] * 3
+
+
 def test_language_of_texts_and_pages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = G.train(docs.where("doc_id % 2 = 0"), per_language=200)

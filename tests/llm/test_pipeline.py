@@ -6,6 +6,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute
@@ -38,6 +39,32 @@ def test_toxic_documents_go(spark, kept):
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in scores.collect() if r["score"] < 0.5} and len(after) < len(before)
 
 
+def test_toxic_documents_go_by_brute_force(spark, kept):
+    """Scores told anew from the text alone, word by word, with the weights that the stage trains."""
+    before, after, _ = kept[0]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = X.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    score = {r["doc_id"]: brute.noisy_or(r["text"], model) for r in before}
+    assert {r["doc_id"] for r in after} >= {i for i, s in score.items() if s < 0.4999} and not {r["doc_id"] for r in after} & {i for i, s in score.items() if s > 0.5001}
+    marked = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert sum((score[i] >= 0.5) == bool(y) for i, y in marked.items()) >= 0.97 * len(marked)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_every_stage_takes_odd_rows(spark, stage):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, None, None, None, None), (None, "", "en", None, 0), (1, "a b c", None, "s", 5), (1, "a b c", None, "s", 5), (2, long, "en", "s", len(long)), (None, "a b c", "fr", "t", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for extra in ("score", "size", "_row", "items", "kept_text"):
+        docs = docs.withColumn(extra, F.lit("x"))
+    got = P.STAGES[stage][1](spark, docs, DATA)
+    if stage < 4:
+        assert got.columns == docs.columns
+    want = {0: 6, 1: 4, 2: 6, 3: 6, 4: 6}[stage]  # of the three "a b c" the first with id 1 stays
+    assert got.count() == want and all(r[c] == "x" for r in got.collect() for c in ("score", "_row") if c in got.columns)
+    assert P.STAGES[stage][1](spark, docs.limit(0), DATA).count() == 0
+
+
 def test_one_of_each_group_stays(kept):
     before, after, _ = kept[1]
     want, links = brute.linked([(r["doc_id"], r["text"]) for r in before], 5, 80, 100)
