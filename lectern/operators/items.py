@@ -95,3 +95,70 @@ def summary(items: DataFrame) -> DataFrame:
         F.count("*").alias("n_items"), F.count_if(F.col("classification") == "Requirement").alias("n_requirements"), F.count_if(F.col("classification") == "Information").alias("n_information"),
         F.count_if(F.col("export_status") == "rejected").alias("n_rejected"), F.count_if(F.size("issues") > 0).alias("n_with_issues"),
     )
+
+
+def catalog_rows(items: DataFrame) -> DataFrame:
+    """doc_id, item_no and the five columns of a catalog's plain sheet."""
+    return items.select("doc_id", "item_no", F.col("clause_id").alias("Clause ID"), F.col("title").alias("Title"), F.col("classification").alias("Classification"), F.col("source_page").alias("Source Page"), F.col("text").alias("Text"))
+
+
+def catalog_review_rows(items: DataFrame, most: int = 200) -> DataFrame:
+    """doc_id, item_no and the eight columns of a catalog's review sheet; a longer text ends in dots."""
+    t = F.coalesce("text", F.lit(""))
+    preview = F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+    return items.select(
+        "doc_id", "item_no", "source_page", "clause_id", "title", "classification", preview.alias("text_preview"), F.length(t).alias("text_length"),
+        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.array_join("issues", ", ").alias("issues"),
+    )
+
+
+def block_review_rows(blocks: DataFrame) -> DataFrame:
+    """doc_id and the nine columns of a sheet of blocks as they were found."""
+    none = F.lit("")
+    given = lambda c: F.coalesce(F.col(c).cast("string"), none) if c in blocks.columns else none
+    box = F.concat(F.lit("["), F.array_join(F.array(*[F.col(f"bbox.{c}").cast("string") for c in ("x0", "top", "x1", "bottom")]), ", "), F.lit("]"))
+    return blocks.select("doc_id", "page", F.col("block_no").alias("block_id"), "block_type", given("clause_id").alias("clause_id"), given("title").alias("title"), "text", "confidence", F.array_join("issues", ", ").alias("issues"), box.alias("bbox"))
+
+
+def page_warnings(items: DataFrame, page: str = "page") -> DataFrame:
+    """doc_id, warning_no, warning: each issue of a page once, in the order of its first item."""
+    x = items.select("doc_id", "item_no", F.col(page).alias("_page"), F.posexplode("issues").alias("at", "issue"))
+    first = x.groupBy("doc_id", F.concat(F.lit("Page "), F.coalesce(F.col("_page").cast("string"), F.lit("None")), F.lit(": "), F.col("issue")).alias("warning")).agg(F.min(F.struct("item_no", "at")).alias("first"))
+    return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("warning_no"), "warning")
+
+
+def sheet_sizes(tables: DataFrame, slides: DataFrame) -> DataFrame:
+    """doc_id, sheet_name, n_rows, width of a deck's sheets; the texts are the last one. tables: with sheet_name and rows."""
+    widest = F.coalesce(F.array_max(F.transform("rows", lambda r: F.size(r))), F.lit(0))
+    sheets = tables.select("doc_id", "sheet_name", F.size("rows").cast("long").alias("n_rows"), widest.alias("width"))
+    return sheets.unionByName(slides.groupBy("doc_id").agg(F.lit("slides_text").alias("sheet_name"), F.count("*").alias("n_rows"), F.lit(2).alias("width")))
+
+
+def padded_rows(tables: DataFrame) -> DataFrame:
+    """tables with each row filled up with '' to its table's width."""
+    widest = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    return tables.withColumn("rows", F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r)))))
+
+
+def subset(items: DataFrame, selected: tuple[int, ...] | None = None, first: int | None = None) -> DataFrame:
+    """The items of a document that are to be enriched: those selected, the first so many, or all. item_no counts from 1."""
+    if selected is not None:
+        return items.where(F.col("item_no").isin(*selected) if selected else F.lit(False))
+    return items if first is None else items.where(F.col("item_no") <= first)
+
+
+def sheet_check(rows: DataFrame, id_pattern: str, titles: tuple[str, ...], phrases: tuple[str, ...]) -> DataFrame:
+    """One row a document: counts over a written assessment sheet (doc_id, sheet_row, clause, title, text), and its first id.
+
+    titles: front matter by title; phrases: what no clause, title or text may hold. Clauses are compared as written.
+    """
+    clean = lambda c: T.strip(F.coalesce(F.col(c), F.lit("")))
+    x = rows.select("doc_id", "sheet_row", *[clean(c).alias(c) for c in ("clause", "title", "text")]).where("clause <> '' or title <> '' or text <> ''")
+    low = F.lower(F.concat_ws(" ", "clause", "title", "text"))
+    bad = F.lower("title").isin(*[t.lower() for t in titles]) | F.exists(F.array(*map(F.lit, [p.lower() for p in phrases])), lambda p: low.contains(p))
+    repeated = x.where("clause <> ''").groupBy("doc_id", "clause").count().where("count > 1").groupBy("doc_id").agg(F.count("*").alias("_duplicates"))
+    found = x.groupBy("doc_id").agg(
+        F.count("*").alias("n_rows"), F.min_by("clause", "sheet_row").alias("first_id"), F.count_if(F.col("clause") == "").alias("n_blank"),
+        F.count_if((F.col("clause") != "") & ~F.col("clause").rlike(id_pattern)).alias("n_invalid"), F.count_if(bad).alias("n_bad"), F.count_if(F.length("text") <= 1).alias("n_one_letter"),
+    )
+    return found.join(repeated, "doc_id", "left").select(*found.columns, F.coalesce("_duplicates", F.lit(0)).cast("long").alias("n_duplicates"))

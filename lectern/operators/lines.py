@@ -16,20 +16,20 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def cluster_by_anchor(words: DataFrame, reach: float = 0.6) -> DataFrame:
     """words with line_no: a word stays in a line as long as its top is near the top of the line's first word.
 
-    The line's first word carries over from word to word, so this is a fold over each page's words in order, in
-    one aggregation a page.
+    The line's first word carries over from word to word, so this is a fold over each page's words in order, in one
+    aggregation a page. It only keeps where lines start; words then look up how many starts are before them.
     """
-    word = F.struct(F.bround("top", 1).alias("r"), F.col("x0").alias("x"), F.col("word_no").alias("k"), F.col("top").alias("t"), (F.col("bottom") - F.col("top")).alias("h"))
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<k:int,line:int>>").alias("out"))
+    place = F.struct(F.bround("top", 1).alias("r"), F.col("x0").alias("x"), F.col("word_no").alias("k"), F.struct(*[F.col(f"`{c}`") for c in words.columns]).alias("row"))
+    pages = words.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(place)), lambda w: w["row"]).alias("w"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, w: Column) -> Column:
-        same = a["anchor"].isNotNull() & (F.abs(w["t"] - a["anchor"]) <= F.lit(reach) * F.greatest(w["h"], F.lit(1.0)))
-        n = F.when(same, a["n"]).otherwise(a["n"] + 1)
-        return F.struct(F.when(same, a["anchor"]).otherwise(w["t"]).alias("anchor"), n.alias("n"), F.concat(a["out"], F.array(F.struct(w["k"].cast("int").alias("k"), n.cast("int").alias("line")))).alias("out"))
+        same = a["anchor"].isNotNull() & (F.abs(w["top"] - a["anchor"]) <= F.lit(reach) * F.greatest(w["bottom"] - w["top"], F.lit(1.0)))
+        starts = F.when(same, a["starts"]).otherwise(F.array_append(a["starts"], a["n"]))
+        return F.struct(F.when(same, a["anchor"]).otherwise(w["top"]).alias("anchor"), (a["n"] + 1).alias("n"), starts.alias("starts"))
 
-    placed = pages.select("doc_id", "page", F.explode(F.aggregate("w", start, step)["out"]).alias("p"))
-    return words.join(placed.select("doc_id", "page", F.col("p.k").alias("word_no"), F.col("p.line").alias("line_no")), ["doc_id", "page", "word_no"])
+    placed = pages.select(F.posexplode("w").alias("n", "w"), F.aggregate("w", start, step)["starts"].alias("starts"))
+    return placed.select("w.*", (F.size(F.filter("starts", lambda s: s <= F.col("n"))) - 1).alias("line_no"))
 
 
 def cluster_by_bucket(words: DataFrame, height: float = 3.0) -> DataFrame:

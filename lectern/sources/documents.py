@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import importlib
+import os
 import ssl
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,34 +32,50 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, options: dict, width: int):
+        self.options, self.width = options, width
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(p) for p in self.options.get("paths", self.options.get("path", "")).split(",") if p]
 
     def read(self, part: _Part) -> Iterator[tuple]:
         module, _, name = self.options["parser"].partition(":")
-        yield from getattr(importlib.import_module(module), name)(part.path)
+        parse = getattr(importlib.import_module(module), name)
+        more = {k: v for k, v in (("attributes", self.options.get("attributes")),) if v}
+        try:
+            rows = list(parse(part.path, **more)) if more else parse(part.path)
+        except Exception:
+            if not more:
+                raise
+            rows = parse(part.path)  # a parser that can't give the wanted attributes gives words without them
+        for r in rows:
+            yield (*r, *[None] * (self.width - len(r)))
 
 
-class WordSource(DataSource):
-    """spark.read.format('lectern_words'): parser='module:function' turns a path into tuples of WORDS; a partition a file."""
+def _source(kind: str, ddl: str) -> type[DataSource]:
+    """spark.read.format('lectern_<kind>'): parser='module:function' turns a path into tuples; a partition a file, missing last columns are null."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "lectern_words"
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"lectern_{kind}"
 
-    def schema(self) -> str:
-        return WORDS
+        def schema(self) -> str:
+            return ddl
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(self.options, len(schema.fields))
+
+    return Source
+
+
+WordSource, PageSource, TableSource = _source("words", WORDS), _source("pages", PAGES), _source("tables", TABLES)
 
 
 def register(spark: SparkSession) -> None:
     ship(spark)
-    spark.dataSource.register(WordSource)
+    for source in (WordSource, PageSource, TableSource):
+        spark.dataSource.register(source)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -73,11 +93,19 @@ class AccessError(Exception):
 
 
 def tls_context(insecure: bool = False, ca_bundle: str | None = None) -> ssl.SSLContext:
+    """No checks if insecure; else the given bundle, the system's trust store, a bundle that is installed, or the default."""
     if insecure:
         out = ssl.create_default_context()
         out.check_hostname, out.verify_mode = False, ssl.CERT_NONE
         return out
-    return ssl.create_default_context(cafile=ca_bundle)
+    if ca_bundle:
+        return ssl.create_default_context(cafile=ca_bundle)
+    for module, context in (("truststore", lambda m: m.SSLContext(ssl.PROTOCOL_TLS_CLIENT)), ("certifi", lambda m: ssl.create_default_context(cafile=m.where()))):
+        try:
+            return context(importlib.import_module(module))
+        except (ImportError, OSError):
+            continue
+    return ssl.create_default_context()
 
 
 def fetch(url: str, timeout: float = 30, insecure: bool = False, ca_bundle: str | None = None, most: int = 25 << 20) -> tuple[str, str, bytes]:
@@ -124,3 +152,63 @@ def fetched(urls: DataFrame, url_col: str = "url", **options) -> DataFrame:
 def file_name(url: str) -> str:
     name = urllib.parse.unquote(urllib.parse.urlparse(url).path.rsplit("/", 1)[-1]) or "download"
     return name if name.lower().endswith(".pdf") else f"{name}.pdf"
+
+
+def require_pdf(data: bytes, content_type: str = "") -> bytes:
+    if data[:5] != b"%PDF-" and "pdf" not in content_type.lower():
+        raise ValueError(f"not a PDF (content type {content_type or 'unknown'})")
+    return data
+
+
+def download(url: str, folder: str, **options) -> str:
+    """Save the PDF at a URL below folder; its path."""
+    _, kind, data = fetch(url, **options)
+    to = os.path.join(folder, file_name(url))
+    with open(to, "wb") as f:
+        f.write(require_pdf(data, kind))
+    return to
+
+
+@contextmanager
+def spooled(data: bytes, folder: str, suffix: str = ".pdf") -> Iterator[str]:
+    """Path of a file below a folder that all executors share, as long as it is needed."""
+    to = os.path.join(folder.removeprefix("file://").removeprefix("file:"), f"lectern-{uuid.uuid4().hex}{suffix}")
+    with open(to, "wb") as f:
+        f.write(data)
+    try:
+        yield to
+    finally:
+        os.remove(to)
+
+
+class Ocr(Protocol):
+    """Reads the text of a page's image; instances are pickled to the executors."""
+
+    def text(self, image: bytes, dpi: int) -> str: ...
+
+
+def with_ocr(pages: DataFrame, images: DataFrame, ocr: Ocr | None, mode: str = "off", dpi: int = 150) -> DataFrame:
+    """pages (with is_scanned) with ocr_text and ocr_warning; images: doc_id, page, image. Only scanned pages are read, and only if mode is 'detect'."""
+    if mode != "detect":
+        return pages.withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_warning": F.lit(None).cast("string")})
+    if ocr is None:
+        return pages.withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_warning": F.when(F.col("is_scanned"), "ocr_unavailable")})
+
+    def each(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for d, p, image in zip(b["doc_id"], b["page"], b["image"], strict=True):
+                try:
+                    rows.append((d, p, ocr.text(bytes(image), dpi), None))
+                except Exception as e:  # a page that can't be read must not end the job
+                    rows.append((d, p, None, f"ocr_failed: {type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "ocr_text", "ocr_warning"])
+
+    ship(pages.sparkSession)
+    scanned = pages.where("is_scanned").select("doc_id", "page")
+    found = images.join(scanned, ["doc_id", "page"]).select("doc_id", "page", "image").mapInPandas(each, f"doc_id {images.schema['doc_id'].dataType.simpleString()}, page int, ocr_text string, ocr_warning string")
+    out = pages.join(found, ["doc_id", "page"], "left")
+    none = F.col("is_scanned") & F.col("ocr_text").isNull() & F.col("ocr_warning").isNull()
+    return out.withColumn("ocr_warning", F.when(none, "ocr_no_image").otherwise(F.col("ocr_warning")))
