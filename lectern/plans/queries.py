@@ -60,6 +60,21 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = "(SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"
+
+
+def lines_with(spark: SparkSession, sf_dir: str, rows: list[str]) -> DataFrame:
+    """(k, s): the fixtures, and all lines of the documents; every second line has a fixture before it."""
+    x = doc_lines(spark, sf_dir)
+    start = F.get(F.array(*map(F.lit, rows)), F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(2 * len(rows))))
+    more = x.select(((F.col("doc_id") + 1) * 100_000 + F.col("line_no")).alias("k"), F.concat(F.coalesce(F.concat(start, F.lit(" ")), F.lit("")), F.col("text")).alias("s"))
+    return literal(spark, rows).unionByName(more)
+
+
+def with_lines(rows: list[str]) -> str:
+    listed = ", ".join("'{}'".format(r.replace("'", "''")) for r in rows)
+    return f"(SELECT k, s FROM {values(rows)} UNION ALL SELECT (doc_id + 1) * 100000 + line_no AS k, coalesce([{listed}][1 + (doc_id + line_no) % {2 * len(rows)}] || ' ', '') || text AS s FROM {LINES})"
+
+
 WS = r"[\t-\r \x85\p{Z}]"  # white space of any script, as RE2 can say it
 
 
@@ -120,9 +135,9 @@ def boilerplate_stripped(spark, d):
 NUMBERS = ["12", "Page 12", "page 3 of 30", "- 12 -", "12 / 30", " 7 ", "Page", "12a", "Section 12", "", "1 2 3"]
 
 
-@query(f"SELECT k, s, regexp_matches({sql_strip('s')}, '{PAGE_NUMBER}') AS is_number FROM {values(NUMBERS)}")
+@query(f"SELECT k, s, regexp_matches({sql_strip('s')}, '{PAGE_NUMBER}') AS is_number FROM {with_lines(NUMBERS)}")
 def page_numbers(spark, d):
-    return literal(spark, NUMBERS).withColumn("is_number", T.is_page_number(F.col("s")))
+    return lines_with(spark, d, NUMBERS).withColumn("is_number", T.is_page_number(F.col("s")))
 
 
 # ---- classification
@@ -138,10 +153,10 @@ CLAUSES = ["The operator shall keep logs.", "Users MUST NOT share keys", "It is
 
 @query(f"""SELECT k, {sql_obligation('s')} AS narrow,
 CASE WHEN contains(lower(s), '[withdrawn') THEN 'Information' WHEN regexp_matches(s, '{sql_words(T.INFORMATIVE)}') THEN 'Information' WHEN regexp_matches(s, '{sql_words(T.OBLIGATIONS_WIDE)}') THEN 'Requirement' ELSE 'Information' END AS wide,
-CASE WHEN contains(lower(s), '[withdrawn') THEN 'Information' ELSE 'Requirement' END AS in_catalog FROM {values(CLAUSES)}""")
+CASE WHEN contains(lower(s), '[withdrawn') THEN 'Information' ELSE 'Requirement' END AS in_catalog FROM {with_lines(CLAUSES)}""")
 def classify_clauses(spark, d):
     c = F.col("s")
-    return literal(spark, CLAUSES).select("k", T.classify_obligation(c).alias("narrow"), T.classify_structured(c).alias("wide"), T.classify_structured(c, True).alias("in_catalog"))
+    return lines_with(spark, d, CLAUSES).select("k", T.classify_obligation(c).alias("narrow"), T.classify_structured(c).alias("wide"), T.classify_structured(c, True).alias("in_catalog"))
 
 
 HEADINGS = ["4.2 Documentation", "4 Scope", "Article 7 (Purpose) The purpose is this.", "Article 2, Paragraph 1 shall apply", "Chapter 2 General Matters", "Annex 3 (Forms)", "section 5", "plain line", "1.2.3.4.5. Deep", "Part 9"]
@@ -150,10 +165,10 @@ HEADINGS = ["4.2 Documentation", "4 Scope", "Article 7 (Purpose) The purpose is
 @query(f"""SELECT k, s, regexp_matches(s, '^\\p{{Nd}}+(\\.\\p{{Nd}}+){{0,4}}\\.?{WS}+[^\\s]') AND length(s) < 90 AS numbered,
 regexp_matches(s, '(?i)^(chapter|article|section|part|annex|schedule){WS}+\\p{{Nd}}+({WS}*\\(|{WS}+[A-Z]|{WS}*$)') AND length(s) < 130 AS legal,
 CASE WHEN regexp_matches(s, '(?i)^(article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\)') THEN trim(regexp_extract(s, '(?i)^((?:article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\))\\s*(.*)$', 1)) ELSE s END AS label,
-CASE WHEN regexp_matches(s, '(?i)^(article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\)') THEN trim(regexp_extract(s, '(?i)^((?:article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\))\\s*(.*)$', 2)) ELSE '' END AS trailing FROM {values(HEADINGS)}""")
+CASE WHEN regexp_matches(s, '(?i)^(article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\)') THEN trim(regexp_extract(s, '(?i)^((?:article|annex|schedule|part)\\s+\\d+\\s*\\([^)]*\\))\\s*(.*)$', 2)) ELSE '' END AS trailing FROM {with_lines(HEADINGS)}""")
 def heading_forms(spark, d):
     c = F.col("s")
-    x = literal(spark, HEADINGS).withColumn("l", T.heading_label(c))
+    x = lines_with(spark, d, HEADINGS).withColumn("l", T.heading_label(c))
     return x.select("k", "s", P.is_prose_heading(c, "numbered").alias("numbered"), P.is_prose_heading(c, "legal").alias("legal"), F.col("l.label").alias("label"), F.col("l.trailing").alias("trailing"))
 
 
@@ -161,29 +176,29 @@ LABELS = ["Article 1 (Purpose)", "Chapter 2 General Matters", "4.2 Documentation
 HEAD_ID = r"(?i)^((?:Article|Chapter|Section|Part|Annex|Schedule)\s+\d+)"
 
 
-@query(rf"""WITH x AS (SELECT k, s, regexp_extract(s, '{HEAD_ID}', 1) AS head FROM {values(LABELS)}), y AS (SELECT *, trim(substr(s, length(head) + 1)) AS rest, regexp_matches(s, '^(\d+(?:\.\d+)*)\.?\s+(.*)$') AS num FROM x)
+@query(rf"""WITH x AS (SELECT k, s, regexp_extract(s, '{HEAD_ID}', 1) AS head FROM (SELECT k, {sql_strip('s')} AS s FROM {with_lines(LABELS)})), y AS (SELECT *, trim(substr(s, length(head) + 1)) AS rest, regexp_matches(s, '^(\d+(?:\.\d+)*)\.?\s+(.*)$') AS num FROM x)
 SELECT k, CASE WHEN head <> '' THEN head WHEN num THEN regexp_extract(s, '^(\d+(?:\.\d+)*)\.?\s+(.*)$', 1) ELSE s END AS clause_id,
 CASE WHEN head <> '' THEN CASE WHEN rest LIKE '(%)' THEN trim(substr(rest, 2, length(rest) - 2)) ELSE rest END WHEN num THEN trim(regexp_extract(s, '^(\d+(?:\.\d+)*)\.?\s+(.*)$', 2)) ELSE '' END AS title FROM y""")
 def headings_split(spark, d):
-    return literal(spark, LABELS).select("k", T.split_heading(F.col("s")).alias("h")).select("k", "h.clause_id", "h.title")
+    return lines_with(spark, d, LABELS).select("k", T.split_heading(F.col("s")).alias("h")).select("k", "h.clause_id", "h.title")
 
 
 PARTS = ["1.", "1-2.", "(1)", "(a)", "ii)", "iv.", "(A)", "①", "12 apples", "", "a)"]
 
 
-@query(f"""SELECT k, {sql_strip('s')} <> '' AND (regexp_matches({sql_strip('s')}, '^\\(?\\d+([.\\-]\\d+)*\\)?[.)]?$') OR regexp_matches({sql_strip('s')}, '^\\([a-z]\\)$') OR regexp_matches({sql_strip('s')}, '^[①-⑳]$') OR regexp_matches({sql_strip('s')}, '(?i)^[ivxlcdm]+[.)]$')) AS marker FROM {values(PARTS)}""")
+@query(f"""SELECT k, {sql_strip('s')} <> '' AND (regexp_matches({sql_strip('s')}, '^\\(?\\d+([.\\-]\\d+)*\\)?[.)]?$') OR regexp_matches({sql_strip('s')}, '^\\([a-z]\\)$') OR regexp_matches({sql_strip('s')}, '^[①-⑳]$') OR regexp_matches({sql_strip('s')}, '(?i)^[ivxlcdm]+[.)]$')) AS marker FROM {with_lines(PARTS)}""")
 def marker_forms(spark, d):
-    return literal(spark, PARTS).select("k", T.is_marker(F.col("s")).alias("marker"))
+    return lines_with(spark, d, PARTS).select("k", T.is_marker(F.col("s")).alias("marker"))
 
 
 MESSY = ["a(cid:12)b  c\td", " ﻿lead­ ing ", "x y", "", "(cid:1)", "one  two   three "]
 
 
 @query(f"""SELECT k, {sql_strip("regexp_replace(replace(regexp_replace(s, '\\(cid:\\d+\\)', '', 'g'), chr(173), ''), '[ \\t]+', ' ', 'g')")} AS prose,
-{sql_collapse("regexp_replace(regexp_replace(s, '\\(cid:\\d+\\)', '', 'g'), '[\\x{AD}\\x{FEFF}]', '', 'g')")} AS block, {sql_collapse("regexp_replace(s, '[\\x{AD}\\x{FEFF}]', '', 'g')")} AS catalog, {sql_collapse('s')} AS web FROM {values(MESSY)}""")
+{sql_collapse("regexp_replace(regexp_replace(s, '\\(cid:\\d+\\)', '', 'g'), '[\\x{AD}\\x{FEFF}]', '', 'g')")} AS block, {sql_collapse("regexp_replace(s, '[\\x{AD}\\x{FEFF}]', '', 'g')")} AS catalog, {sql_collapse('s')} AS web FROM {with_lines(MESSY)}""")
 def cleaned_text(spark, d):
     c = F.col("s")
-    return literal(spark, MESSY).select("k", T.clean_prose(c).alias("prose"), T.clean_block(c).alias("block"), T.clean_catalog(c).alias("catalog"), T.clean_web(c).alias("web"))
+    return lines_with(spark, d, MESSY).select("k", T.clean_prose(c).alias("prose"), T.clean_block(c).alias("block"), T.clean_catalog(c).alias("catalog"), T.clean_web(c).alias("web"))
 
 
 @query("SELECT vec, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) >= CAST(0.85 AS DOUBLE) * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AND regexp_matches(text, '\\p{L}') AS BOOLEAN) AS vec, 1 AS n FROM " + LINES + ") GROUP BY vec")
@@ -226,12 +241,12 @@ def cross_page_merge(spark, d):
     return G.merge_across_pages(x).select("doc_id", "para_id", "page", "text")
 
 
-SPOKEN = "(SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS para_id, CASE WHEN role = 'user' THEN 'heading' ELSE 'body' END AS kind, substr(text, 1, 60) AS text FROM conversations)"
+SPOKEN = "(SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS para_id, CASE WHEN role = 'user' THEN 'heading' ELSE 'body' END AS kind, text FROM conversations)"
 
 
 def _spoken(spark, d):
     c = read(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_id"), F.when(F.col("role") == "user", "heading").otherwise("body").alias("kind"), F.substring("text", 1, 60).alias("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_id"), F.when(F.col("role") == "user", "heading").otherwise("body").alias("kind"), "text")
 
 
 @query(f"SELECT doc_id, para_id, kind, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM {SPOKEN}")
@@ -253,31 +268,6 @@ def assessment_sheet(spark, d):
     return I.assessment_rows(I.paragraph_items(_spoken(spark, d)), "STD").drop(*I.ENRICHED)
 
 
-# The three above see the first 60 characters of a turn, as their SQL has it; the next three see whole turns.
-TURNS = SPOKEN.replace("substr(text, 1, 60) AS text", "text")
-TURN_ITEMS = ITEMS.replace(SPOKEN, TURNS)
-
-
-def _turns(spark, d):
-    c = read(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_id"), F.when(F.col("role") == "user", "heading").otherwise("body").alias("kind"), "text")
-
-
-@query(f"SELECT doc_id, para_id, kind, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM {TURNS}")
-def section_carry_whole(spark, d):
-    return G.carry_section(_turns(spark, d), "para_id").select("doc_id", "para_id", "kind", "section")
-
-
-@query(f"WITH {TURN_ITEMS} SELECT * FROM i")
-def prose_items_whole(spark, d):
-    return I.paragraph_items(_turns(spark, d))
-
-
-@query(f"""WITH {TURN_ITEMS} SELECT doc_id, CAST(item_no + 9 AS INTEGER) AS sheet_row, 'STD_' || item_no AS row_id, CASE WHEN clause_id IS NOT DISTINCT FROM lag(clause_id) OVER (PARTITION BY doc_id ORDER BY item_no) THEN NULL ELSE clause_id END AS clause, title, text, classification FROM i""")
-def assessment_sheet_whole(spark, d):
-    return I.assessment_rows(I.paragraph_items(_turns(spark, d)), "STD").drop(*I.ENRICHED)
-
-
 # ---- web blocks
 
 WEB_FIX = [(1, 0, "body", "1."), (1, 1, "body", "(a)"), (1, 2, "body", "First text"), (1, 3, "body", "First  text"), (1, 4, "heading", "Title"), (1, 5, "heading", "Title"), (1, 6, "body", "ii)"), (2, 0, "body", "①"), (2, 1, "heading", "Article 1"), (2, 2, "body", "Article 1")]
@@ -321,9 +311,18 @@ def web_paragraphs(spark, d):
     return H.web_paragraphs(_web(spark, d))
 
 
-@query(f"WITH s AS (SELECT doc_id, sum(length(text)) AS n FROM {WEB} GROUP BY doc_id) SELECT doc_id, 'no_content' AS code, CAST(CAST(n AS BIGINT) AS VARCHAR) AS detail FROM s WHERE n < 200 UNION ALL SELECT doc_id, 'repeated_heading', substr(text, 1, 60) FROM {WEB} WHERE kind = 'heading' GROUP BY doc_id, text HAVING count(*) > 1")
+PARTED = f"(SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN 'heading' ELSE kind END AS kind, CASE WHEN pos % 3 = 0 THEN 'Part ' || (pos * 7) % 10 || ' ' || text ELSE text END AS text FROM {WEB})"
+
+
+@query(f"""WITH s AS (SELECT doc_id, sum(length(text)) AS n FROM {PARTED} GROUP BY doc_id), h AS (SELECT doc_id, pos, CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS n FROM {PARTED} WHERE kind = 'heading' AND regexp_matches(text, '[0-9]')),
+b AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM h) SELECT doc_id, 'no_content' AS code, CAST(CAST(n AS BIGINT) AS VARCHAR) AS detail FROM s WHERE n < 200
+UNION ALL SELECT doc_id, 'repeated_heading', substr(text, 1, 60) FROM {PARTED} WHERE kind = 'heading' GROUP BY doc_id, text HAVING count(*) > 1
+UNION ALL SELECT doc_id, 'numbers_run_backwards', arg_min(n || ' after ' || was, pos) FROM b WHERE n < was GROUP BY doc_id""")
 def web_warnings(spark, d):
-    return H.warnings(_web(spark, d).withColumn("para_id", F.col("pos")), repeats=1).where("code <> 'numbers_run_backwards'")
+    part = F.col("pos") % 3 == 0
+    text = F.concat(F.lit("Part "), ((F.col("pos") * 7) % 10).cast("string"), F.lit(" "), F.col("text"))
+    x = _web(spark, d).select("doc_id", F.col("pos").alias("para_id"), F.when(part, "heading").otherwise(F.col("kind")).alias("kind"), F.when(part, text).otherwise(F.col("text")).alias("text"))
+    return H.warnings(x, repeats=1)
 
 
 UNESC = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -385,14 +384,14 @@ WHEN contains(lower(s), 'cis control') OR contains(lower(s), 'cis safeguard') TH
 
 @query(f"""SELECT k, {HINT_SQL} AS hint, CASE WHEN length(s) = 0 THEN 'scanned' WHEN contains(lower(s), 'contents') OR contains(lower(s), 'index') OR regexp_matches(s, '\\.{{4,}}|·{{4,}}') THEN 'toc'
 WHEN regexp_matches(lower(s), '(^|[^a-z0-9_])appendix\\s+[a-c]([^a-z0-9_]|$)') THEN 'appendix' WHEN regexp_matches(lower(s), '(^|[^a-z0-9_])(glossary|acronyms)([^a-z0-9_]|$)') THEN 'glossary' WHEN k = 0 THEN 'cover'
-WHEN k % 4 = 0 THEN CASE WHEN 100 - 20 * k < 50 THEN 'table' ELSE 'mixed' END ELSE 'prose' END AS page_type FROM {values(HINT_TEXT)}""")
+WHEN k % 4 = 0 THEN CASE WHEN 100 - 20 * k < 50 THEN 'table' ELSE 'mixed' END ELSE 'prose' END AS page_type FROM {with_lines(HINT_TEXT)}""")
 def page_types(spark, d):
     c = F.col("s")
     n = F.when(F.length(c) == 0, 0).otherwise(100)
     zero = F.lit(0)
     scanned = R.is_scanned(n, F.length(c), zero, zero, zero, zero)
     kind = R.page_type(F.col("k") + 1, c, n, scanned, F.when(F.col("k") % 4 == 0, 1).otherwise(0), 20 * F.col("k"))
-    return literal(spark, HINT_TEXT).select("k", R.standard_hint(c).alias("hint"), kind.alias("page_type"))
+    return lines_with(spark, d, HINT_TEXT).select("k", R.standard_hint(c).alias("hint"), kind.alias("page_type"))
 
 
 @query("""WITH p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE WHEN lang = 'en' THEN 'iso_numbered_standard' WHEN lang = 'fr' THEN 'legal_articles' WHEN lang = 'de' THEN 'cis_controls' ELSE 'unknown' END AS hint FROM documents),
@@ -720,9 +719,9 @@ def provider_enrichment(spark, d):
 VOCAB = ["technical", " LEGAL ", "none", "", "Other"]
 
 
-@query(f"SELECT k, CASE lower(trim(s)) WHEN 'technical' THEN 'Technical' WHEN 'organizational' THEN 'Organizational' WHEN 'legal' THEN 'Legal' ELSE 'Other' END AS v FROM {values(VOCAB)}")
+@query(f"SELECT k, CASE lower(trim(s)) WHEN 'technical' THEN 'Technical' WHEN 'organizational' THEN 'Organizational' WHEN 'legal' THEN 'Legal' ELSE 'Other' END AS v FROM {with_lines(VOCAB)}")
 def vocabulary(spark, d):
-    return literal(spark, VOCAB).select("k", E.in_vocabulary(F.col("s"), E.Config().vocabulary).alias("v"))
+    return lines_with(spark, d, VOCAB).select("k", E.in_vocabulary(F.col("s"), E.Config().vocabulary).alias("v"))
 
 
 # ---- events
@@ -740,47 +739,47 @@ NOISE_FIX = ["", "x", "CHAPTER THREE PAGE 9", "Abstract of it", "see doi.org/10.
 
 
 @query(f"""SELECT k, CASE WHEN s = '' THEN 'empty_text' WHEN contains(lower(s), 'this publication is available free of charge') OR contains(lower(s), 'doi.org/') THEN 'doi_footer' WHEN regexp_matches(s, '(?i)^(CHAPTER|APPENDIX)\\s+([A-Z0-9\\s]+)?\\s*PAGE\\s+\\d+') THEN 'header_footer'
-WHEN regexp_matches(s, '(?i)^(JOINT TASK FORCE|Authority|Abstract|Errata|Foreword|Preface|Acknowledgments?)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'front_matter_skipped' WHEN length(s) = 1 THEN 'one_letter_fragment' WHEN contains(upper(s), 'TABLE C-') OR upper(s) = 'NUMBER' THEN 'appendix_summary_row' END AS code FROM {values(NOISE_FIX)}""")
+WHEN regexp_matches(s, '(?i)^(JOINT TASK FORCE|Authority|Abstract|Errata|Foreword|Preface|Acknowledgments?)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'front_matter_skipped' WHEN length(s) = 1 THEN 'one_letter_fragment' WHEN contains(upper(s), 'TABLE C-') OR upper(s) = 'NUMBER' THEN 'appendix_summary_row' END AS code FROM {with_lines(NOISE_FIX)}""")
 def noise_codes(spark, d):
-    return literal(spark, NOISE_FIX).select("k", S.noise_code(F.col("s"), F.lit("paragraph"), F.array().cast("array<string>")).alias("code"))
+    return lines_with(spark, d, NOISE_FIX).select("k", S.noise_code(F.col("s"), F.lit("paragraph"), F.array().cast("array<string>")).alias("code"))
 
 
 STOP_FIX = ["REFERENCES", "References page 4", "Appendix B", "References: none", "Bibliography", "ANNEX A Forms", "A line that only mentions references", "APPENDIX D"]
 
 
-@query(f"""WITH x AS (SELECT k, s, regexp_matches(s, '(?i)^(REFERENCES|APPENDIX [ABC])(\\s+PAGE\\s+\\d+)?\\s*$') AS back, regexp_matches(s, '(?i)^references\\s*:') AS label FROM {values(STOP_FIX)})
-SELECT k, NOT label AND (back OR regexp_matches(s, '(?i)^Bibliography')) AS iso, NOT label AND (back OR regexp_matches(s, '(?i)^ANNEX\\s+[A-Z]')) AS legal, NOT label AND back AS generic FROM x""")
+@query(f"""WITH x AS (SELECT k, s, regexp_matches(s, '(?i)^(REFERENCES|APPENDIX [ABC])(\\s+PAGE\\s+\\d+)?\\s*$') AS back, regexp_matches(s, '(?i)^references\\s*:') AS label, length(s) <= 80 AS short FROM (SELECT k, {sql_strip('s')} AS s FROM {with_lines(STOP_FIX)}))
+SELECT k, short AND NOT label AND (back OR regexp_matches(s, '(?i)^Bibliography')) AS iso, short AND NOT label AND (back OR regexp_matches(s, '(?i)^ANNEX\\s+[A-Z]')) AS legal, short AND NOT label AND back AS generic FROM x""")
 def stop_boundaries(spark, d):
     c = F.col("s")
-    return literal(spark, STOP_FIX).select("k", *[S.is_stop(c, P.PROFILES[p]).alias(p) for p in ("iso", "legal", "generic")])
+    return lines_with(spark, d, STOP_FIX).select("k", *[S.is_stop(c, P.PROFILES[p]).alias(p) for p in ("iso", "legal", "generic")])
 
 
 LABEL_FIX = ["Control: must", "Discussion : why", "guidance: how", "Other information: more", "Requirements: none", "Implementation Guidance: do"]
 
 
-@query(f"SELECT k, nullif(regexp_extract(s, '(?i)^(Implementation Guidance|Testing Procedure|Related Controls|Other information|Assessment Procedure|Control|Requirement|Discussion|Guidance|References|Notes|Objective|Purpose|Applicability)\\s*:', 1), '') AS label FROM {values(LABEL_FIX)}")
+@query(f"SELECT k, nullif(regexp_extract(s, '(?i)^(Implementation Guidance|Testing Procedure|Related Controls|Other information|Assessment Procedure|Control|Requirement|Discussion|Guidance|References|Notes|Objective|Purpose|Applicability)\\s*:', 1), '') AS label FROM {with_lines(LABEL_FIX)}")
 def section_labels(spark, d):
-    return literal(spark, LABEL_FIX).select("k", T.section_label(F.col("s")).alias("label"))
+    return lines_with(spark, d, LABEL_FIX).select("k", T.section_label(F.col("s")).alias("label"))
 
 
 GRAMMAR_FIX = ["AC-2 ACCOUNT MANAGEMENT", "4.1 Context of use", "7 Support", "Article 3 (Scope)", "Requirement 2.1 Change defaults", "CIS Control 4 Secure configuration", "Annex B Forms", "no heading", "(1) AUTOMATED TOOLS", "(2) Mixed case"]
 
 
 @query(f"""WITH x AS (SELECT k, s, CASE WHEN regexp_matches(s, '^\\d+(\\.\\d+)*\\s+.+$') THEN regexp_extract(s, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 1) WHEN regexp_matches(s, '(?i)^(Annex|Appendix|Schedule)\\s+[A-Z0-9](\\.\\d+)*\\s+.+$') THEN regexp_extract(s, '(?i)^((?:Annex|Appendix|Schedule)\\s+[A-Z0-9](?:\\.\\d+)*)\\s+(.+)$', 1)
-WHEN regexp_matches(s, '(?i)^(Article|Chapter|Section|Part)\\s+\\d+\\s*(:|-)?\\s*.*$') THEN regexp_extract(s, '(?i)^((?:Article|Chapter|Section|Part)\\s+\\d+)', 1) END AS generic, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}-\\d+\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()]+$') THEN regexp_extract(s, '^([A-Z]{{2}}-\\d+)', 1) WHEN regexp_matches(s, '^\\(\\d+\\)\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()|]+$') THEN regexp_extract(s, '^\\((\\d+)\\)', 1) END AS catalog FROM {values(GRAMMAR_FIX)})
+WHEN regexp_matches(s, '(?i)^(Article|Chapter|Section|Part)\\s+\\d+\\s*(:|-)?\\s*.*$') THEN regexp_extract(s, '(?i)^((?:Article|Chapter|Section|Part)\\s+\\d+)', 1) END AS generic, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}-\\d+\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()]+$') THEN regexp_extract(s, '^([A-Z]{{2}}-\\d+)', 1) WHEN regexp_matches(s, '^\\(\\d+\\)\\s+[A-Z0-9][A-Z0-9 ,/\\-—:&()|]+$') THEN regexp_extract(s, '^\\((\\d+)\\)', 1) END AS catalog FROM {with_lines(GRAMMAR_FIX)})
 SELECT k, generic, catalog, CASE WHEN contains(generic, '.') THEN CAST(len(string_split(generic, '.')) AS INTEGER) WHEN generic IS NOT NULL THEN 1 END AS level FROM x""")
 def heading_grammars(spark, d):
     g, c = P.parse_heading(F.col("s"), P.PROFILES["generic"]), P.parse_heading(F.col("s"), P.PROFILES["nist80053"])
-    return literal(spark, GRAMMAR_FIX).select("k", g["clause_id"].alias("generic"), c["clause_id"].alias("catalog"), g["level"].alias("level"))
+    return lines_with(spark, d, GRAMMAR_FIX).select("k", g["clause_id"].alias("generic"), c["clause_id"].alias("catalog"), g["level"].alias("level"))
 
 
 FURNITURE_FIX = ["", "12", "xiv", "civil", "AB", "ab", "References page 3", "CHAPTER THREE PAGE 12", "NIST SP 800-53, REV. 5 and more", "_" * 32, "A real line of text"]
 
 
 @query(f"""SELECT k, s = '' OR contains(s, 'doi.org/10.6028/NIST.SP.800-53r5') OR starts_with(s, 'NIST SP 800-53, REV. 5') OR starts_with(s, repeat('_', 30)) OR regexp_matches(s, '(?i)^(CHAPTER THREE|CHAPTER TWO|CHAPTER ONE|REFERENCES|APPENDIX\\s+[A-C])\\s+PAGE\\s+\\d+$')
-OR regexp_matches(s, '^\\d{{1,3}}$') OR regexp_matches(s, '(?i)^[ivxlc]+$') OR (length(s) <= 2 AND NOT regexp_matches(s, '^[A-Z]{{2}}$')) AS furniture FROM {values(FURNITURE_FIX)}""")
+OR regexp_matches(s, '^\\d{{1,3}}$') OR regexp_matches(s, '(?i)^[ivxlc]+$') OR (length(s) <= 2 AND NOT regexp_matches(s, '^[A-Z]{{2}}$')) AS furniture FROM {with_lines(FURNITURE_FIX)}""")
 def catalog_furniture(spark, d):
-    return literal(spark, FURNITURE_FIX).select("k", T.is_catalog_furniture(F.col("s")).alias("furniture"))
+    return lines_with(spark, d, FURNITURE_FIX).select("k", T.is_catalog_furniture(F.col("s")).alias("furniture"))
 
 
 @query(f"SELECT doc_id, word_no, NOT (x0 < 60 AND (length(text) <= 3)) AND top BETWEEN 75 AND 180 AS kept FROM {WORDS}")
@@ -790,9 +789,9 @@ def margins_and_bands(spark, d):
     return x.select("doc_id", "word_no", (~T.is_side_margin(F.col("text"), F.col("x0"), F.col("upright"), 60.0) & inside).alias("kept"))
 
 
-@query(f"""SELECT k, {sql_strip("regexp_replace(regexp_replace(regexp_replace(s, '(?i)^(CHAPTER|APPENDIX)\\s+([A-Z0-9\\s]+)?\\s*PAGE\\s+\\d+', ''), '(?i)This publication is available free of charge( from:)?', ''), '(?i)https?://(dx\\.)?doi\\.org/[^\\s]+', '')")} AS text FROM {values(NOISE_FIX)}""")
+@query(f"""SELECT k, {sql_strip("regexp_replace(regexp_replace(regexp_replace(s, '(?i)^(CHAPTER|APPENDIX)\\s+([A-Z0-9\\s]+)?\\s*PAGE\\s+\\d+', ''), '(?i)This publication is available free of charge( from:)?', ''), '(?i)https?://(dx\\.)?doi\\.org/[^\\s]+', '')")} AS text FROM {with_lines(NOISE_FIX)}""")
 def noise_cleaned(spark, d):
-    return literal(spark, NOISE_FIX).select("k", T.clean_noise(F.col("s")).alias("text"))
+    return lines_with(spark, d, NOISE_FIX).select("k", T.clean_noise(F.col("s")).alias("text"))
 
 
 @query("""SELECT doc_id, substr(text, 1, 40) || CASE WHEN length(text) > 40 THEN '...' ELSE '' END AS preview, 'REQ-' || CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS req, sha256(source || chr(0) || lang) AS key FROM documents""")
@@ -857,9 +856,9 @@ def table_text(spark, d):
 CLASS_FIX = ["Requirement", "informative", "", "unsure"]
 
 
-@query(f"SELECT k, CASE WHEN s LIKE 'Require%' THEN 'Requirement' WHEN s LIKE 'inform%' THEN 'Information' ELSE 'Requirement' END AS fallback, CASE WHEN s LIKE 'Require%' THEN 'Requirement' ELSE 'Information' END AS plain FROM {values(CLASS_FIX)}")
+@query(f"SELECT k, CASE WHEN s LIKE 'Require%' THEN 'Requirement' WHEN s LIKE 'inform%' THEN 'Information' ELSE 'Requirement' END AS fallback, CASE WHEN s LIKE 'Require%' THEN 'Requirement' ELSE 'Information' END AS plain FROM {with_lines(CLASS_FIX)}")
 def class_names(spark, d):
-    return literal(spark, CLASS_FIX).select("k", E.norm_class(F.col("s"), F.lit("it shall be")).alias("fallback"), E.norm_class(F.col("s"), F.lit("it was")).alias("plain"))
+    return lines_with(spark, d, CLASS_FIX).select("k", E.norm_class(F.col("s"), F.lit("it shall be")).alias("fallback"), E.norm_class(F.col("s"), F.lit("it was")).alias("plain"))
 
 
 @query(f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM {LINES}), f AS (SELECT doc_id, line_no, CASE WHEN n % 6 = 1 THEN 'Article ' || n || ' (T)' ELSE text END AS text FROM g)

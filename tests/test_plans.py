@@ -45,10 +45,10 @@ def test_query_equals_sql(spark, db, name):
 def test_operators_of_turns_see_whole_turns(spark, db):
     want = db.execute("select conv_id, text from conversations where role <> 'user'").fetchall()
     assert max(len(t) for _, t in want) > 60
-    for name in ("prose_items_whole", "assessment_sheet_whole"):
+    for name in ("prose_items", "assessment_sheet"):
         assert sorted((r["doc_id"], r["text"]) for r in Q.QUERIES[name](spark, DATA).collect()) == sorted(want)
     heads = {t for (t,) in db.execute("select text from conversations where role = 'user'").fetchall()}
-    assert max(map(len, heads)) > 60 and {r["section"] for r in Q.QUERIES["section_carry_whole"](spark, DATA).collect()} <= heads | {""}
+    assert max(map(len, heads)) > 60 and {r["section"] for r in Q.QUERIES["section_carry"](spark, DATA).collect()} <= heads | {""}
 
 
 def page_words(doc, page, lines):
