@@ -883,3 +883,114 @@ def preflight_pages(spark, d):
     w = _words(spark, d)
     pages = w.groupBy("doc_id", "page").agg(F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("n_images"), F.lit(0).alias("n_rects"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_curves"), F.array_join(F.sort_array(F.collect_list("text")), " ").alias("raw_text"))
     return preflight(w, pages, _boxes(spark, d))
+
+
+# ---- clauses, gate and sheets over all lines
+
+BLOCK_LINES = f"""(SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN 'heading' WHEN line_no % 11 = 7 THEN 'toc' WHEN line_no % 17 = 9 THEN 'footer' ELSE 'paragraph' END AS kind,
+CASE WHEN line_no % 5 = 0 THEN (line_no // 5 + 1) || ' Scope of it' WHEN line_no % 13 = 3 THEN 'x' WHEN line_no = 44 THEN 'References' ELSE {sql_collapse('text')} END AS s FROM {LINES})"""
+
+
+def _block_lines(spark, d):
+    n = F.col("line_no")
+    kind = F.when(n % 5 == 0, "heading").when(n % 11 == 7, "toc").when(n % 17 == 9, "footer").otherwise("paragraph")
+    text = F.when(n % 5 == 0, F.concat((F.floor(n / 5) + 1).cast("string"), F.lit(" Scope of it"))).when(n % 13 == 3, "x").when(n == 44, "References").otherwise(T.collapse(F.col("text")))
+    x = doc_lines(spark, d).select("doc_id", (n + 1).alias("block_no"), F.lit(1).alias("page"), kind.alias("block_type"), text.alias("text"), F.lit(0.95).alias("confidence"))
+    return x.select("*", F.array().cast("array<string>").alias("issues"), F.lit(None).cast("array<array<string>>").alias("rows"))
+
+
+@query(f"""WITH b AS (SELECT * FROM {BLOCK_LINES} WHERE line_no <= 44), r AS (SELECT *, CASE WHEN s = 'References' THEN 'front_matter_skipped' WHEN kind = 'toc' THEN 'toc_row' WHEN s = '' THEN 'empty_text' WHEN kind = 'footer' THEN 'header_footer' WHEN length(s) = 1 THEN 'one_letter_fragment' END AS why FROM b),
+o AS (SELECT *, max(CASE WHEN kind = 'heading' THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM r),
+c AS (SELECT doc_id, pos, string_agg(s, chr(10) ORDER BY line_no) FILTER (kind <> 'heading' AND why IS NULL) AS t FROM o GROUP BY doc_id, pos),
+u AS (SELECT doc_id, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS part, pos, (pos // 5 + 1) || '' AS clause_id, 'Scope of it' AS title, coalesce(t, '') AS text, CASE WHEN t IS NULL THEN 'Requirement' WHEN contains(lower(t), '[withdrawn') OR regexp_matches(t, '{sql_words(T.INFORMATIVE)}') THEN 'Information' WHEN regexp_matches(t, '{sql_words(T.OBLIGATIONS_WIDE)}') THEN 'Requirement' ELSE 'Information' END AS classification, CASE WHEN t IS NULL THEN 'empty_text' ELSE '' END AS issues FROM c
+UNION ALL SELECT doc_id, 1, line_no, '', '', s, 'Information', why FROM o WHERE why IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) AS INTEGER) AS item_no, part, clause_id, title, text, classification, issues FROM u""")
+def clauses_of_lines(spark, d):
+    out = S.parse_clauses(_block_lines(spark, d), P.resolve("generic"))
+    return out.select("doc_id", "item_no", "part", "clause_id", "title", "text", "classification", F.array_join("issues", ",").alias("issues"))
+
+
+CONTROL_LINES = f"""(SELECT doc_id, line_no, CASE WHEN line_no % 7 = 1 THEN 'AC-' || (line_no // 7 + 1) || ' ACCOUNT RULES' WHEN line_no % 7 = 4 THEN '(' || (line_no % 3 + 1) || ') MORE OF THEM' ELSE {sql_collapse('text')} END AS s FROM {LINES})"""
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN line_no = 0 THEN CASE WHEN s = '' THEN 'empty_text' WHEN length(s) = 1 THEN 'one_letter_fragment' ELSE 'front_matter_skipped' END WHEN s = '' THEN 'empty_text' WHEN length(s) = 1 THEN 'one_letter_fragment' END AS why FROM {CONTROL_LINES}),
+o AS (SELECT *, max(CASE WHEN line_no % 7 IN (1, 4) THEN line_no END) OVER w AS pos, max(CASE WHEN line_no % 7 = 1 THEN line_no END) OVER w AS base FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+c AS (SELECT doc_id, pos, any_value(base) AS base, string_agg(s, chr(10) ORDER BY line_no) FILTER (line_no <> pos AND why IS NULL) AS t FROM o WHERE pos IS NOT NULL GROUP BY doc_id, pos),
+u AS (SELECT doc_id, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS part, pos, 'AC-' || (base // 7 + 1) || CASE WHEN pos % 7 = 4 THEN '(' || (pos % 3 + 1) || ')' ELSE '' END AS clause_id, CASE WHEN pos % 7 = 4 THEN 'ACCOUNT RULES | MORE OF THEM' ELSE 'ACCOUNT RULES' END AS title, coalesce(t, '') AS text, 'Requirement' AS classification, CASE WHEN t IS NULL THEN 'empty_text' ELSE '' END AS issues FROM c
+UNION ALL SELECT doc_id, 1, line_no, '', '', s, 'Information', why FROM o WHERE why IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) AS INTEGER) AS item_no, part, clause_id, title, text, classification, issues FROM u""")
+def controls_of_lines(spark, d):
+    n = F.col("line_no")
+    head = F.when(n % 7 == 1, F.concat(F.lit("AC-"), (F.floor(n / 7) + 1).cast("string"), F.lit(" ACCOUNT RULES"))).when(n % 7 == 4, F.concat(F.lit("("), (n % 3 + 1).cast("string"), F.lit(") MORE OF THEM")))
+    x = doc_lines(spark, d).select("doc_id", (n + 1).alias("block_no"), F.lit(1).alias("page"), F.lit("paragraph").alias("block_type"), F.coalesce(head, T.collapse(F.col("text"))).alias("text"), F.lit(0.95).alias("confidence"))
+    x = x.select("*", F.array().cast("array<string>").alias("issues"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    out = S.parse_clauses(x, P.resolve("nist80053"))
+    return out.select("doc_id", "item_no", "part", "clause_id", "title", "text", "classification", F.array_join("issues", ",").alias("issues"))
+
+
+GATE_TEXTS = ("This publication is available free of charge", "doi.org/10.6028/NIST.SP.800-53r5", "NIST SP 800-53 REV", "Chapter Three Page 4", "Appendix C Page 2", "[Withdrawn]")
+GATE_ITEMS = """(SELECT doc_id, CAST(line_no + 1 AS INTEGER) AS item_no, CASE WHEN line_no % 50 = 49 THEN '' ELSE 'AC-' || (line_no + 1 + doc_id % 3 // 2 - CASE WHEN line_no % 9 = 8 THEN 1 ELSE 0 END) END AS cid,
+CASE line_no % 23 WHEN 3 THEN 'Errata list' WHEN 5 THEN 'NUMBER' WHEN 7 THEN 'Appendix C page 1' ELSE 'T' END AS title, coalesce([{}][1 + (line_no + doc_id) % 40] || ' ', '') || text AS t FROM {}) """.format(", ".join(f"'{x}'" for x in GATE_TEXTS), LINES)
+
+
+def _gate_items(spark, d):
+    n, k = F.col("line_no"), F.col("doc_id")
+    cid = F.when(n % 50 == 49, "").otherwise(F.concat(F.lit("AC-"), (n + 1 + F.floor(k % 3 / 2) - F.when(n % 9 == 8, 1).otherwise(0)).cast("string")))
+    title = F.when(n % 23 == 3, "Errata list").when(n % 23 == 5, "NUMBER").when(n % 23 == 7, "Appendix C page 1").otherwise("T")
+    start = F.get(F.array(*map(F.lit, GATE_TEXTS)), F.pmod(n + k, F.lit(40)))
+    text = F.concat(F.coalesce(F.concat(start, F.lit(" ")), F.lit("")), F.col("text"))
+    return doc_lines(spark, d).select("doc_id", (n + 1).cast("int").alias("item_no"), cid.alias("clause_id"), title.alias("title"), text.alias("text"), F.lit("Requirement").alias("classification"))
+
+
+@query(f"""WITH i AS (SELECT *, upper(t) AS u, contains(lower(t), '[withdrawn') AS done FROM {GATE_ITEMS}), q AS (SELECT doc_id, cid, min(item_no) AS n FROM i WHERE cid <> '' GROUP BY doc_id, cid HAVING count(*) > 1),
+z AS (SELECT doc_id, string_agg(cid, ', ' ORDER BY n) AS o FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM q) WHERE r <= 5 GROUP BY doc_id),
+f AS (SELECT doc_id, arg_min(cid, item_no) AS c1, avg(CASE WHEN cid = '' THEN 1.0 ELSE 0.0 END) > 0.02 AS c2, arg_min(cid, item_no) FILTER (contains(u, 'NIST SP 800-53') AND contains(u, 'REV')) AS c4, arg_min(cid, item_no) FILTER (contains(t, 'This publication is available free of charge')) AS c5,
+arg_min(cid, item_no) FILTER (contains(t, 'doi.org/10.6028')) AS c6, arg_min(cid, item_no) FILTER (contains(title, 'Errata')) AS c7, arg_min(cid, item_no) FILTER (contains(upper(title), 'APPENDIX C PAGE')) AS c8, arg_min(cid, item_no) FILTER (title = 'NUMBER') AS c9, arg_min(cid, item_no) FILTER (length(t) < 10 AND NOT done) AS c11,
+arg_min(cid, item_no) FILTER (contains(u, 'CHAPTER THREE PAGE')) AS c12, arg_min(cid, item_no) FILTER (contains(u, 'APPENDIX C PAGE')) AS c13 FROM i GROUP BY doc_id)
+SELECT doc_id, 1 AS check_no, c1 AS offender FROM f WHERE c1 <> 'AC-1' UNION ALL SELECT doc_id, 2, '' FROM f WHERE c2 UNION ALL SELECT doc_id, 3, o FROM z {" ".join(f"UNION ALL SELECT doc_id, {k}, c{k} FROM f WHERE c{k} IS NOT NULL" for k in (4, 5, 6, 7, 8, 9, 11, 12, 13))}""")
+def gate_of_lines(spark, d):
+    return V.quality_gate(_gate_items(spark, d))
+
+
+@query(f"""SELECT doc_id, item_no, page AS source_page, cid AS clause_id, title, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS text_preview, CAST(length(t) AS INTEGER) AS text_length FROM (SELECT *, item_no % 7 + 1 AS page FROM {GATE_ITEMS})""")
+def catalog_review(spark, d):
+    x = _gate_items(spark, d).withColumns({"source_page": F.col("item_no") % 7 + 1, "confidence": F.lit(0.9), "issues": F.array().cast("array<string>")})
+    return I.catalog_review_rows(x).select("doc_id", "item_no", "source_page", "clause_id", "title", "text_preview", "text_length")
+
+
+@query(f"""SELECT doc_id, item_no, cid AS "Clause ID", title AS "Title", 'Requirement' AS "Classification", item_no % 7 + 1 AS "Source Page", t AS "Text" FROM {GATE_ITEMS}""")
+def catalog_sheet(spark, d):
+    return I.catalog_rows(_gate_items(spark, d).withColumn("source_page", F.col("item_no") % 7 + 1))
+
+
+@query(f"""WITH i AS (SELECT doc_id, item_no AS sheet_row, {sql_strip('cid')} AS c, {sql_strip('title')} AS title, {sql_strip('t')} AS t FROM {GATE_ITEMS}), q AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, c FROM i WHERE c <> '' GROUP BY doc_id, c HAVING count(*) > 1) GROUP BY doc_id)
+SELECT i.doc_id, count(*) AS n_rows, arg_min(c, sheet_row) AS first_id, count(*) FILTER (c = '') AS n_blank, count(*) FILTER (c <> '' AND NOT regexp_matches(c, '^AC-[0-9]$')) AS n_invalid,
+count(*) FILTER (lower(title) = 'number' OR contains(lower(c || ' ' || title || ' ' || t), 'errata') OR contains(lower(c || ' ' || title || ' ' || t), 'free of charge')) AS n_bad, count(*) FILTER (length(t) <= 1) AS n_one_letter, CAST(coalesce(any_value(q.n), 0) AS BIGINT) AS n_duplicates FROM i LEFT JOIN q ON q.doc_id = i.doc_id GROUP BY i.doc_id""")
+def sheet_counts(spark, d):
+    x = _gate_items(spark, d).select("doc_id", F.col("item_no").alias("sheet_row"), F.col("clause_id").alias("clause"), "title", "text")
+    return I.sheet_check(x, "^AC-[0-9]$", ("Number",), ("Errata", "free of charge"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, item_no, 'Page ' || coalesce(CAST(CASE WHEN item_no % 4 > 0 THEN item_no % 4 END AS VARCHAR), 'None') || ': ' AS p, unnest([title, CASE WHEN item_no % 3 = 0 THEN 'three' ELSE 'T' END]) AS x, unnest([0, 1]) AS pos FROM {GATE_ITEMS})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, a) AS INTEGER) AS warning_no, w AS warning FROM (SELECT doc_id, p || x AS w, min(item_no) AS n, arg_min(pos, item_no * 2 + pos) AS a FROM e GROUP BY doc_id, p || x)""")
+def warnings_of_pages(spark, d):
+    page = F.when(F.col("item_no") % 4 > 0, F.col("item_no") % 4)
+    issues = F.array("title", F.when(F.col("item_no") % 3 == 0, "three").otherwise("T"))
+    return I.page_warnings(_gate_items(spark, d).withColumns({"page": page, "issues": issues}))
+
+
+TABLE_ROWS = "(SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INTEGER) AS page, l_partkey % 5 AS a, l_suppkey % 4 AS b, CAST(l_quantity AS INTEGER) % 3 AS c FROM lineitem)"
+
+
+@query(f"""SELECT doc_id, 'slide' || page AS sheet_name, a + 1 AS n_rows, CAST(greatest(b, CASE WHEN a > 0 THEN c ELSE 0 END) AS INTEGER) AS width FROM {TABLE_ROWS} UNION ALL SELECT doc_id, 'slides_text', count(*), 2 FROM {TABLE_ROWS} GROUP BY doc_id""")
+def deck_sheets(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("page"), (F.col("l_partkey") % 5).cast("int").alias("a"), (F.col("l_suppkey") % 4).cast("int").alias("b"), (F.col("l_quantity").cast("int") % 3).alias("c"))
+    row = lambda n: F.array_repeat(F.lit("v"), n)
+    tables = x.select("doc_id", "page", F.lit(1).alias("table_no"), F.concat(F.array(row(F.col("b"))), F.array_repeat(row(F.col("c")), F.col("a"))).alias("rows"))
+    return I.sheet_sizes(I.sheet_names(tables), x.select("doc_id", "page", F.lit("t").alias("text")))
+
+
+@query(f"""SELECT doc_id, item_no, title FROM {GATE_ITEMS} WHERE item_no IN (2, 3, 5) UNION ALL SELECT doc_id, item_no + 1000, title FROM {GATE_ITEMS} WHERE item_no <= 2""")
+def items_subset(spark, d):
+    x = _gate_items(spark, d).select("doc_id", "item_no", "title")
+    return I.subset(x, (2, 3, 5)).unionByName(I.subset(x, first=2).withColumn("item_no", F.col("item_no") + 1000))
