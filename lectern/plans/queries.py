@@ -710,7 +710,9 @@ def renumbered(spark, d):
     return E.renumber(x).select("doc_id", "item_no", "detailed_description")
 
 
-@query()
+@query(f"""WITH {CLAUSE}, n AS (SELECT *, sum(CAST(must AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY item_no) AS r FROM c)
+SELECT doc_id, item_no, CASE WHEN must THEN 'Requirement' ELSE 'Information' END AS classification, CASE WHEN must THEN {sql_strip("'(T) ' || text")} ELSE '' END AS requirement,
+CASE WHEN must THEN 'REQ-' || lpad(CAST(r AS VARCHAR), CAST(greatest(3, length(CAST(r AS VARCHAR))) AS INTEGER), '0') || ' | Verification: Audit' ELSE '' END AS detailed_description FROM n""")
 def provider_enrichment(spark, d):
     out, _ = E.enrich(_clauses(spark, d), E.Config())
     return out.select("doc_id", "item_no", "classification", "requirement", "detailed_description")
@@ -994,3 +996,15 @@ def deck_sheets(spark, d):
 def items_subset(spark, d):
     x = _gate_items(spark, d).select("doc_id", "item_no", "title")
     return I.subset(x, (2, 3, 5)).unionByName(I.subset(x, first=2).withColumn("item_no", F.col("item_no") + 1000))
+
+
+@query()
+def structured_conversion(spark, d):
+    """Words of documents through layout blocks, clauses, validation and export."""
+    from .convert import layout_blocks, structured
+
+    w = _words(spark, d)
+    pages = w.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda s: s["text"]), " ").alias("raw_text"))
+    pages = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), *[F.lit(0).alias(c) for c in ("n_images", "n_rects", "n_lines", "n_curves")], "raw_text")
+    cells = F.array(F.array(F.lit("ID"), F.lit("Requirement")), F.array(F.concat(F.lit("4."), F.col("doc_id").cast("string")), F.lit("The pump must be tested.")))
+    return structured(layout_blocks(w, pages, _boxes(spark, d).withColumn("rows", cells), cover=False), "generic").items.select("doc_id", "item_no", "clause_id", "title", "text", "classification")
