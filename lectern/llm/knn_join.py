@@ -1,15 +1,20 @@
 """Exact top-k search by inner product: a Voronoi join of queries with all rows.
 
-Components become integers floor(scale * x), so scores are exact. Pivots (a bounded, hash-ordered sample of rows)
-divide the rows into cells by the nearest pivot; a cell's summary is its pivot, its largest distance from the pivot
-and its number of rows. Queries are grouped by nearest pivot too, small groups together and large ones in parts.
-
-For a query group with pivot p and radius r, and a cell with pivot c and radius s, every score lies within
-p.c -+ (r|c| + s|p| + rs). Cells taken in order of their lower bound until they hold k rows besides the query itself
-give a score that the k-th best surely reaches; cells whose upper bound is below it are not needed. Only needed cells
-are replicated to a group, in blocks of bounded size, and each block is solved by one matrix product. Bounds are
-rounded outwards. Index and result cover every row; only the pivots come from a sample, and they don't affect
-the result.
+Components become integers floor(scale * x), so scores are exact. Pivots (a bounded, hash-ordered sample of rows; about
+the root of the rows' number of them, ``pivots`` at most) divide the rows into cells by the nearest pivot; a cell's
+summary is its pivot, its largest distance from the pivot and its number of rows. Queries are grouped by nearest pivot
+too, small groups together and large ones in parts.
+
+1. A group is solved against the cells nearest to its own, as many as hold k rows besides a query itself. Each query's
+   k-th score there is one that its k-th best surely reaches.
+2. A query q scores at most q.c + |q|r with a row at distance r from the pivot c. So of a cell it only needs rows from
+   a distance on, the ring (reach - q.c) / |q|, and nothing of cells whose rows are all nearer. A group needs what any
+   of its queries needs.
+3. Only needed rows are replicated to a group, in blocks of bounded size, and each block is solved by one matrix
+   product.
+
+Bounds are rounded outwards. Index and result cover every row; only the pivots come from a sample, and they don't
+affect the result.
 
 Scores are exact: products run in float64 where no sum can reach 2**53, else in 64-bit integers; where even these
 could overflow, a score would be no long, and OverflowError is raised before any work.
@@ -45,34 +50,44 @@ def _nearest(shared):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value.astype(np.float64)
         norms = (pivots * pivots).sum(axis=1)
-        for b in batches:
-            x = _matrix(b.column(1), pivots.shape[1]).astype(np.float64)
-            if not len(x):
-                continue
-            far = norms - 2 * (x @ pivots.T)
-            cell = far.argmin(axis=1)
-            radius = np.sqrt(np.maximum((x * x).sum(axis=1) + far[np.arange(len(x)), cell], 0)) * (1 + 1e-9) + 1e-6
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], names=["id", "v", "cell", "radius"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                x = _matrix(b.column(1), pivots.shape[1]).astype(np.float64)
+                far = norms - 2 * (x @ pivots.T)
+                cell = far.argmin(axis=1)
+                radius = np.sqrt(np.maximum((x * x).sum(axis=1) + far[np.arange(len(x)), cell], 0)) * (1 + 1e-9) + 1e-6
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], names=["id", "v", "cell", "radius"])
 
     return each
 
 
-def _needed(groups: pd.DataFrame, cells: pd.DataFrame, pivots: np.ndarray, k: int, own: int) -> pd.DataFrame:
-    """Which cells each query cell needs, from the summaries."""
-    p = pivots.astype(np.float64)
-    norm = np.sqrt((p * p).sum(axis=1))
-    c, s, n = cells["cell"].to_numpy(), cells["radius"].to_numpy(), cells["n"].to_numpy()
-    out = []
-    for g, r in zip(groups["cell"], groups["radius"], strict=True):
-        mid = p[c] @ p[g]
-        slack = (r * norm[c] + s * norm[g] + r * s) * (1 + 1e-9) + 1e-6
-        order = np.argsort(-(mid - slack), kind="stable")
-        held = np.cumsum(n[order])
-        enough = int(np.searchsorted(held, k + own))  # so many of them may be the query itself
-        reach = (mid - slack)[order[enough]] if enough < len(order) else -np.inf
-        need = c[mid + slack >= reach]
-        out.append(pd.DataFrame({"group_cell": g, "cell": need}))
-    return pd.concat(out).astype("int32") if out else pd.DataFrame({"group_cell": pd.Series(dtype="int32"), "cell": pd.Series(dtype="int32")})
+def _rings(shared):
+    """Rows (v, group, reach) of queries -> the needed cells of each group, and the least distance from the pivot that is needed."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, cell, largest = shared.value
+        points = points.astype(np.float64)
+        held: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                q = _matrix(b.column(0), points.shape[1]).astype(np.float64)
+                group, reach = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+                mid, norm = q @ points[cell].T, np.sqrt((q * q).sum(axis=1))
+                gap = reach[:, None] - mid
+                gap -= 1e-9 * (np.abs(mid) + np.abs(np.where(np.isfinite(reach), reach, 0))[:, None]) + 1e-6
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ring = np.where(gap <= 0, 0.0, gap / norm[:, None])
+                ring[ring > largest[None, :]] = np.inf
+                for g in np.unique(group):
+                    least = ring[group == g].min(axis=0)
+                    held[g] = np.minimum(held[g], least) if g in held else least
+        for g, least in held.items():
+            at = np.flatnonzero(np.isfinite(least))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, dtype=np.int32)), pa.array(cell[at].astype(np.int32)), pa.array(least[at])], names=["group", "to", "ring"])
+
+    return each
 
 
 def _solve(k: int, dim: int, small: bool):
@@ -107,7 +122,7 @@ def _solve(k: int, dim: int, small: bool):
 
 def knn_join(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64,
-    pivots: int = 64, sample: int = 4096, group_rows: int = 2048, block_rows: int = 16384,
+    pivots: int = 512, sample: int = 4096, group_rows: int = 2048, block_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank from 1, id, score for each query row (its id and vector), k best by inner product of integer vectors."""
     spark = vectors.sparkSession
@@ -133,41 +148,60 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
     spark = rows.sparkSession
     if not dim:  # empty vectors: all scores are 0
         rows, asked, dim = *(d.select("id", F.array(F.lit(0).cast("long")).alias("v"), F.array(F.lit(0.0)).alias("far")) for d in (rows, asked)), 1
-    far = (rows.unionByName(asked).agg(F.max(F.array_max("far"))).first()[0] or 0.0) * scale + 1
+    n, far = rows.agg(F.count("*"), F.max(F.array_max("far"))).first()
+    far = max(far or 0.0, asked.agg(F.max(F.array_max("far"))).first()[0] or 0.0) * scale + 1
     if dim * far * far >= 2.0**63:
         raise OverflowError(f"scores of {dim} components up to {far:.3g} do not fit a long")
     rows, asked = rows.select("id", "v"), asked.groupBy("id").agg(F.min("v").alias("v"))
     drawn = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
     points = np.unique(np.array([list(v) for v in drawn], dtype=np.int64), axis=0) if len(drawn) else np.zeros((1, dim), dtype=np.int64)
     rng = np.random.default_rng(7)
-    points = points[np.sort(rng.choice(len(points), min(pivots, len(points)), replace=False))]
+    points = points[np.sort(rng.choice(len(points), min(pivots, max(int(n**0.5), 1), len(points)), replace=False))]
     shared = spark.sparkContext.broadcast(points)
 
     schema = "id long, v array<long>, cell int, radius double"
     placed = cut(rows.mapInArrow(_nearest(shared), schema))
     asked = cut(asked.mapInArrow(_nearest(shared), schema))
-    cells = placed.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("n"))
-    groups = asked.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("n"))
-    cell_sizes, group_sizes = cells.toPandas(), groups.toPandas()  # one row a pivot
+    sizes = placed.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).orderBy("cell").toPandas()  # one row a pivot
+    groups = asked.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     own = placed.groupBy("id").count().agg(F.max("count")).first()[0] or 1
-    need = _needed(group_sizes, cell_sizes, points, k, own)
 
-    # query cells are packed into groups of about group_rows queries, near ones together; a group needs what its cells need
-    near = group_sizes.assign(by=[float(points[c] @ points[0]) for c in group_sizes["cell"]]).sort_values(["by", "cell"])
+    # query cells are packed into groups of about group_rows queries, near ones together
+    near = groups.assign(by=[float(points[c] @ points[0]) for c in groups["cell"]]).sort_values(["by", "cell"])
     near["group"] = np.maximum(near["n"].cumsum() - 1, 0) // group_rows
     packed = near.groupby("group")["n"].sum()
-    need = need.merge(near.rename(columns={"cell": "group_cell"})[["group_cell", "group"]], on="group_cell")[["group", "cell"]].drop_duplicates()
-    need = need.merge(cell_sizes[["cell", "n"]], on="cell")
-    plan = spark.createDataFrame(
-        [(int(g), int(c), -(-int(packed[g]) // (2 * group_rows)), -(-int(n) // block_rows)) for g, c, n in need.itertuples(index=False)], "group int, to int, parts int, blocks int"
-    )  # one row a pair of pivots at most
     of_cell = spark.createDataFrame([(int(c), int(g)) for c, g in near[["cell", "group"]].itertuples(index=False)], "cell int, group int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = asked.join(F.broadcast(of_cell), "cell").join(F.broadcast(plan), "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    ask = ask.withColumn("block", spread("blocks")).select("group", "part", "to", "block", "id", "v")
-    by_cell = plan.select(F.col("group").alias("for"), F.col("to").alias("own"), F.col("parts").alias("shares"), F.col("blocks").alias("pieces"))
-    have = placed.join(F.broadcast(by_cell), F.col("cell") == F.col("own")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    have = have.withColumn("share", spread("shares")).select("for", "share", "own", "piece", "id", "v")
-    found = ask.groupBy("group", "part", "to", "block").cogroup(have.groupBy("for", "share", "own", "piece")).applyInArrow(_solve(k, dim, dim * far * far < 2.0**53), "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    ask = asked.join(F.broadcast(of_cell), "cell").select("id", "v", "group")
+    shares = spark.createDataFrame([(int(g), -(-int(x) // (2 * group_rows))) for g, x in packed.items()], "group int, shares int")
+    blocks = spark.createDataFrame([(int(c), -(-int(x) // block_rows)) for c, x in sizes[["cell", "n"]].itertuples(index=False)], "to int, blocks int")
+
+    def solved(need: DataFrame) -> DataFrame:
+        """need (group, to, ring): one row a group and cell, so one a pair of pivots at most."""
+        plan = need.join(F.broadcast(shares), "group").join(F.broadcast(blocks), "to")
+        spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = ask.join(F.broadcast(plan), "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+        left = left.withColumn("block", spread("blocks")).select("group", "part", "to", "block", "id", "v")
+        by_cell = plan.select(F.col("group").alias("for"), F.col("to").alias("own"), "ring", F.col("shares").alias("parts"), F.col("blocks").alias("pieces"))
+        right = placed.join(F.broadcast(by_cell), (F.col("cell") == F.col("own")) & (F.col("radius") >= F.col("ring"))).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        right = right.withColumn("share", spread("parts")).select("for", "share", "own", "piece", "id", "v")
+        pairs = left.groupBy("group", "part", "to", "block").cogroup(right.groupBy("for", "share", "own", "piece"))
+        found = pairs.applyInArrow(_solve(k, dim, dim * far * far < 2.0**53), "query_id long, id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    homes = spark.createDataFrame(_homes(near, sizes, points, k + own), "group int, to int, ring double")
+    first = solved(homes).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("reach"))
+    reached = ask.join(first, F.col("id") == F.col("query_id"), "left").select("v", "group", F.coalesce("reach", F.lit(float("-inf"))).alias("reach"))
+    summary = spark.sparkContext.broadcast((points, sizes["cell"].to_numpy(np.int64), sizes["radius"].to_numpy(np.float64)))
+    need = cut(reached.mapInArrow(_rings(summary), "group int, to int, ring double").groupBy("group", "to").agg(F.min("ring").alias("ring")))
+    return solved(need).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def _homes(near: pd.DataFrame, sizes: pd.DataFrame, points: np.ndarray, least: int) -> list[tuple[int, int, float]]:
+    """Of each group the cells nearest to each of its own, as many as hold so many rows."""
+    p, cell, n = points.astype(np.float64), sizes["cell"].to_numpy(np.int64), sizes["n"].to_numpy()
+    out = set()
+    for c, g in near[["cell", "group"]].itertuples(index=False):
+        order = np.argsort(((p[cell] - p[c]) ** 2).sum(axis=1), kind="stable")
+        out |= {(int(g), int(x), 0.0) for x in cell[order[: int(np.searchsorted(np.cumsum(n[order]), least)) + 1]]}
+    return sorted(out)

@@ -486,6 +486,31 @@ def test_neighbours_equal_brute_force(spark, pivots, group, block):
     assert sorted(got) == sorted(want)
 
 
+def test_rings_leave_out_what_no_query_needs():
+    """On vectors in clusters few rows are needed, and none that is among a query's best is left out."""
+    rng = np.random.default_rng(8)
+    points = rng.integers(-400, 400, size=(40, 16))
+    x = np.rint(points[rng.integers(0, 40, 4000)] + rng.normal(scale=6, size=(4000, 16))).astype(np.int64)
+    cell = ((x[:, None, :] - points[None]) ** 2).sum(axis=2).argmin(axis=1)
+    radius = np.sqrt(((x - points[cell]) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
+    q = x[::100]
+    scores = q @ x.T
+    reach = np.sort(scores, axis=1)[:, -21].astype(np.float64)
+    largest = np.array([radius[cell == c].max() for c in range(40)])
+
+    class Shared:
+        value = (points, np.arange(40), largest)
+
+    import pyarrow as pa
+
+    group = np.arange(len(q), dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(q.tolist()), pa.array(group), pa.array(reach)], names=["v", "group", "reach"])
+    found = pa.Table.from_batches(list(K._rings(Shared)(iter([batch])))).to_pydict()
+    ring = {(g, c): r for g, c, r in zip(found["group"], found["to"], found["ring"], strict=True)}
+    need = np.array([[radius[i] >= ring.get((g, cell[i]), np.inf) for i in range(len(x))] for g in group])
+    assert need.mean() < 0.1 and (need | (scores < reach[:, None])).all()
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in K.knn_join(df, df.where("vec_id = 0"), k=20).collect()] == [(0, 1, 1, 64 * 32)]
