@@ -5,7 +5,7 @@ the root of the rows' number of them, ``pivots`` at most) divide the rows into c
 summary is its pivot, its largest distance from the pivot and its number of rows. Queries are grouped by nearest pivot
 too, small groups together and large ones in parts.
 
-1. A group is solved against the cells nearest to its own, as many as hold k rows besides a query itself. Each query's
+1. A cell's queries are solved against the cells nearest to it, as many as hold k rows besides a query itself. Each query's
    k-th score there is one that its k-th best surely reaches.
 2. A query q scores at most q.c + |q|r with a row at distance r from the pivot c. So of a cell it only needs rows from
    a distance on, the ring (reach - q.c) / |q|, and nothing of cells whose rows are all nearer. A group needs what any
@@ -172,11 +172,11 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
     packed = near.groupby("group")["n"].sum()
     of_cell = spark.createDataFrame([(int(c), int(g)) for c, g in near[["cell", "group"]].itertuples(index=False)], "cell int, group int")
     ask = asked.join(F.broadcast(of_cell), "cell").select("id", "v", "group")
-    shares = spark.createDataFrame([(int(g), -(-int(x) // (2 * group_rows))) for g, x in packed.items()], "group int, shares int")
+    parts = lambda sizes_: spark.createDataFrame([(int(g), -(-int(x) // (2 * group_rows))) for g, x in sizes_], "group int, shares int")
     blocks = spark.createDataFrame([(int(c), -(-int(x) // block_rows)) for c, x in sizes[["cell", "n"]].itertuples(index=False)], "to int, blocks int")
 
-    def solved(need: DataFrame) -> DataFrame:
-        """need (group, to, ring): one row a group and cell, so one a pair of pivots at most."""
+    def solved(ask: DataFrame, shares: DataFrame, need: DataFrame) -> DataFrame:
+        """ask (id, v, group), need (group, to, ring): one row a group and cell, so one a pair of pivots at most."""
         plan = need.join(F.broadcast(shares), "group").join(F.broadcast(blocks), "to")
         spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = ask.join(F.broadcast(plan), "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
@@ -189,19 +189,20 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    homes = spark.createDataFrame(_homes(near, sizes, points, k + own), "group int, to int, ring double")
-    first = solved(homes).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("reach"))
+    homes = spark.createDataFrame(_homes(groups["cell"].to_numpy(np.int64), sizes, points, k + own), "group int, to int, ring double")
+    by_home = asked.select("id", "v", F.col("cell").alias("group"))
+    first = solved(by_home, parts(groups[["cell", "n"]].itertuples(index=False)), homes).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("reach"))
     reached = ask.join(first, F.col("id") == F.col("query_id"), "left").select("v", "group", F.coalesce("reach", F.lit(float("-inf"))).alias("reach"))
     summary = spark.sparkContext.broadcast((points, sizes["cell"].to_numpy(np.int64), sizes["radius"].to_numpy(np.float64)))
     need = cut(reached.mapInArrow(_rings(summary), "group int, to int, ring double").groupBy("group", "to").agg(F.min("ring").alias("ring")))
-    return solved(need).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return solved(ask, parts(packed.items()), need).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def _homes(near: pd.DataFrame, sizes: pd.DataFrame, points: np.ndarray, least: int) -> list[tuple[int, int, float]]:
-    """Of each group the cells nearest to each of its own, as many as hold so many rows."""
+def _homes(own: np.ndarray, sizes: pd.DataFrame, points: np.ndarray, least: int) -> list[tuple[int, int, float]]:
+    """Of each cell of queries the cells nearest to it, as many as hold so many rows."""
     p, cell, n = points.astype(np.float64), sizes["cell"].to_numpy(np.int64), sizes["n"].to_numpy()
-    out = set()
-    for c, g in near[["cell", "group"]].itertuples(index=False):
+    out = []
+    for c in own:
         order = np.argsort(((p[cell] - p[c]) ** 2).sum(axis=1), kind="stable")
-        out |= {(int(g), int(x), 0.0) for x in cell[order[: int(np.searchsorted(np.cumsum(n[order]), least)) + 1]]}
-    return sorted(out)
+        out += [(int(c), int(x), 0.0) for x in cell[order[: int(np.searchsorted(np.cumsum(n[order]), least)) + 1]]]
+    return out
