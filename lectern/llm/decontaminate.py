@@ -1,11 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
 Every chunk of documents (a shard that bounds memory) is sorted into a word suffix array, to ``window`` words deep.
-Each suffix of every benchmark item is binary-searched in it, all at once and one word deeper at a time, which gives
-its longest verbatim match up to that depth and the places where it matches. A benchmark window is ``window``
-consecutive words of an item; an item with fewer words, but not none, is one window. Words of documents inside a
-place of a whole window are hit. Places of windows that follow each other in the document and in the item join to a
-longest match; common stretches shorter than a window are none.
+Each suffix of every benchmark item, if the shard has its first two words side by side, is binary-searched in it, all
+at once and one word deeper at a time, which gives its longest verbatim match up to that depth and the places where it
+matches. A benchmark window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one
+window. Words of documents inside a place of a whole window are hit. Places of windows that follow each other in the
+document and in the item join to a longest match; common stretches shorter than a window are none.
 
 The items go to the executors in blocks of at most ``block_words`` words (a longer item in overlapping pieces, whose
 matches come in parts), each read by its own pass over the documents, so what is broadcast is bounded whatever the
@@ -41,19 +41,23 @@ class Targets:
         self.window = window
         rank = {n: k for k, n in enumerate(self.names)}
         text = pa.array([t or "" for _, t in items], pa.large_string())
-        codes, sizes, whole, item, at, n = [], [], [], [], [], 0
+        codes, pairs, sizes, whole, item, at, n = [], [], [], [], [], [], 0
         for row, rows, data, offsets in W.chunks(text):
             w = W.words(data, offsets, W.ALNUM)
             left = w.first[w.doc + 1] - np.arange(len(w.code))
             size = np.minimum(left, window)
             all_ = w.first[w.doc + 1] - w.first[w.doc]
             codes.append(w.code)
+            first, pair = w.grams(2)
+            two = np.zeros(len(w.code), dtype=np.uint64)
+            two[first] = pair
+            pairs.append(two)
             sizes.append(size)
             whole.append((size == window) | ((left == all_) & (all_ < window)))
             item.append(np.array([rank.get(items[row + r][0], -1) for r in range(rows)], dtype=np.int64)[w.doc])
             at.append(n + np.arange(len(w.code)) + w.doc)  # consecutive in an item, with a gap after it
             n += len(w.code) + rows
-        self.codes = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
+        self.codes, self.pairs = (np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in (codes, pairs))
         self.sizes, self.whole, self.item, self.at = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (sizes, whole, item, at))
         self.whole = self.whole.astype(bool)
 
@@ -85,17 +89,22 @@ def suffix_array(code: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndar
     return known, text, sa
 
 
-def search(known: np.ndarray, text: np.ndarray, sa: np.ndarray, t: Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each suffix of the items: the words that match, and the range of sa where so many match."""
+def search(known: np.ndarray, text: np.ndarray, sa: np.ndarray, pairs: np.ndarray, t: Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix of the items: the words that match, and the range of sa where so many match.
+
+    pairs: codes of the shard's neighbouring words, sorted. A suffix whose first two words are none of them can't match a
+    window and isn't searched; it counts as no match.
+    """
     n = len(t.sizes)
     at = np.searchsorted(known, t.codes)
     rank = np.where(known[np.minimum(at, len(known) - 1)] == t.codes, at + 1, -1) if len(known) else np.full(n, -1)
     lo, hi, length = np.zeros(n, dtype=np.int64), np.full(n, len(sa), dtype=np.int64), np.zeros(n, dtype=np.int64)
-    live = np.arange(n)
+    found = np.minimum(np.searchsorted(pairs, t.pairs), max(len(pairs) - 1, 0))
+    live = np.flatnonzero((t.sizes < 2) | (pairs[found] == t.pairs if len(pairs) else False))
     padded = np.concatenate([text, np.zeros(t.window, dtype=text.dtype)])
     for j in range(t.window):
         live = live[t.sizes[live] > j]
-        live = live[rank[live + j] > 0]  # most suffixes end at a word that the shard doesn't have
+        live = live[rank[live + j] > 0]
         if not len(live):
             break
         want, ends = rank[live + j], []
@@ -139,7 +148,7 @@ def _scan(shared, mode: str, chunk: int):
             for row, rows, data, offsets in W.chunks(b.column(0), chunk):
                 w = W.words(data, offsets, W.ALNUM)
                 known, text, sa = suffix_array(w.code, w.doc, t.window)
-                length, lo, hi = search(known, text, sa, t)
+                length, lo, hi = search(known, text, sa, np.sort(w.grams(2)[1]), t)
                 full = np.flatnonzero(t.whole & (length == t.sizes) & (length > 0))
                 size = (hi - lo)[full]
                 to = np.concatenate([[0], np.cumsum(size)])
@@ -203,7 +212,7 @@ PLACES = ("item_id", "string"), ("lo", "long"), ("hi", "long")
 COUNTS = ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>")
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """docs' columns but the text with item_id, lo, hi: each longest stretch of words that is verbatim in one item.
 
     It has a window at least, or the whole of a shorter item. A stretch inside a longer one of the same item is left
@@ -216,7 +225,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """docs' columns with n_words, n_hit (words inside a window's place), items (sorted ids with such a place).
 
     With one block of items, the usual case, this is one pass and no shuffle. With more, the places of all blocks
