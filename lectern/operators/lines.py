@@ -17,7 +17,7 @@ def cluster_by_anchor(words: DataFrame, reach: float = 0.6) -> DataFrame:
     """words with line_no: a word stays in a line as long as its top is near the top of the line's first word.
 
     The line's first word carries over from word to word, so this is a fold over each page's words in order, in one
-    aggregation a page. It only keeps where lines start; words then look up how many starts are before them.
+    aggregation a page. It only keeps where lines start; a line's number is then repeated for each of its words.
     """
     place = F.struct(F.bround("top", 1).alias("r"), F.col("x0").alias("x"), F.col("word_no").alias("k"), F.struct(*[F.col(f"`{c}`") for c in words.columns]).alias("row"))
     pages = words.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(place)), lambda w: w["row"]).alias("w"))
@@ -28,8 +28,10 @@ def cluster_by_anchor(words: DataFrame, reach: float = 0.6) -> DataFrame:
         starts = F.when(same, a["starts"]).otherwise(F.array_append(a["starts"], a["n"]))
         return F.struct(F.when(same, a["anchor"]).otherwise(w["top"]).alias("anchor"), (a["n"] + 1).alias("n"), starts.alias("starts"))
 
-    placed = pages.select(F.posexplode("w").alias("n", "w"), F.aggregate("w", start, step)["starts"].alias("starts"))
-    return placed.select("w.*", (F.size(F.filter("starts", lambda s: s <= F.col("n"))) - 1).alias("line_no"))
+    begun = pages.select("w", F.aggregate("w", start, step)["starts"].alias("starts"))
+    begun = begun.select("w", "starts", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("w"))).alias("ends"))
+    line = F.flatten(F.transform("starts", lambda s, j: F.array_repeat(j, F.get("ends", j) - s)))
+    return begun.select(F.explode(F.arrays_zip(F.col("w").alias("w"), line.alias("line"))).alias("p")).select("p.w.*", F.col("p.line").alias("line_no"))
 
 
 def cluster_by_bucket(words: DataFrame, height: float = 3.0) -> DataFrame:
