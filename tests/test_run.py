@@ -16,6 +16,7 @@ from page_parser import Counting, Frames, Reads, Xml
 from lectern import __main__ as M
 from lectern import shared
 from lectern.functions import labels
+from lectern.operators import blocks as B
 from lectern.operators import enrich as E
 from lectern.operators import items as I
 from lectern.operators import providers as P
@@ -278,3 +279,15 @@ def test_words_without_upright_and_pages(spark, tmp_path):
     path = saved(tmp_path, "h.pdf", "a b", "c | d\ne | f")
     words, pages, tables = R.read_document(spark, path, "page_parser")
     assert words.where(F.col("upright").isNull()).count() == words.count() == 8 and pages.count() == 2 and tables.first()["rows"] == [["c", "d"], ["e", "f"]]
+
+
+def test_plain_grouping(spark):
+    said = ["Control A.1 of this", "It begins here", "and goes on.", "- one", "two more", "Note that this", "is a note", "NOTE 3", "B.2.1 Deep", "x"]
+    rows = [("d", 1, "prose", i, t, 50.0, 500.0, 20.0 * i, 20.0 * i + 10, 10.0, False, 10.0) for i, t in enumerate(said)]
+    lines = spark.createDataFrame(rows, "doc_id string, page int, page_type string, line_no int, text string, x0 double, x1 double, top double, bottom double, font_size double, is_bold boolean, median_size double")
+    got = [(r["block_type"], r["text"], r["confidence"]) for r in B.group_blocks(lines, plain=True).orderBy("block_no").collect()]
+    want = [("heading", "Control A.1 of this"), ("paragraph", "It begins here and goes on."), ("paragraph", "- one two more"), ("note", "Note that this is a note"), ("heading", "NOTE 3"), ("heading", "B.2.1 Deep"), ("paragraph", "x")]
+    assert got == [(*w, 1.0) for w in want]
+    assert "list_item" in {r["block_type"] for r in B.group_blocks(lines).collect()}
+    blocks = B.group_blocks(lines, plain=True)
+    assert I.block_review_rows(blocks).columns == ["doc_id", "page", "block_id", "block_type", "clause_id", "title", "text", "confidence", "issues", "bbox"] and I.block_review_rows(blocks).count() == 7
