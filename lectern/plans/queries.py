@@ -1008,3 +1008,31 @@ def structured_conversion(spark, d):
     pages = pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), *[F.lit(0).alias(c) for c in ("n_images", "n_rects", "n_lines", "n_curves")], "raw_text")
     cells = F.array(F.array(F.lit("ID"), F.lit("Requirement")), F.array(F.concat(F.lit("4."), F.col("doc_id").cast("string")), F.lit("The pump must be tested.")))
     return structured(layout_blocks(w, pages, _boxes(spark, d).withColumn("rows", cells), cover=False), "generic").items.select("doc_id", "item_no", "clause_id", "title", "text", "classification")
+
+
+GRAMMARS_FIX = [
+    *GRAMMAR_FIX, "Requirement 3.2: Keep Logs", "A.5 Policies", "4.1.2 Leadership", "Section 4 - Duties", "Article 9: Fines", "Chapter IV Penalties", "Schedule 2", "Req. 8.3.1 Use strong factors", "CIS Safeguard 1.1 Keep an inventory",
+    "Safeguard 2.4 Use tools", "control 7 audit", "Appendix C Tables", "Part 3", "(3) PASSWORDS | LENGTH",
+]
+
+
+def _grammar_sql(profile: P.Profile) -> str:
+    """CASE branches for the id and the title of the first pattern that fits."""
+    q = lambda x: x.replace("'", "''")
+    upper = "length(regexp_replace(u, '[^\\p{Lu}]', '', 'g')) >= CAST(0.85 AS DOUBLE) * length(regexp_replace(u, '[^\\p{L}]', '', 'g')) AND regexp_matches(u, '\\p{L}')"
+    found = [(h, f"regexp_matches(s, '{q(h.regex)}')") for h in profile.headings]
+    found += [(h, f"regexp_matches(s, '{q(h.regex)}') AND {upper.replace('(u,', '(regexp_extract(s, ' + chr(39) + q(h.regex) + chr(39) + ', 2),')}") for h in profile.enhancements]
+    name = profile.name.replace("-", "_")
+    part = lambda h, g: sql_strip(f"regexp_extract(s, '{q(h.regex)}', {g})")
+    ids = " ".join(f"WHEN {when} THEN {part(h, h.id_group)}" for h, when in found)
+    titles = " ".join(f"WHEN {when} THEN coalesce({', '.join(f'nullif({part(h, g)}, {chr(39) * 2})' for g in h.title_groups)}, '')" for h, when in found)
+    return f"CASE {ids} END AS id_{name}, CASE {titles} END AS title_{name}"
+
+
+@query(f"SELECT k, {', '.join(_grammar_sql(p) for p in P.PROFILES.values())} FROM (SELECT k, {sql_strip('s')} AS s FROM {with_lines(GRAMMARS_FIX)})")
+def grammars_of_lines(spark, d):
+    x = lines_with(spark, d, GRAMMARS_FIX)
+    for p in P.PROFILES.values():
+        x = x.withColumn(p.name.replace("-", "_"), P.parse_heading(F.col("s"), p))
+    names = [p.replace("-", "_") for p in P.PROFILES]
+    return x.select("k", *[F.col(f"{p}.clause_id").alias(f"id_{p}") for p in names], *[F.col(f"{p}.title").alias(f"title_{p}") for p in names])
