@@ -44,8 +44,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _nearest(shared):
-    """Cell of each vector and its distance from the pivot, rounded up."""
+def _packed(x: np.ndarray, kind: str) -> pa.Array:
+    """Rows of a matrix as bytes of the smallest integers that hold them: less to shuffle and to decode than lists."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, dim: int, kind: str) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, dim), dtype=kind)
+    _, ends, data = column.buffers()
+    first, last = (int(np.frombuffer(ends, dtype=np.int32)[column.offset + i]) for i in (0, len(column)))
+    return np.frombuffer(data, dtype=np.uint8)[first:last].view(kind).reshape(-1, dim)
+
+
+def _nearest(shared, kind: str):
+    """Cell of each vector and its distance from the pivot, rounded up; vectors are packed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value.astype(np.float64)
@@ -53,16 +70,17 @@ def _nearest(shared):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                x = _matrix(b.column(1), pivots.shape[1]).astype(np.float64)
+                v = _matrix(b.column(1), pivots.shape[1])
+                x = v.astype(np.float64)
                 far = norms - 2 * (x @ pivots.T)
                 cell = far.argmin(axis=1)
                 radius = np.sqrt(np.maximum((x * x).sum(axis=1) + far[np.arange(len(x)), cell], 0)) * (1 + 1e-9) + 1e-6
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], names=["id", "v", "cell", "radius"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _packed(v, kind), pa.array(cell.astype(np.int32)), pa.array(radius)], names=["id", "v", "cell", "radius"])
 
     return each
 
 
-def _rings(shared):
+def _rings(shared, packed: str):
     """Rows (v, group, reach) of queries -> the needed cells of each group, and the least distance from the pivot that is needed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +90,7 @@ def _rings(shared):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                q = _matrix(b.column(0), points.shape[1]).astype(np.float64)
+                q = _unpacked(b.column(0), points.shape[1], packed).astype(np.float64)
                 group, reach = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
                 mid, norm = q @ points[cell].T, np.sqrt((q * q).sum(axis=1))
                 gap = reach[:, None] - mid
@@ -90,12 +108,12 @@ def _rings(shared):
     return each
 
 
-def _solve(k: int, dim: int, small: bool):
+def _solve(k: int, dim: int, small: bool, packed: str):
     kind, none = (np.float64, -np.inf) if small else (np.int64, np.iinfo(np.int64).min)
 
     def each(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        qid, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim).astype(kind)
-        rid, x = rows.column("id").to_numpy(), _matrix(rows.column("v"), dim).astype(kind)
+        qid, q = queries.column("id").to_numpy(), _unpacked(queries.column("v"), dim, packed).astype(kind)
+        rid, x = rows.column("id").to_numpy(), _unpacked(rows.column("v"), dim, packed).astype(kind)
         who, what, score = [], [], []
         order = np.argsort(rid, kind="stable")
         rid, x = rid[order], x[order]
@@ -159,9 +177,10 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
     points = points[np.sort(rng.choice(len(points), min(pivots, max(int(n**0.5), 1), len(points)), replace=False))]
     shared = spark.sparkContext.broadcast(points)
 
-    schema = "id long, v array<long>, cell int, radius double"
-    placed = cut(rows.mapInArrow(_nearest(shared), schema))
-    asked = cut(asked.mapInArrow(_nearest(shared), schema))
+    kind = "<i2" if far < 2.0**15 else "<i4" if far < 2.0**31 else "<i8"
+    schema = "id long, v binary, cell int, radius double"
+    placed = cut(rows.mapInArrow(_nearest(shared, kind), schema))
+    asked = cut(asked.mapInArrow(_nearest(shared, kind), schema))
     sizes = placed.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).orderBy("cell").toPandas()  # one row a pivot
     groups = asked.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     own = placed.groupBy("id").count().agg(F.max("count")).first()[0] or 1
@@ -185,7 +204,7 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
         right = placed.join(F.broadcast(by_cell), (F.col("cell") == F.col("own")) & (F.col("radius") >= F.col("ring"))).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
         right = right.withColumn("share", spread("parts")).select("for", "share", "own", "piece", "id", "v")
         pairs = left.groupBy("group", "part", "to", "block").cogroup(right.groupBy("for", "share", "own", "piece"))
-        found = pairs.applyInArrow(_solve(k, dim, dim * far * far < 2.0**53), "query_id long, id long, score long")
+        found = pairs.applyInArrow(_solve(k, dim, dim * far * far < 2.0**53, kind), "query_id long, id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -194,7 +213,7 @@ def _joined(rows: DataFrame, asked: DataFrame, dim: int, k: int, scale: int, piv
     first = solved(by_home, parts(groups[["cell", "n"]].itertuples(index=False)), homes).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("reach"))
     reached = ask.join(first, F.col("id") == F.col("query_id"), "left").select("v", "group", F.coalesce("reach", F.lit(float("-inf"))).alias("reach"))
     summary = spark.sparkContext.broadcast((points, sizes["cell"].to_numpy(np.int64), sizes["radius"].to_numpy(np.float64)))
-    need = cut(reached.mapInArrow(_rings(summary), "group int, to int, ring double").groupBy("group", "to").agg(F.min("ring").alias("ring")))
+    need = cut(reached.mapInArrow(_rings(summary, kind), "group int, to int, ring double").groupBy("group", "to").agg(F.min("ring").alias("ring")))
     return solved(ask, parts(packed.items()), need).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 

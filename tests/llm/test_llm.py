@@ -504,8 +504,8 @@ def test_rings_leave_out_what_no_query_needs():
     import pyarrow as pa
 
     group = np.arange(len(q), dtype=np.int32)
-    batch = pa.RecordBatch.from_arrays([pa.array(q.tolist()), pa.array(group), pa.array(reach)], names=["v", "group", "reach"])
-    found = pa.Table.from_batches(list(K._rings(Shared)(iter([batch])))).to_pydict()
+    batch = pa.RecordBatch.from_arrays([K._packed(q, "<i2"), pa.array(group), pa.array(reach)], names=["v", "group", "reach"])
+    found = pa.Table.from_batches(list(K._rings(Shared, "<i2")(iter([batch])))).to_pydict()
     ring = {(g, c): r for g, c, r in zip(found["group"], found["to"], found["ring"], strict=True)}
     need = np.array([[radius[i] >= ring.get((g, cell[i]), np.inf) for i in range(len(x))] for g in group])
     assert need.mean() < 0.1 and (need | (scores < reach[:, None])).all()
