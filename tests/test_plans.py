@@ -82,6 +82,14 @@ def test_structured_conversion(spark):
     assert got.failures.count() == 0 and [r["clause"] for r in got.sheets["Assessment"].orderBy("sheet_row").collect()] == ["AC-1", "AC-2"]
 
 
+def test_structured_conversion_broadcasts_no_pages(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(V, "cut", lambda df, real=V.cut: (plan(df), real(df))[1])
+    plan(Q.structured_conversion(spark, DATA))
+    assert len(plans) == 7 and "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
+
+
 def test_web_conversion(spark):
     html = "<html><head><title> A &amp; B </title></head><body><nav><p>menu</p></nav><h1>1 Title</h1><p>First<p>Second <b>bold</b><div>direct<p>inner</p></div><ul><li>1.<li>item</ul></body>"
     assert W.walk(html) == [("heading", "1 Title"), ("body", "First"), ("body", "Second bold"), ("body", "direct"), ("body", "inner"), ("body", "1."), ("body", "item")]
