@@ -16,16 +16,17 @@ def heading_style(lines: DataFrame, least: int = 3) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.when(legal >= least, "legal").otherwise("numbered").alias("style"))
 
 
-def page_paragraphs(lines: DataFrame, style: str = "auto", gap_factor: float = 1.6) -> DataFrame:
+def page_paragraphs(lines: DataFrame, style: str | None = "auto", gap_factor: float = 1.6) -> DataFrame:
     """doc_id, page, pos, kind (heading or body), text; lines: doc_id, page, line_no, text, top, bottom.
 
     A paragraph ends at a heading and at a gap over gap_factor times the page's median gap; a legal heading's trailing
     sentence starts the next one. One window pass marks starts, a running sum numbers them, an aggregation joins.
+    style: auto, numbered, legal, or None for paragraphs by gaps alone.
     """
     if style == "auto":
         x = lines.join(heading_style(lines), "doc_id").withColumn("_h", P.is_prose_heading(F.col("text"), F.col("style")))
     else:
-        x = lines.withColumn("_h", P.is_prose_heading(F.col("text"), style))
+        x = lines.withColumn("_h", P.is_prose_heading(F.col("text"), style) if style else F.lit(False))
     x = with_gaps(x).withColumn("_l", T.heading_label(F.col("text")))
     far = (F.col("median_gap") > 0) & (F.col("gap") > F.col("median_gap") * gap_factor)
     part = F.struct(F.lit(0).alias("part"), F.lit("heading").alias("kind"), F.col("_l.label").alias("piece"), F.lit(True).alias("new"))
