@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-LIKE_HEADINGS = ["block_items", "catalog_furniture", "clauses_of_lines", "layout_blocks", "page_paragraphs"]
+LIKE_HEADINGS = ["block_items", "catalog_furniture", "clauses_of_lines", "layout_blocks", "page_paragraphs", "web_paragraphs"]
 
 
 @pytest.mark.parametrize("name", LIKE_HEADINGS)
