@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lectern.functions import profiles as P
+from lectern.functions import text as T
 from lectern.operators import blocks as B
 from lectern.operators import catalog as C
 from lectern.operators import enrich as E
@@ -179,6 +180,23 @@ def test_paragraphs_equal_a_fold(spark, seed):
     assert got == paragraph_fold(lines)
 
 
+def test_headings_by_form_unless_asked_otherwise(spark):
+    said = ["4.2 Records kept", "are whole"]
+    rows = [("d", 1, "prose", i, t, 50.0, 500.0, 20.0 * i, 20.0 * i + 10, 10.0, False, 10.0) for i, t in enumerate(said)]
+    lines = spark.createDataFrame(rows, "doc_id string, page int, page_type string, line_no int, text string, x0 double, x1 double, top double, bottom double, font_size double, is_bold boolean, median_size double")
+    grouped = lambda **k: [(r["block_type"], r["text"]) for r in B.group_blocks(lines, **k).orderBy("block_no").collect()]
+    assert grouped() == [("heading", "4.2 Records kept"), ("paragraph", "are whole")] and grouped(forms=False) == [("paragraph", "4.2 Records kept are whole")]
+    web = lines.select("doc_id", F.col("line_no").alias("pos"), F.lit("body").alias("kind"), "text")
+    kinds = lambda **k: [r["kind"] for r in H.web_paragraphs(web, **k).orderBy("para_id").collect()]
+    assert kinds() == ["heading", "body"] and kinds(forms=False) == ["body", "body"]
+    assert [r["clause_id"] for r in done(parse(spark, [("paragraph", t) for t in said], "generic"))] == ["4.2"]
+    assert not done(parse(spark, [("paragraph", t) for t in said], "generic", typed=True))
+    items = lambda **k: [(r["clause_id"], r["title"]) for r in I.block_items(blocks(spark, [("heading", said[0]), ("paragraph", said[1])]), **k).collect()]
+    assert items() == [("4.2", "Records kept")] and items(split=False) == [("4.2 Records kept", "")]
+    debris = lambda **k: [r["v"] for r in spark.createDataFrame([(" 12 ",)], "s string").select(T.is_catalog_furniture(F.col("s"), **k).alias("v")).collect()]
+    assert debris() == [True] and debris(stripped=False) == [False]
+
+
 def test_law_across_pages(spark):
     rows = [(1, 1, "heading", "Article 1 (Purpose)"), (1, 2, "body", "The sentence goes"), (2, 1, "body", "on over the page and"), (3, 1, "body", "ends here."), (3, 2, "body", "Next.")]
     x = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, page int, pos int, kind string, text string")
